@@ -4,11 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trovelight.llm import quality_sql
+from trovelight.llm import native_sql, quality_sql
+from trovelight.llm.mixing import mix_sources
 from trovelight.llm.quality import quality_rules
 from trovelight.llm.substring import substring_dedup
+from trovelight.llm.urls import PATTERNS, host_rule, url_filter
+
+#: Rules of op4, beside the method's own patterns.
+HOST_RULES = (host_rule("allow", "org/"), host_rule("block", "example.org/es/"), host_rule("block", "example.org/en/1"), host_rule("allow", "com/fr/"), host_rule("block", "com/de/"))
+#: Weights of op8 and of the pipeline's last stage.
+MIX = {"target_percent": 50, "domain_weights": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang_weights": {"en": 5, "fr": 2, "de": 2, "es": 1}, "max_epochs": 2, "seed": 17}
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return url_filter(pages, [*HOST_RULES, *PATTERNS]).select("page_id", "host", "path", "rule", "verdict")
+
+
+def domain_of(source: str = "source") -> Column:
+    """Four domains, by the number at the end of a source's name."""
+    return F.concat(F.lit("d"), F.coalesce(F.expr(f"try_cast(regexp_extract({source}, '([0-9]+)$', 1) as bigint)"), F.lit(0)) % 4)
+
+
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"), domain_of(), **MIX)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,8 +44,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_substring_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op4_url_filters, op8_mix_sources, op9_substring_dedup, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality_rules": quality_sql.SQL}
+    return {"op4_url_filters": native_sql.URLS, "op8_mix_sources": native_sql.MIX, "op10_quality_rules": quality_sql.SQL}
