@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 #: Stands for a null id inside the operators.
 NO_ID = -(1 << 63)
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 6 << 20
 BUCKET_KEYS = 2 << 20
 _codec = pa.Codec("zstd", 1)
 

@@ -70,7 +70,8 @@ def _hit_blocks(table: pa.Table) -> pa.Table:
     have = [i for i, b in enumerate(col["b"]) if b]
     ids, nos = [np.empty(0, np.int64)], [np.empty(0, np.int32)]
     for i in have:
-        hit = np.isin(np.frombuffer(col["bkeys"][i], np.uint32), twice)
+        mine = np.frombuffer(col["bkeys"][i], np.uint32)
+        hit = twice[np.minimum(np.searchsorted(twice, mine), len(twice) - 1)] == mine if len(twice) else np.zeros(len(mine), bool)
         ids.append(S.unpack(col["ids"][i], col["b"][i], np.int64)[hit])
         nos.append(S.unpack(col["nos"][i], col["b"][i], np.int32)[hit])
     return pa.table([np.concatenate(ids), np.concatenate(nos)], names=["k", "no"])
