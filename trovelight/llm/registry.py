@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trovelight.llm import native_sql, quality_sql
+from trovelight.llm.decontaminate import contamination
+from trovelight.llm.langid import detect_languages
 from trovelight.llm.mixing import mix_sources
 from trovelight.llm.quality import quality_rules
 from trovelight.llm.substring import substring_dedup
+from trovelight.llm.toxicity import score_toxicity
 from trovelight.llm.urls import PATTERNS, host_rule, url_filter
 
 #: Rules of op4, beside the method's own patterns.
@@ -19,11 +22,23 @@ HOST_RULES = (host_rule("allow", "org/"), host_rule("block", "example.org/es/"),
 MIX = {"target_percent": 50, "domain_weights": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang_weights": {"en": 5, "fr": 2, "de": 2, "es": 1}, "max_epochs": 2, "seed": 17}
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect_languages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return url_filter(pages, [*HOST_RULES, *PATTERNS]).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def domain_of(source: str = "source") -> Column:
     """Four domains, by the number at the end of a source's name."""
     return F.concat(F.lit("d"), F.coalesce(F.expr(f"try_cast(regexp_extract({source}, '([0-9]+)$', 1) as bigint)"), F.lit(0)) % 4)
@@ -44,7 +59,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_url_filters, op8_mix_sources, op9_substring_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_language_id, op4_url_filters, op5_decontamination, op6_toxicity, op8_mix_sources, op9_substring_dedup, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
