@@ -13,6 +13,7 @@ from trovelight.llm.langid import detect_languages
 from trovelight.llm.mixing import mix_sources
 from trovelight.llm.quality import quality_rules
 from trovelight.llm.substring import substring_dedup
+from trovelight.llm.ngram_join import ngram_join
 from trovelight.llm.toxicity import score_toxicity
 from trovelight.llm.urls import PATTERNS, host_rule, url_filter
 
@@ -22,6 +23,10 @@ HOST_RULES = (host_rule("allow", "org/"), host_rule("block", "example.org/es/"),
 MIX = {"target_percent": 50, "domain_weights": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang_weights": {"en": 5, "fr": 2, "de": 2, "es": 1}, "max_epochs": 2, "seed": 17}
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, num=90, den=100)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect_languages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -59,7 +64,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op4_url_filters, op5_decontamination, op6_toxicity, op8_mix_sources, op9_substring_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_language_id, op4_url_filters, op5_decontamination, op6_toxicity, op8_mix_sources, op9_substring_dedup, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
