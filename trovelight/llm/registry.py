@@ -14,6 +14,7 @@ from trovelight.llm.mixing import mix_sources
 from trovelight.llm.quality import quality_rules
 from trovelight.llm.substring import substring_dedup
 from trovelight.llm.ngram_join import ngram_join
+from trovelight.llm.suffix import suffix_dedup
 from trovelight.llm.toxicity import score_toxicity
 from trovelight.llm.urls import PATTERNS, host_rule, url_filter
 
@@ -44,6 +45,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return suffix_dedup(docs, length=400, with_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def domain_of(source: str = "source") -> Column:
     """Four domains, by the number at the end of a source's name."""
     return F.concat(F.lit("d"), F.coalesce(F.expr(f"try_cast(regexp_extract({source}, '([0-9]+)$', 1) as bigint)"), F.lit(0)) % 4)
@@ -64,7 +70,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_language_id, op4_url_filters, op5_decontamination, op6_toxicity, op8_mix_sources, op9_substring_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_language_id, op4_url_filters, op5_decontamination, op6_toxicity, op7_suffix_dedup, op8_mix_sources, op9_substring_dedup, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
