@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trovelight.llm import native_sql, quality_sql
 from trovelight.llm.decontaminate import contamination
+from trovelight.llm.katz import katz_scores
 from trovelight.llm.langid import detect_languages
 from trovelight.llm.mixing import mix_sources
 from trovelight.llm.quality import quality_rules
@@ -32,6 +33,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect_languages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return url_filter(pages, [*HOST_RULES, *PATTERNS]).select("page_id", "host", "path", "rule", "verdict")
@@ -70,7 +75,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_language_id, op4_url_filters, op5_decontamination, op6_toxicity, op7_suffix_dedup, op8_mix_sources, op9_substring_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_language_id, op3_lm_scores, op4_url_filters, op5_decontamination, op6_toxicity, op7_suffix_dedup, op8_mix_sources, op9_substring_dedup, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
