@@ -24,7 +24,7 @@ from trovelight.llm import textarrays as T
 GRAM, SPREAD = 16, 64
 FLUSH = 1 << 20
 _PHRASES = "bucket int, n int, keys binary, many binary, one int, ids binary, nos binary, sure int, skeys binary, sids binary, snos binary"
-_CUT = "k long, sha string, n_removed long, n_spans long, kept_sha256 string, kept binary"
+_CUT = "k long, sha string, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string"
 
 
 @dataclass
@@ -190,9 +190,9 @@ def _remove(length: int, with_text: bool):
                 left = keep[a:b]
                 kept = data[a:b][left].tobytes()
                 spans = int(np.count_nonzero(np.diff(left.astype(np.int8), prepend=1) == -1))
-                out.append((k[lo + d], sha[lo + d], int(b - a) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)], names=["k", "sha", "n_removed", "n_spans", "kept_sha256", "kept"])
+                out.append((k[lo + d], sha[lo + d], int(b - a) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None, kept.decode("utf-8", "ignore") if with_text else None))
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string())
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], names=["k", "sha", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text"])
 
     return run
 
@@ -205,8 +205,8 @@ def _phrases_inside(length: int) -> int:
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, with_text: bool = True) -> DataFrame:
     """Removes every byte covered by a `length`-byte string that also starts anywhere else in the texts (UTF-8).
 
-    Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and kept (the bytes left, null
-    unless with_text), one row per input row. Null or empty texts have no bytes. Exact copies of `length` bytes or
+    Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, kept (the bytes left; null where
+    nothing was removed, and always unless with_text) kept_text (the same as text, without bytes of characters cut in two) and text_sha256 (of the input), one row per input row. Null or empty texts have no bytes. Exact copies of `length` bytes or
     more lose everything, the first as well; one copy stands for all while other texts are judged. Repeated ids and
     rows are texts of their own. A null id stays null. Texts below `length` bytes keep all, even if repeated.
     """
@@ -235,10 +235,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     cut = near.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_remove(length, with_text), _CUT).dropDuplicates(["k", "sha"])
     out = rows.join(copies.select("sha", "copies"), "sha").join(cut, ["k", "sha"], "left")
     gone = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
-    kept = F.lit(None).cast("binary")
-    if with_text:
-        out = out.join(texts.select(F.col("k").alias("k2"), full.alias("sha2"), "text").dropDuplicates(["k2", "sha2"]), (F.col("k") == F.col("k2")) & (F.col("sha") == F.col("sha2")))
-        kept = F.when(gone, F.lit(b"")).otherwise(F.coalesce("kept", F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    kept = F.when(gone, F.lit(b"")).otherwise(F.when(F.col("n_removed") > 0, F.col("kept")))
     return out.select(
         S.id_back().alias(id_col),
         "n_bytes",
@@ -246,4 +243,6 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.when(gone, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(gone, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
         kept.alias("kept"),
+        F.when(gone, F.lit("")).otherwise(F.when(F.col("n_removed") > 0, F.col("kept_text"))).alias("kept_text"),
+        F.col("sha").alias("text_sha256"),
     )
