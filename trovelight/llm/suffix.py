@@ -142,8 +142,9 @@ def _repeated_phrases(table: pa.Table) -> pa.Table:
 def doubled(ranks: DataFrame, offset: int) -> DataFrame:
     """Ranks (k, m, r) of twice as long prefixes: pairs of ranks `offset` phrases apart that occur twice or more."""
     later = ranks.select("k", (F.col("m") - offset).alias("m"), F.col("r").alias("r2"))
-    pairs = ranks.join(later, ["k", "m"])
-    again = pairs.groupBy("r", "r2").count().filter("count > 1").select("r", "r2")
+    # written, so that the join below has exchanges of its own, in which a very frequent pair can be split
+    pairs = S.written(ranks.join(later, ["k", "m"]), "pairs")
+    again = S.written(pairs.groupBy("r", "r2").count().filter("count > 1").select("r", "r2"), "again")
     return pairs.join(again, ["r", "r2"], "left_semi").select("k", "m", F.xxhash64("r", "r2").alias("r"))
 
 
