@@ -21,8 +21,8 @@ from trovelight.llm.langid import id_remainder
 
 #: Counts up to here are Good-Turing discounted; larger ones lose ABOVE, so that every context can back off.
 K, ABOVE = 5, 0.1
-CHUNK_BYTES = 14 << 20
-BUCKET_BIGRAMS = 2 << 20
+CHUNK_BYTES = 10 << 20
+BUCKET_BIGRAMS = 5 << 18
 START, END = (x for x in T.mix(np.array([1009, 1013], np.uint64)))
 _WORDS = "chunk long, bucket int, n int, keys binary, counts binary, stats array<long>"
 _BIGRAMS = "chunk long, bucket int, kind int, n int, m int, u binary, w binary, cw binary, cu binary, ct binary, occ binary, doc binary"
