@@ -1,19 +1,268 @@
-"""Registered queries and their DuckDB SQL."""
+"""Registered queries of the library's own operators over the given tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from trovelight.functions import models, text
+from trovelight.operators import chunking, context, conversation, fusion, lexical, metrics, vector
+from trovelight.plans import engine, registry_sql
+from trovelight.plans.retriever import rerank
+from trovelight.sources import files
+
+K, CANDIDATES = 10, 20
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    _queries[f.__name__] = f
+    return f
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark passage is a question."""
+    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+
+
+def _asked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search queries: every vector whose id is divisible by 50."""
+    return _vectors(spark, sf_dir).filter(F.col("id") % 50 == 0).select(F.col("id").alias("qid"), "vector")
+
+
+def _question_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each question with the vector of the same number."""
+    return _questions(spark, sf_dir).join(_vectors(spark, sf_dir), F.col("qid") == F.col("id")).select("qid", "vector")
+
+
+def _bm25(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    index = lexical.LexicalIndex.build(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return lexical.bm25(index, _questions(spark, sf_dir), k)
+
+
+def _hybrid(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    near = vector.exact_knn(_vectors(spark, sf_dir), _question_vectors(spark, sf_dir), CANDIDATES)
+    return fusion.fuse([near, _bm25(spark, sf_dir, CANDIDATES)], k)
+
+
+def _with_text(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "source")
+    return found.join(docs, "id")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return bm25_batch(spark, sf_dir)
+
+
+@query
+def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", text.html_to_text(F.col("html")).alias("text"))
+
+
+@query
+def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunk_documents(_table(spark, sf_dir, "documents"), source_col="doc_id")
+
+
+@query
+def chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunk_documents(html_to_text(spark, sf_dir), source_col="page_id")
+
+
+@query
+def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.tokenized(_table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), F.size("tokens").cast("long").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
+
+
+@query
+def term_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.term_freq(lexical.tokenized(_table(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
+@query
+def doc_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.doc_freq(term_freq(spark, sf_dir))
+
+
+@query
+def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.corpus_stats(lexical.tokenized(_table(spark, sf_dir, "documents"), "doc_id", "text")).withColumn("avgdl", F.round("avgdl", 6))
+
+
+@query
+def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", text.estimate_tokens(F.col("text")).alias("tokens"))
+
+
+@query
+def loader_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return pages.select("page_id", files.loader_of(F.regexp_extract("url", r"://([^?#]*)", 1)).alias("loader"))
+
+
+@query
+def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bm25(spark, sf_dir, CANDIDATES)
+
+
+@query
+def vector_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector.exact_knn(_vectors(spark, sf_dir), _asked_vectors(spark, sf_dir), K)
+
+
+@query
+def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unit = _vectors(spark, sf_dir).withColumn("unit", text.normalize(F.col("vector")))
+    first = F.round(F.element_at("unit", 1), 6)
+    return unit.select("id", F.round(text.dot(F.col("unit"), F.col("unit")), 6).alias("length"), first.alias("first"))
+
+
+@query
+def vector_inverted_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector.InvertedFile.build(_vectors(spark, sf_dir), 16).search(_asked_vectors(spark, sf_dir), K, 14)
+
+
+@query
+def vector_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector.recall(vector_inverted_file(spark, sf_dir), vector_batch(spark, sf_dir), K)
+
+
+@query
+def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hybrid(spark, sf_dir, CANDIDATES)
+
+
+@query
+def rrf_multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fuses the question's keyword list with those of its first and last line."""
+    asked = _questions(spark, sf_dir)
+    lines = F.split("text", "\n")
+    forms = [asked, asked.withColumn("text", F.element_at(lines, 1)), asked.withColumn("text", F.element_at(lines, -1))]
+    index = lexical.LexicalIndex.build(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return fusion.fuse([lexical.bm25(index, q, CANDIDATES) for q in forms], K)
+
+
+@query
+def hybrid_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _with_text(spark, sf_dir, _hybrid(spark, sf_dir, CANDIDATES))
+    return rerank(found.join(_questions(spark, sf_dir).withColumnRenamed("text", "question"), "qid"), 6)
+
+
+@query
+def budget_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.within_budget(_with_text(spark, sf_dir, _hybrid(spark, sf_dir, CANDIDATES)))
+
+
+@query
+def context_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.context_order(budget_select(spark, sf_dir)).select("qid", "id", "rank", "position")
+
+
+@query
+def context_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prompts = context.context_prompt(_with_text(spark, sf_dir, context_order(spark, sf_dir)))
+    return prompts.select("qid", F.md5("context").alias("context_md5"), F.array_join("ids", ",").alias("ids"))
+
+
+@query
+def search_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine.search_report(_with_text(spark, sf_dir, bm25_batch(spark, sf_dir)))
+
+
+@query
+def distinct_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine.sources_report(_with_text(spark, sf_dir, bm25_batch(spark, sf_dir)))
+
+
+@query
+def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each message, with marks made from its turn, cites among five names."""
+    turns = _table(spark, sf_dir, "conversations")
+    marks = F.concat("text", F.format_string(" [%d]. [%d][1] [%d] [1, 3]", F.col("turn") + 2, F.col("turn") % 3, F.col("conv_id") % 9))
+    answers = turns.select(F.concat_ws("-", "conv_id", "turn").alias("qid"), marks.alias("answer"), F.array(*(F.concat(F.lit(f"c{i}-"), "conv_id") for i in range(1, 6))).alias("ids"))
+    return engine.cited_sources(answers)
+
+
+@query
+def history_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation.trim_history(_table(spark, sf_dir, "conversations"), 150).select("conv_id", "turn", "role")
+
+
+@query
+def history_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation.transcript(_table(spark, sf_dir, "conversations").filter("role <> 'system'"))
+
+
+def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions whose passage some document holds, with these documents. A passage's third to fifth word stand whole
+    in every text that holds it, so pairs come from an equi-join on three words in a row, and are then compared."""
+    words = F.split("text", r"\s+")
+    asked = _questions(spark, sf_dir).filter(F.size(words) > 5).withColumn("anchor", F.array_join(F.slice(words, 3, 3), " "))
+    runs = F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_join(F.slice(words, i, 3), " "))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"), F.explode(F.array_distinct(runs)).alias("anchor"))
+    held = docs.join(asked, "anchor").filter(F.contains("body", "text")).select("qid", "text", "doc_id").distinct()
+    return held.groupBy("qid", "text").agg(F.collect_set(F.col("doc_id").cast("string")).alias("expected"))
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = {"bm25": _bm25(spark, sf_dir, 6), "hybrid": _hybrid(spark, sf_dir, 6)}
+    out = None
+    for name, found in runs.items():
+        rows = found.select(F.lit(name).alias("strategy"), "qid", F.col("id").cast("string").alias("source"), "rank")
+        out = rows if out is None else out.unionByName(rows)
+    return metrics.first_relevant(out, _cases(spark, sf_dir))
+
+
+@query
+def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.summary(_runs(spark, sf_dir))
+
+
+@query
+def eval_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _runs(spark, sf_dir).filter("first_rank is null").select("strategy", "qid")
+
+
+@query
+def variant_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.array_join(text.variant_lines(F.col("text"), 3), "|").alias("variants"))
+
+
+@query
+def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.embed(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "vector")
+
+
+@query
+def csv_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer written as a CSV file of one record, and read back as a document."""
+    row = F.concat(F.lit('name,segment,nation\r\n"'), F.col("c_name"), F.lit(', ""x"""," '), F.col("c_mktsegment"), F.lit('",'), F.col("c_nationkey").cast("string"), F.lit("\r\n\r\n"))
+    made = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("path"), F.lit("csv").alias("loader"), F.encode(row, "UTF-8").alias("content"))
+    return files.documents_of(made).select("source", "text")
+
+
+@query
+def first_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a conversation's trimmed history starts with."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return history_trim(spark, sf_dir).withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in registry_sql.SQL.items() if k in _queries}
