@@ -29,8 +29,12 @@ FANOUT = 8
 #: Members of a group that one task takes together.
 TREE_ROWS = 1500
 FLUSH = 1 << 20
-#: Agreeing segments that a linked pair has at least, above which empty ones need not be sent.
-SPARE = 4
+#: Segments beyond those in which a linked pair may differ; empty ones are sent only by sets that have EMPTY or more.
+SPARE, EMPTY = 8, 4
+#: Keys that a linked pair shares at least.
+SHARED = SPARE - EMPTY + 1
+#: Rows of groups that one task takes at a time.
+PART_ROWS = 20_000
 
 
 @dataclass(frozen=True)
@@ -101,7 +105,7 @@ def segment_keys(tokens: np.ndarray, off: np.ndarray, rule: Rule) -> tuple[np.nd
 
     Band b holds pairs whose smaller set is in it, so a set goes to its own band and, if a smaller partner may be in
     the band below, to that one too. A band has SPARE more segments than a linked pair's sets may differ in tokens;
-    empty segments are keys only for sets that have SPARE of them or more.
+    empty segments are keys only for sets that have EMPTY of them or more. So a linked pair shares SHARED keys.
     """
     n = np.diff(off)
     lows, differ = bands(rule)
@@ -125,7 +129,7 @@ def segment_keys(tokens: np.ndarray, off: np.ndarray, rule: Rule) -> tuple[np.nd
         held = np.bincount(cell, minlength=start[-1])
         text = np.repeat(np.arange(len(use)), k)
         empty = np.bincount(text[held == 0], minlength=len(use))
-        keep = (held > 0) | (empty[text] >= SPARE)
+        keep = (held > 0) | (empty[text] >= EMPTY)
         number = np.arange(start[-1]) - start[:-1][text]
         key = T.mix(total ^ T.mix((band[use][text].astype(np.uint64) << np.uint64(40)) + number.astype(np.uint64)))
         keys.append(key[keep])
@@ -211,77 +215,90 @@ def _verify(rule: Rule):
 
 @dataclass
 class Level:
-    bits: np.ndarray
+    """Nodes of one height of all signature trees of a task."""
+
+    bits: np.ndarray  #: OR of the token bitmaps below
     least: np.ndarray  #: smallest set size below
     most: np.ndarray
     shared: np.ndarray  #: most tokens of one set that fall on a bit another of its tokens has set
     part: np.ndarray  #: component, if all below have one; else -1
+    begin: np.ndarray  #: first child, one level lower
+    kids: np.ndarray
 
 
-def signature_tree(bits: np.ndarray, n: np.ndarray, part: np.ndarray) -> list[Level]:
-    """Levels from the leaves (one set each) to a single root."""
-    levels = [Level(bits, n, n, n - np.bitwise_count(bits).sum(1).astype(np.int64), part)]
-    while len(levels[-1].least) > 1:
+def signature_trees(bits: np.ndarray, n: np.ndarray, part: np.ndarray, tree: np.ndarray) -> list[Level]:
+    """Levels from the leaves (one set each) to the roots, one for each value of `tree`; rows come sorted by tree."""
+    none = np.zeros(len(n), np.int64)
+    levels = [Level(bits, n, n, n - np.bitwise_count(bits).sum(1).astype(np.int64), part, none, none)]
+    while True:
         x = levels[-1]
-        at = np.arange(0, len(x.least), FANOUT)
+        edge = np.flatnonzero(np.concatenate([[True], tree[1:] != tree[:-1]]))
+        size = np.diff(np.append(edge, len(tree)))
+        if size.max() == 1 and len(levels) > 1:
+            return levels
+        place = np.arange(len(tree)) - np.repeat(edge, size)
+        at = np.flatnonzero(place % FANOUT == 0)
         low, high = np.minimum.reduceat(x.part, at), np.maximum.reduceat(x.part, at)
-        levels.append(Level(np.bitwise_or.reduceat(x.bits, at, axis=0), np.minimum.reduceat(x.least, at), np.maximum.reduceat(x.most, at), np.maximum.reduceat(x.shared, at), np.where(low == high, low, -1)))
-    return levels
+        levels.append(Level(np.bitwise_or.reduceat(x.bits, at, axis=0), np.minimum.reduceat(x.least, at), np.maximum.reduceat(x.most, at), np.maximum.reduceat(x.shared, at), np.where(low == high, low, -1), at, np.diff(np.append(at, len(tree)))))
+        tree = tree[at]
+
 
+def _children(x: Level, node: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    many = x.kids[node]
+    first = np.repeat(x.begin[node], many)
+    return first + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many), np.repeat(rest, many)
 
-def dual_traversal(one: list[Level], other: list[Level], same: bool, rule: Rule, step: int = 50_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of leaves in different components whose largest possible overlap would link them."""
-    todo = [(len(one) - 1, len(other) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+
+def dual_traversal(levels: list[Level], a: np.ndarray, b: np.ndarray, rule: Rule, step: int = 50_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """From pairs of roots (a, b) to pairs of leaves in different components whose largest possible overlap would link
+    them. A tree against itself is the pair of its root with itself."""
+    todo = [(len(levels) - 1, a, b)]
     while todo:
-        i, j, a, b = todo.pop()
+        i, a, b = todo.pop()
         if len(a) > step:
-            todo += [(i, j, a[x : x + step], b[x : x + step]) for x in range(0, len(a), step)]
+            todo += [(i, a[x : x + step], b[x : x + step]) for x in range(0, len(a), step)]
             continue
-        x, y = one[i], other[j]
-        common = np.bitwise_count(x.bits[a] & y.bits[b]).sum(1).astype(np.int64)
-        most = np.minimum.reduce([x.most[a], y.most[b], x.shared[a] + common, y.shared[b] + common])
-        keep = rule.linked(x.least[a], y.least[b], most)
-        keep &= (x.most[a] * rule.den >= y.least[b] * rule.num) & (y.most[b] * rule.den >= x.least[a] * rule.num)
-        keep &= (x.part[a] == -1) | (x.part[a] != y.part[b])
+        x = levels[i]
+        common = np.bitwise_count(x.bits[a] & x.bits[b]).sum(1).astype(np.int64)
+        most = np.minimum.reduce([x.most[a], x.most[b], x.shared[a] + common, x.shared[b] + common])
+        keep = rule.linked(x.least[a], x.least[b], most)
+        keep &= (x.most[a] * rule.den >= x.least[b] * rule.num) & (x.most[b] * rule.den >= x.least[a] * rule.num)
+        keep &= (x.part[a] == -1) | (x.part[a] != x.part[b])
+        if i == 0:
+            keep &= a != b
         a, b = a[keep], b[keep]
-        if i == 0 and j == 0:
-            if same:
-                a, b = a[a < b], b[a < b]
-            if len(a):
-                yield a, b
+        if not len(a):
+            continue
+        if i == 0:
+            yield a, b
             continue
-        for side in (0, 1):
-            level = (i, j)[side]
-            if level > 0:
-                kids = np.arange(FANOUT)
-                size = len((one, other)[side][level - 1].least)
-                grown = ((a, b)[side][:, None] * FANOUT + kids).ravel()
-                rest = np.repeat((a, b)[1 - side], FANOUT)
-                ok = grown < size
-                a, b = (grown[ok], rest[ok]) if side == 0 else (rest[ok], grown[ok])
-        i, j = max(i - 1, 0), max(j - 1, 0)
-        if same and i == j:
-            a, b = a[a <= b], b[a <= b]
-        if len(a):
-            todo.append((i, j, a, b))
+        twin = a == b
+        a, origin = _children(x, a, np.arange(len(a)))
+        b, again = _children(x, b[origin], np.arange(len(a)))
+        a, twin = a[again], twin[origin][again]
+        keep = ~twin | (a <= b)
+        todo.append((i - 1, a[keep], b[keep]))
 
 
 def _through_trees(rule: Rule):
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        x, y = key[1].as_py(), key[2].as_py()
-        table = S.sorted_rows(table, "n", "cls")
-        block = table["block"].to_numpy()
-        trees, names = [], []
-        for b in (x,) if x == y else (x, y):
-            rows = table.take(pa.array(np.flatnonzero(block == b)))
-            names.append(rows["cls"].to_numpy())
-            bits = np.frombuffer(b"".join(rows["bits"].to_pylist()), np.uint64).reshape(-1, BITMAP_WORDS)
-            trees.append(signature_tree(bits, rows["n"].to_numpy(), rows["comp"].to_numpy()) if len(rows) else [])
-        out = [(np.empty(0, np.int64), np.empty(0, np.int64))]
-        if all(trees):
-            out += [(names[0][a], names[-1][b]) for a, b in dual_traversal(trees[0], trees[-1], x == y, rule)]
-        a, b = (np.concatenate(v) for v in zip(*out, strict=True))
-        return pa.table([np.minimum(a, b), np.maximum(a, b)], names=["a", "b"])
+    def run(table: pa.Table) -> pa.Table:
+        table = S.sorted_rows(table, "key", "x", "y", "block", "n", "cls")
+        key, x, y, block = (table[c].to_numpy() for c in ("key", "x", "y", "block"))
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+        new_tree = new | np.concatenate([[True], block[1:] != block[:-1]])
+        bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(-1, BITMAP_WORDS)
+        levels = signature_trees(bits, table["n"].to_numpy(), table["comp"].to_numpy(), np.cumsum(new_tree))
+        # a group of one block meets itself; of two blocks, one the other
+        group, first = np.cumsum(new)[new_tree], np.flatnonzero(new_tree)
+        alone = x[first] == y[first]
+        pair = np.flatnonzero(group[1:] == group[:-1])
+        a, b = np.concatenate([np.flatnonzero(alone), pair]), np.concatenate([np.flatnonzero(alone), pair + 1])
+        cls = table["cls"].to_numpy()
+        weight = table["weight"].to_numpy()
+        none = np.empty(0, np.int64)
+        out = [(none, none, none), *((cls[i], cls[j], weight[i]) for i, j in dual_traversal(levels, a, b, rule))]
+        i, j, keys = (np.concatenate(v) for v in zip(*out, strict=True))
+        return pa.table([np.minimum(i, j), np.maximum(i, j), keys], names=["a", "b", "shared"])
 
     return run
 
@@ -304,6 +321,9 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = rows.filter("cls <> 0").groupBy("cls").agg(F.min("k").alias("k"), F.min(S.id_back()).alias("least"))
     keys = texts.mapInArrow(_send_keys(rule, buckets := S.parts(total // 20, S.BUCKET_KEYS // 2)), "bucket int, n int, keys binary, classes binary")
     members = S.written(keys.groupBy("bucket").applyInArrow(_members, "key long, cls long, pivot long, m long"), "members")
+    # classes with fewer keys than a linked pair shares have no partner
+    often = members.groupBy("cls").count().filter(F.col("count") >= SHARED).select("cls")
+    members = S.written(members.join(often, "cls", "left_semi"), "members")
     wanted = members.select("cls").distinct().join(classes, "cls").select("cls", "k")
     # one text for each class; repeated ids may bring other texts or the same again
     whole = texts.join(wanted.select("k").distinct(), "k").mapInArrow(_whole_sets(rule), "cls long, n long, bits binary, tokens binary")
@@ -317,20 +337,26 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         both = left.join(sets.select(F.col("cls").alias("b"), F.col("n").alias("n2"), F.col("tokens").alias("tokens2")), "b")
         return both.filter((F.col("n") * den >= F.col("n2") * num) & (F.col("n2") * den >= F.col("n") * num)).mapInArrow(_verify(rule), "a long, b long")
 
-    tried = S.written(members.filter("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct(), "stars")
+    # a linked pair tried in fewer keys than that shares another one, in a group of three or more, without being tried there
+    stars = members.filter("cls <> pivot").groupBy(F.col("pivot").alias("a"), F.col("cls").alias("b")).agg(F.count("*").alias("keys"))
+    stars = S.written(stars, "stars")
+    tried = stars.filter(F.col("keys") >= SHARED).select("a", "b")
     links = S.written(verified(tried), "verified")
     parts = connected(links)
     # groups that still hold several components; of two members, the pair has been tried
     placed = members.filter("m > 2").join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("root", "cls"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("who")).filter("low <> high")
-    mixed = mixed.groupBy("m", "who").agg(F.min("key").alias("key")).select("key", F.expr(f"m div {TREE_ROWS} + 1").alias("blocks"))
+    mixed = mixed.groupBy("m", "who").agg(F.min("key").alias("key"), F.count("*").alias("weight")).select("key", "weight", F.expr(f"m div {TREE_ROWS} + 1").alias("blocks"))
     rest = placed.select("key", "cls", "comp").join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     rest = S.written(rest, "mixed")
-    if not rest.isEmpty():
+    if (count := rest.count()) > 0:
         rest = rest.join(whole.select("cls", "n", "bits"), "cls").withColumn("other", F.explode(F.expr("sequence(0, cast(blocks as int) - 1)")))
         rest = rest.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
-        near = rest.groupBy("key", "x", "y").applyInArrow(_through_trees(rule), "a long, b long").distinct()
-        more = S.written(verified(near.join(tried, ["a", "b"], "left_anti")), "verified")
+        rest = rest.withColumn("part", F.pmod(F.xxhash64("key", "x", "y"), F.lit(S.parts(count, PART_ROWS))))
+        near = rest.groupBy("part").applyInArrow(_through_trees(rule), "a long, b long, shared long").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+        # keys shared in groups of three or more, and in those of two that were too few to be tried
+        near = near.join(stars, ["a", "b"], "left").filter((F.coalesce("keys", F.lit(0)) < SHARED) & (F.col("shared") + F.coalesce("keys", F.lit(0)) >= SHARED)).select("a", "b")
+        more = S.written(verified(near), "verified")
         if not more.isEmpty():
             parts = connected(links.unionByName(more))
     named = classes.join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
