@@ -29,10 +29,6 @@ FANOUT = 8
 #: Members of a group that one task takes together.
 TREE_ROWS = 1500
 FLUSH = 1 << 20
-#: Segments beyond those in which a linked pair may differ; empty ones are sent only by sets that have EMPTY or more.
-SPARE, EMPTY = 8, 4
-#: Keys that a linked pair shares at least.
-SHARED = SPARE - EMPTY + 1
 #: Rows of groups that one task takes at a time.
 PART_ROWS = 20_000
 
@@ -49,14 +45,33 @@ class Rule:
         return both * (self.num + self.den) >= self.num * (x + y)
 
 
+@dataclass(frozen=True)
+class Bands:
+    """By band of set sizes: the smallest size, how many segments a set is cut into, how many empty ones it has when
+    it sends them, and the keys that a linked pair shares at least, if its smaller set is in the band."""
+
+    lows: np.ndarray
+    segments: np.ndarray
+    empty: np.ndarray
+    shared: np.ndarray
+
+
 @lru_cache
-def bands(rule: Rule, top: int = 1 << 40) -> tuple[np.ndarray, np.ndarray]:
-    """Lowest set size of each band, and the tokens by which a linked pair may differ whose smaller set is in it."""
+def bands(rule: Rule, top: int = 1 << 40) -> Bands:
     lows = [1]
     while lows[-1] < top:
         lows.append(max(lows[-1] + 1, lows[-1] * 3 // 2))
     lows = np.array(lows)
-    return lows[:-1], (lows[1:] - 1) * (rule.den - rule.num) // rule.num
+    differ = (lows[1:] - 1) * (rule.den - rule.num) // rule.num  # tokens by which a linked pair may differ
+    # more segments than that: some of those that agree may be empty on both sides and then are not sent
+    spare, empty = 8 + differ * 3 // 10, 4 + differ // 5
+    return Bands(lows[:-1], differ + spare, empty, spare - empty + 1)
+
+
+def needed(n: np.ndarray, rule: Rule) -> np.ndarray:
+    """Keys that a set shares with any linked partner: the bound of its smallest partner's band."""
+    b = bands(rule)
+    return b.shared[np.maximum(np.searchsorted(b.lows, -(-n * rule.num // rule.den), "right") - 1, 0)]
 
 
 def _sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +110,7 @@ def _describe(rule: Rule):
         for batch in batches:
             for lo, hi in _pieces(batch.column("text")):
                 tokens, off = _sets(batch.column("text").slice(lo, hi - lo), rule.words)
-                yield pa.RecordBatch.from_arrays([batch.column("k").slice(lo, hi - lo), pa.array(np.diff(off).astype(np.int64)), pa.array(_classes(tokens, off))], names=["k", "n", "cls"])
+                yield pa.RecordBatch.from_arrays([batch.column("k").slice(lo, hi - lo), pa.array(np.diff(off).astype(np.int64)), pa.array(_classes(tokens, off)), pa.array(needed(np.diff(off), rule))], names=["k", "n", "cls", "need"])
 
     return run
 
@@ -103,12 +118,12 @@ def _describe(rule: Rule):
 def segment_keys(tokens: np.ndarray, off: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all segments, and the text of each.
 
-    Band b holds pairs whose smaller set is in it, so a set goes to its own band and, if a smaller partner may be in
-    the band below, to that one too. A band has SPARE more segments than a linked pair's sets may differ in tokens;
-    empty segments are keys only for sets that have EMPTY of them or more. So a linked pair shares SHARED keys.
+    A set goes to its own band and, if a smaller partner may be in the band below, to that one too. Empty segments are
+    keys only for sets that have many of them.
     """
     n = np.diff(off)
-    lows, differ = bands(rule)
+    band_of = bands(rule)
+    lows = band_of.lows
     own = np.searchsorted(lows, n, "right") - 1
     keys, owners = [], []
     for down in (0, 1):
@@ -116,7 +131,7 @@ def segment_keys(tokens: np.ndarray, off: np.ndarray, rule: Rule) -> tuple[np.nd
         use = np.flatnonzero((n > 0) & (band >= 0) & ((down == 0) | (-(-n * rule.num // rule.den) < lows[np.maximum(own, 0)])))
         if not len(use):
             continue
-        k = differ[band[use]] + SPARE
+        k = band_of.segments[band[use]]
         start = np.concatenate([[0], np.cumsum(k)])
         size = n[use]
         at = np.repeat(off[:-1][use] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
@@ -129,7 +144,7 @@ def segment_keys(tokens: np.ndarray, off: np.ndarray, rule: Rule) -> tuple[np.nd
         held = np.bincount(cell, minlength=start[-1])
         text = np.repeat(np.arange(len(use)), k)
         empty = np.bincount(text[held == 0], minlength=len(use))
-        keep = (held > 0) | (empty[text] >= EMPTY)
+        keep = (held > 0) | (empty >= band_of.empty[band[use]])[text]
         number = np.arange(start[-1]) - start[:-1][text]
         key = T.mix(total ^ T.mix((band[use][text].astype(np.uint64) << np.uint64(40)) + number.astype(np.uint64)))
         keys.append(key[keep])
@@ -294,11 +309,11 @@ def _through_trees(rule: Rule):
         pair = np.flatnonzero(group[1:] == group[:-1])
         a, b = np.concatenate([np.flatnonzero(alone), pair]), np.concatenate([np.flatnonzero(alone), pair + 1])
         cls = table["cls"].to_numpy()
-        weight = table["weight"].to_numpy()
+        weight, need = table["weight"].to_numpy(), table["need"].to_numpy()
         none = np.empty(0, np.int64)
-        out = [(none, none, none), *((cls[i], cls[j], weight[i]) for i, j in dual_traversal(levels, a, b, rule))]
-        i, j, keys = (np.concatenate(v) for v in zip(*out, strict=True))
-        return pa.table([np.minimum(i, j), np.maximum(i, j), keys], names=["a", "b", "shared"])
+        out = [(none, none, none, none), *((cls[i], cls[j], weight[i], np.maximum(need[i], need[j])) for i, j in dual_traversal(levels, a, b, rule))]
+        i, j, keys, least = (np.concatenate(v) for v in zip(*out, strict=True))
+        return pa.table([np.minimum(i, j), np.maximum(i, j), keys, least], names=["a", "b", "shared", "least"])
 
     return run
 
@@ -317,13 +332,13 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rule = Rule(words, num, den)
     texts = S.texts_of(docs, id_col, text_col)
     total = S.total_bytes(texts)
-    rows = S.written(texts.mapInArrow(_describe(rule), "k long, n long, cls long"), "classes")
-    classes = rows.filter("cls <> 0").groupBy("cls").agg(F.min("k").alias("k"), F.min(S.id_back()).alias("least"))
+    rows = S.written(texts.mapInArrow(_describe(rule), "k long, n long, cls long, need long"), "classes")
+    classes = rows.filter("cls <> 0").groupBy("cls").agg(F.min("k").alias("k"), F.min(S.id_back()).alias("least"), F.first("need").alias("need"))
     keys = texts.mapInArrow(_send_keys(rule, buckets := S.parts(total // 20, S.BUCKET_KEYS // 2)), "bucket int, n int, keys binary, classes binary")
     members = S.written(keys.groupBy("bucket").applyInArrow(_members, "key long, cls long, pivot long, m long"), "members")
     # classes with fewer keys than a linked pair shares have no partner
-    often = members.groupBy("cls").count().filter(F.col("count") >= SHARED).select("cls")
-    members = S.written(members.join(often, "cls", "left_semi"), "members")
+    often = members.groupBy("cls").count().join(classes, "cls").filter(F.col("count") >= F.col("need")).select("cls", "need")
+    members = S.written(members.join(often, "cls"), "members")
     wanted = members.select("cls").distinct().join(classes, "cls").select("cls", "k")
     # one text for each class; repeated ids may bring other texts or the same again
     whole = texts.join(wanted.select("k").distinct(), "k").mapInArrow(_whole_sets(rule), "cls long, n long, bits binary, tokens binary")
@@ -338,24 +353,26 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return both.filter((F.col("n") * den >= F.col("n2") * num) & (F.col("n2") * den >= F.col("n") * num)).mapInArrow(_verify(rule), "a long, b long")
 
     # a linked pair tried in fewer keys than that shares another one, in a group of three or more, without being tried there
-    stars = members.filter("cls <> pivot").groupBy(F.col("pivot").alias("a"), F.col("cls").alias("b")).agg(F.count("*").alias("keys"))
+    stars = members.filter("cls <> pivot").groupBy(F.col("pivot").alias("a"), F.col("cls").alias("b")).agg(F.count("*").alias("keys"), F.first("need").alias("need"))
     stars = S.written(stars, "stars")
-    tried = stars.filter(F.col("keys") >= SHARED).select("a", "b")
+    tried = stars.filter(F.col("keys") >= F.col("need")).select("a", "b")
     links = S.written(verified(tried), "verified")
     parts = connected(links)
     # groups that still hold several components; of two members, the pair has been tried
     placed = members.filter("m > 2").join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("root", "cls"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("who")).filter("low <> high")
     mixed = mixed.groupBy("m", "who").agg(F.min("key").alias("key"), F.count("*").alias("weight")).select("key", "weight", F.expr(f"m div {TREE_ROWS} + 1").alias("blocks"))
-    rest = placed.select("key", "cls", "comp").join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    rest = placed.select("key", "cls", "comp", "need").join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     rest = S.written(rest, "mixed")
     if (count := rest.count()) > 0:
         rest = rest.join(whole.select("cls", "n", "bits"), "cls").withColumn("other", F.explode(F.expr("sequence(0, cast(blocks as int) - 1)")))
         rest = rest.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
         rest = rest.withColumn("part", F.pmod(F.xxhash64("key", "x", "y"), F.lit(S.parts(count, PART_ROWS))))
-        near = rest.groupBy("part").applyInArrow(_through_trees(rule), "a long, b long, shared long").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+        near = rest.groupBy("part").applyInArrow(_through_trees(rule), "a long, b long, shared long, least long")
+        near = near.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("least").alias("least"))
         # keys shared in groups of three or more, and in those of two that were too few to be tried
-        near = near.join(stars, ["a", "b"], "left").filter((F.coalesce("keys", F.lit(0)) < SHARED) & (F.col("shared") + F.coalesce("keys", F.lit(0)) >= SHARED)).select("a", "b")
+        near = near.join(stars, ["a", "b"], "left").withColumn("keys", F.coalesce("keys", F.lit(0)))
+        near = near.filter("(need is null or keys < need) and shared + keys >= least").select("a", "b")
         more = S.written(verified(near), "verified")
         if not more.isEmpty():
             parts = connected(links.unionByName(more))

@@ -16,10 +16,10 @@ _SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 #: Metric: (integer value of a document, lower fence too?, slack beside the fences). Values are bins of the sketch.
 METRICS = {
-    "symbols": ("1000 * n_symbols div word_chars", False, 50),
-    "dup_lines": ("1000 * n_dup_lines div n_lines", False, 100),
-    "repeats": ("1000 * n_repeat_words div n_words", False, 100),
-    "length": ("least(100 * word_chars div n_words, 100000)", True, 100),
+    "symbols": ("1000 * n_symbols div greatest(word_chars, 1)", False, 50),
+    "dup_lines": ("1000 * n_dup_lines div greatest(n_lines, 1)", False, 100),
+    "repeats": ("1000 * n_repeat_words div greatest(n_words, 1)", False, 100),
+    "length": ("least(100 * word_chars div greatest(n_words, 1), 100000)", True, 100),
 }
 
 
