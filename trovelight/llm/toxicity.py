@@ -73,13 +73,14 @@ class Model:
     bias: float
 
 
-def train(texts: pa.Array, labels: np.ndarray, buckets: int, dims: int = 8, rounds: int = 20, rate: float = 0.05, seed: int = 7, min_texts: int = 3) -> Model:
+def train(texts: pa.Array, labels: np.ndarray, buckets: int, dims: int = 8, rounds: int = 40, rate: float = 0.03, seed: int = 7, min_texts: int = 5, share: float | None = None) -> Model:
     """Joint gradient descent (Adam) on embeddings and softmax.
 
     The first dimension starts at how surely a bucket's texts differ in label (log odds over their deviation, small
     ones zero), the others at noise. Negative texts teach by all their passages, positive ones by their currently most
     toxic passage, as only some of their passages are toxic. Buckets that fewer than `min_texts` texts hold keep an
-    embedding of zero: they could only be learnt by heart.
+    embedding of zero: they could only be learnt by heart. Every fifth text only judges: the round that orders these
+    best by label is kept, and the bias moves to where they part best, label 1 weighing `share` of all.
     """
     rng = np.random.default_rng(seed)
     emb, out = rng.normal(0, 0.1, (buckets, dims)), rng.normal(0, 0.1, (dims, 2))
@@ -93,17 +94,19 @@ def train(texts: pa.Array, labels: np.ndarray, buckets: int, dims: int = 8, roun
     if not n_pass:
         return Model(np.zeros(buckets, np.float32), 0.0)
     y = labels[doc]
+    judges = np.arange(len(labels)) % 5 == 4
+    best, kept = -1.0, None
     pair = np.unique(s.words.text_of * np.int64(s.rows) + s.back)
     word_of, text_of = pair % s.rows, pair // s.rows
     order = np.argsort(s.row, kind="stable")
     start = np.searchsorted(s.row[order], np.arange(s.rows + 1))
     held = np.zeros((2, buckets))
-    for label, text in zip(labels, np.split(word_of[np.argsort(text_of, kind="stable")], np.cumsum(np.bincount(text_of, minlength=len(labels)))[:-1]), strict=True):
-        if len(text):
+    for label, judge, text in zip(labels, judges, np.split(word_of[np.argsort(text_of, kind="stable")], np.cumsum(np.bincount(text_of, minlength=len(labels)))[:-1]), strict=True):
+        if len(text) and not judge:
             held[label, np.unique(np.concatenate([s.bucket[order[start[x] : start[x + 1]]] for x in text]))] += 1
     rare = held.sum(0) < min_texts
     neg, pos = held[0] + 0.5, held[1] + 0.5
-    sure = (np.log(pos / (labels.sum() + 1)) - np.log(neg / ((1 - labels).sum() + 1))) / np.sqrt(1 / pos + 1 / neg)
+    sure = (np.log(pos / (labels[~judges].sum() + 1)) - np.log(neg / ((1 - labels[~judges]).sum() + 1))) / np.sqrt(1 / pos + 1 / neg)
     emb[:, 0] = np.sign(sure) * np.clip(np.abs(sure) - 2, 0, 8)
     emb[rare] = 0
     out[0] = -1, 1
@@ -115,10 +118,13 @@ def train(texts: pa.Array, labels: np.ndarray, buckets: int, dims: int = 8, roun
         logit = vec @ out + bias
         p = np.exp(logit - logit.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
+        if t % 4 == 1 and (found := _order(_worst(logit[:, 1] - logit[:, 0], doc, len(labels))[judges], labels[judges])) > best:
+            best, kept = found, ((emb @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0]), logit[:, 1] - logit[:, 0])
         weight = np.where(y == 1, 0.0, 1.0)
         order = np.lexsort((-p[:, 1], doc))
         top = order[np.concatenate([[True], np.diff(doc[order]) != 0])]
         weight[top] = np.where(y[top] == 1, 1.0, 20.0)
+        weight[judges[doc]] = 0
         for c in (0, 1):
             total = weight[y == c].sum()
             if total:
@@ -137,7 +143,37 @@ def train(texts: pa.Array, labels: np.ndarray, buckets: int, dims: int = 8, roun
             m += 0.1 * (gx - m)
             v += 0.01 * (gx * gx - v)
             x -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
-    return Model((emb @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
+    margin, shift, logit = kept
+    return Model(margin, shift - _parting(_worst(logit, doc, len(labels))[judges], labels[judges], share))
+
+
+def _worst(margin: np.ndarray, doc: np.ndarray, texts: int) -> np.ndarray:
+    out = np.full(texts, -30.0)
+    np.maximum.at(out, doc, margin)
+    return out
+
+
+def _order(score: np.ndarray, y: np.ndarray) -> float:
+    """Share of pairs of a text of each label that are in order; 0 without such pairs."""
+    one, zero = np.sort(score[y == 1]), np.sort(score[y == 0])
+    if not len(one) or not len(zero):
+        return 0.0
+    return float((np.searchsorted(zero, one) + np.searchsorted(zero, one, "right")).mean() / 2 / len(zero))
+
+
+def _parting(score: np.ndarray, y: np.ndarray, share: float | None) -> float:
+    """The cut with the best F1, between two scores; 0 if only one label is there."""
+    if y.min(initial=1) == y.max(initial=0) or not len(y):
+        return 0.0
+    share = y.mean() if share is None else share
+    weight = np.where(y == 1, share / y.sum(), (1 - share) / (len(y) - y.sum()))
+    order = np.argsort(-score, kind="stable")
+    hits, taken = np.cumsum(weight[order] * y[order]), np.cumsum(weight[order])
+    f1 = 2 * hits / (taken + share)
+    f1[:-1][score[order][:-1] == score[order][1:]] = -1
+    i = int(f1.argmax())
+    below = score[order][i + 1] if i + 1 < len(y) else score[order][i] - 1
+    return float((score[order][i] + below) / 2)
 
 
 def score_texts(model: Model, texts: pa.Array) -> np.ndarray:
@@ -152,10 +188,10 @@ def score_texts(model: Model, texts: pa.Array) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(best, -500, 500)))
 
 
-def _fit(buckets: int):
+def _fit(buckets: int, share: float):
     def run(table: pa.Table) -> pa.Table:
         table = S.sorted_rows(table, "k", "text")
-        m = train(S.one_array(table["text"]), table["label"].to_numpy().astype(np.int64), buckets)
+        m = train(S.one_array(table["text"]), table["label"].to_numpy().astype(np.int64), buckets, share=share)
         return pa.table({"margin": pa.array([m.margin.tobytes()], pa.binary()), "bias": pa.array([m.bias])})
 
     return run
@@ -186,6 +222,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     taught = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (id_remainder(id_col, folds) != held_out))
     taught = taught.groupBy(F.col(id_col).cast("long").alias("k")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     counts = {r["label"]: r["count"] for r in taught.filter(F.col("label").isin(0, 1)).groupBy("label").count().collect()}
+    share = counts.get(1, 0) / max(counts.get(0, 0) + counts.get(1, 0), 1)
     odds = F.lit(0)
     for label in (0, 1):
         want = min(1.0, max_train_docs / 2 / counts[label]) if counts.get(label) else 0.0
@@ -193,7 +230,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     chosen = taught.filter(F.pmod(F.xxhash64("k", F.lit("toxic")), F.lit(1_000_000)) < odds)
     # about max_train_docs ids, by the filter above
     sample = rows.select("k", "text").join(F.broadcast(chosen), "k")
-    fitted = sample.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(_fit(buckets), "margin binary, bias double").toArrow()
+    fitted = sample.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(_fit(buckets, share), "margin binary, bias double").toArrow()
     if fitted.num_rows:
         model = Model(np.frombuffer(fitted["margin"][0].as_py(), np.float32), fitted["bias"][0].as_py())
     else:
