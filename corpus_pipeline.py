@@ -24,7 +24,8 @@ from trovelight.llm.suffix import suffix_dedup
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters (`und`) and those whose language is less likely than not."""
     rejected = detect_languages(docs).filter((F.col("lang_pred") == "und") | (F.col("score") < 0.5)).select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    # a text without letters goes by itself, whatever its id
+    return docs.filter(F.col("text").rlike(r"\p{L}")).join(rejected, "doc_id", "left_anti").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
