@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def first_relevant(results: DataFrame, cases: DataFrame) -> DataFrame:
+def first_relevant(results: DataFrame, cases: DataFrame, strategies: list[str]) -> DataFrame:
     """results: (strategy, qid, source, rank), cases: (qid, expected array). Returns (strategy, qid, first_rank): for
     every strategy and case the smallest rank of an expected source, null if there is none."""
     expected = cases.select("qid", F.explode("expected").alias("source")).distinct()
     hits = results.join(expected, ["qid", "source"]).groupBy("strategy", "qid").agg(F.min("rank").alias("first_rank"))
-    asked = results.select("strategy").distinct().join(cases.select("qid"))
+    asked = cases.select("qid", F.explode(F.array(*map(F.lit, strategies))).alias("strategy"))
     return asked.join(hits, ["strategy", "qid"], "left")
 
 

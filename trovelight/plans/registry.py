@@ -209,8 +209,9 @@ def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     in every text that holds it, so pairs come from an equi-join on three words in a row, and are then compared."""
     words = F.split("text", r"\s+")
     asked = _questions(spark, sf_dir).filter(F.size(words) > 5).withColumn("anchor", F.array_join(F.slice(words, 3, 3), " "))
-    runs = F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_join(F.slice(words, i, 3), " "))
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"), F.explode(F.array_distinct(runs)).alias("anchor"))
+    runs = F.transform(F.sequence(F.lit(1), F.size("words")), lambda i: F.array_join(F.slice("words", i, 3), " "))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"), words.alias("words"))
+    docs = docs.select("doc_id", "body", F.explode(F.array_distinct(runs)).alias("anchor"))
     held = docs.join(asked, "anchor").filter(F.contains("body", "text")).select("qid", "text", "doc_id").distinct()
     return held.groupBy("qid", "text").agg(F.collect_set(F.col("doc_id").cast("string")).alias("expected"))
 
@@ -221,7 +222,7 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, found in runs.items():
         rows = found.select(F.lit(name).alias("strategy"), "qid", F.col("id").cast("string").alias("source"), "rank")
         out = rows if out is None else out.unionByName(rows)
-    return metrics.first_relevant(out, _cases(spark, sf_dir))
+    return metrics.first_relevant(out, _cases(spark, sf_dir), list(runs))
 
 
 @query

@@ -77,6 +77,7 @@ class Retriever:
         """Fuses the hybrid lists of the question and of up to `variants` rephrasings."""
         asked = self._ask(questions, VARIANTS, "Query: ").select("qid", F.posexplode(variant_lines(F.col("text"), variants)).alias("n", "text"))
         every = questions.select("qid", F.lit(0).alias("list_no"), "text").unionByName(asked.select("qid", (F.col("n") + 1).alias("list_no"), "text"))
-        every = every.withColumn("both", F.struct("qid", "list_no")).select(F.to_json("both").alias("qid"), "text", "both")
+        both = F.struct("qid", "list_no")
+        every = every.select(F.xxhash64("qid", "list_no").alias("qid"), "text", both.alias("both"))
         lists = self.hybrid(every.select("qid", "text"), CANDIDATES).join(every.select("qid", "both"), "qid")
         return fuse_numbered(lists.select("both.qid", "id", "both.list_no", "rank"), k)
