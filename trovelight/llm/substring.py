@@ -15,25 +15,35 @@ from trovelight.llm import textarrays as T
 
 #: Rolling windows that a map task gathers before it sends them.
 FLUSH = 2 << 20
-_PROBE = "bucket int, n int, keys binary, many binary, b int, bkeys binary, ids binary, nos binary"
+_PROBE = "bucket int, n int, keys binary, many binary, b int, bkeys binary, ids binary, nos binary, sure int, sids binary, snos binary"
 _RESULT = "k long, n_words long, n_removed long, n_spans long, kept_sha256 string, kept string"
 
 
 def _probes(block: int, buckets: int):
-    """Sends every rolling block-sized window once a task and bucket, as 32 bits below the bucket's, and each aligned block with its place."""
+    """Sends every rolling block-sized window once a task and bucket, as 32 bits below the bucket's, and each aligned
+    block with its place. Blocks whose words the task holds twice are hit for sure; their places are spread over all
+    buckets, so that a common passage makes no bucket large."""
 
     def flush(keys, blocks, ids, nos) -> pa.RecordBatch:
         u, c = np.unique(np.concatenate(keys), return_counts=True)
         h, i, no = np.concatenate(blocks), np.concatenate(ids), np.concatenate(nos)
+        sure = c[np.searchsorted(u, h)] > 1
+        si, sno = i[sure], no[sure]
+        to = (T.mix(si.view(np.uint64) + sno.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        si, sno, edge = si[order], sno[order], np.searchsorted(to[order], np.arange(buckets + 1))
+        h, i, no = h[~sure], i[~sure], no[~sure]
         order = np.argsort(h, kind="stable")
         h, i, no = h[order], i[order], no[order]
         at = {b: (lo, hi) for b, lo, hi in S.bucket_bounds(h, buckets)} if len(h) else {}
+        own = {b: (lo, hi) for b, lo, hi in S.bucket_bounds(u, buckets)}
         rows = []
-        for b, lo, hi in S.bucket_bounds(u, buckets):
-            x, y = at.get(b, (0, 0))
-            rows.append((b, hi - lo, u[lo:hi].astype(np.uint32).tobytes(), np.packbits(c[lo:hi] > 1).tobytes(), y - x, h[x:y].astype(np.uint32).tobytes(), S.pack(i[x:y]), S.pack(no[x:y])))
-        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "n", "keys", "many", "b", "bkeys", "ids", "nos"])
+        for b in range(buckets):
+            (lo, hi), (x, y), (s, e) = own.get(b, (0, 0)), at.get(b, (0, 0)), edge[b : b + 2]
+            if hi > lo or e > s:
+                rows.append((b, hi - lo, u[lo:hi].astype(np.uint32).tobytes(), np.packbits(c[lo:hi] > 1).tobytes(), y - x, h[x:y].astype(np.uint32).tobytes(), S.pack(i[x:y]), S.pack(no[x:y]), int(e - s), S.pack(si[s:e]), S.pack(sno[s:e])))
+        n, x = pa.int32(), pa.binary()
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), (n, n, x, x, n, x, x, x, n, x, x), strict=True)], names=[p.split()[0] for p in _PROBE.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = ([], [], [], []), 0
@@ -74,6 +84,9 @@ def _hit_blocks(table: pa.Table) -> pa.Table:
         hit = twice[np.minimum(np.searchsorted(twice, mine), len(twice) - 1)] == mine if len(twice) else np.zeros(len(mine), bool)
         ids.append(S.unpack(col["ids"][i], col["b"][i], np.int64)[hit])
         nos.append(S.unpack(col["nos"][i], col["b"][i], np.int32)[hit])
+    for i in (i for i, n in enumerate(col["sure"]) if n):
+        ids.append(S.unpack(col["sids"][i], col["sure"][i], np.int64))
+        nos.append(S.unpack(col["snos"][i], col["sure"][i], np.int32))
     return pa.table([np.concatenate(ids), np.concatenate(nos)], names=["k", "no"])
 
 
