@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +25,8 @@ from trovelight.llm.components import connected
 
 TOKEN_BITS = 54
 MAX_TEXTS = 1 << (64 - TOKEN_BITS)
-BITMAP_WORDS = 32
+#: Bits of a token bitmap: a power of two from the first to the last, half as many again as the set has tokens.
+BITMAP_BITS = 1 << 10, 1 << 16
 FANOUT = 8
 #: Members of a group that one task takes together.
 TREE_ROWS = 1500
@@ -198,9 +200,15 @@ def _members(table: pa.Table) -> pa.Table:
 
 
 def _bitmap(tokens: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITMAP_WORDS * 64, bool)
-    bits[(tokens % np.uint64(BITMAP_WORDS * 64)).astype(np.int64)] = True
-    return np.packbits(bits)
+    width = int(np.clip(1 << (len(tokens) * 3 // 2).bit_length(), *BITMAP_BITS))
+    bits = np.zeros(width, bool)
+    bits[(tokens % np.uint64(width)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little")
+
+
+def _folded(bits: bytes, words: int) -> np.ndarray:
+    """A bitmap as it would be in `words` 64-bit words."""
+    return np.bitwise_or.reduce(np.frombuffer(bits, np.uint64).reshape(-1, words), axis=0)
 
 
 def _whole_sets(rule: Rule):
@@ -296,25 +304,32 @@ def dual_traversal(levels: list[Level], a: np.ndarray, b: np.ndarray, rule: Rule
 
 
 def _through_trees(rule: Rule):
-    def run(table: pa.Table) -> pa.Table:
-        table = S.sorted_rows(table, "key", "x", "y", "block", "n", "cls")
-        key, x, y, block = (table[c].to_numpy() for c in ("key", "x", "y", "block"))
+    def same_width(table: pa.Table, width: int) -> pa.Table:
+        key, x, y, block, n, cls, comp, weight, need = (table[c].to_numpy() for c in ("key", "x", "y", "block", "n", "cls", "comp", "weight", "need"))
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
         new_tree = new | np.concatenate([[True], block[1:] != block[:-1]])
-        bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(-1, BITMAP_WORDS)
-        levels = signature_trees(bits, table["n"].to_numpy(), table["comp"].to_numpy(), np.cumsum(new_tree))
+        bits = np.stack([_folded(b, width) for b in table["bits"].to_pylist()])
+        levels = signature_trees(bits, n, comp, np.cumsum(new_tree))
         # a group of one block meets itself; of two blocks, one the other
         group, first = np.cumsum(new)[new_tree], np.flatnonzero(new_tree)
         alone = x[first] == y[first]
         pair = np.flatnonzero(group[1:] == group[:-1])
         a, b = np.concatenate([np.flatnonzero(alone), pair]), np.concatenate([np.flatnonzero(alone), pair + 1])
-        cls = table["cls"].to_numpy()
-        weight, need = table["weight"].to_numpy(), table["need"].to_numpy()
         none = np.empty(0, np.int64)
         out = [(none, none, none, none), *((cls[i], cls[j], weight[i], np.maximum(need[i], need[j])) for i, j in dual_traversal(levels, a, b, rule))]
         i, j, keys, least = (np.concatenate(v) for v in zip(*out, strict=True))
         return pa.table([np.minimum(i, j), np.maximum(i, j), keys, least], names=["a", "b", "shared", "least"])
 
+    def run(table: pa.Table) -> pa.Table:
+        table = S.sorted_rows(table, "key", "x", "y", "block", "n", "cls")
+        key, x, y = (table[c].to_numpy() for c in ("key", "x", "y"))
+        first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
+        words = np.asarray(pc.binary_length(S.one_array(table["bits"]))) // 8
+        narrow = np.repeat(np.minimum.reduceat(words, first), np.diff(np.append(first, len(words))))
+        found = pa.concat_tables([same_width(table.take(pa.array(np.flatnonzero(narrow == w))), int(w)) for w in np.unique(narrow)])
+        # one row for each pair of a task
+        return found.group_by(["a", "b"]).aggregate([("shared", "sum"), ("least", "max")]).rename_columns(["a", "b", "shared", "least"])
+
     return run
 
 
@@ -352,27 +367,35 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         both = left.join(sets.select(F.col("cls").alias("b"), F.col("n").alias("n2"), F.col("tokens").alias("tokens2")), "b")
         return both.filter((F.col("n") * den >= F.col("n2") * num) & (F.col("n2") * den >= F.col("n") * num)).mapInArrow(_verify(rule), "a long, b long")
 
-    # a linked pair tried in fewer keys than that shares another one, in a group of three or more, without being tried there
-    stars = members.filter("cls <> pivot").groupBy(F.col("pivot").alias("a"), F.col("cls").alias("b")).agg(F.count("*").alias("keys"), F.first("need").alias("need"))
+    # tried: pairs that a group of two holds, and each class with the one it shares most keys with; other linked pairs
+    # are in groups of three or more
+    stars = members.filter("cls <> pivot").groupBy(F.col("pivot").alias("a"), F.col("cls").alias("b")).agg(F.count("*").alias("keys"), F.first("need").alias("need"), F.min("m").alias("m"))
     stars = S.written(stars, "stars")
-    tried = stars.filter(F.col("keys") >= F.col("need")).select("a", "b")
+    best = stars.groupBy("b").agg(F.max(F.struct("keys", "a"))["a"].alias("best"))
+    tried = stars.filter("keys >= need").join(best, "b").filter("m = 2 or a = best")
+    tried = S.written(tried.select("a", "b"), "tried")
     links = S.written(verified(tried), "verified")
     parts = connected(links)
     # groups that still hold several components; of two members, the pair has been tried
     placed = members.filter("m > 2").join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("root", "cls"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("who")).filter("low <> high")
-    mixed = mixed.groupBy("m", "who").agg(F.min("key").alias("key"), F.count("*").alias("weight")).select("key", "weight", F.expr(f"m div {TREE_ROWS} + 1").alias("blocks"))
-    rest = placed.select("key", "cls", "comp", "need").join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    mixed = mixed.groupBy("m", "who", "low").agg(F.min("key").alias("key"), F.count("*").alias("weight")).select("key", "weight", "low")
+    rest = placed.select("key", "cls", "comp", "need").join(mixed, "key").withColumn("main", F.col("comp") == F.col("low"))
     rest = S.written(rest, "mixed")
     if (count := rest.count()) > 0:
-        rest = rest.join(whole.select("cls", "n", "bits"), "cls").withColumn("other", F.explode(F.expr("sequence(0, cast(blocks as int) - 1)")))
-        rest = rest.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
+        # blocks of the group's first component are below 0; they meet the others' blocks, not each other
+        size = rest.groupBy("key").agg(F.count_if("main").alias("m"), F.count_if(~F.col("main")).alias("r"))
+        size = size.select("key", F.expr(f"cast(m div {TREE_ROWS} + 1 as int)").alias("mains"), F.expr(f"cast(r div {TREE_ROWS} + 1 as int)").alias("rests"))
+        rest = rest.join(size, "key").withColumn("h", F.xxhash64("cls")).withColumn("block", F.expr("cast(if(main, -1 - pmod(h, mains), pmod(h, rests)) as int)"))
+        rest = rest.withColumn("other", F.explode(F.expr("sequence(if(main, 0, -mains), rests - 1)")))
+        rest = rest.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other")).drop("h", "mains", "rests", "main", "low", "other")
+        rest = rest.join(whole.select("cls", "n", "bits"), "cls")
         rest = rest.withColumn("part", F.pmod(F.xxhash64("key", "x", "y"), F.lit(S.parts(count, PART_ROWS))))
         near = rest.groupBy("part").applyInArrow(_through_trees(rule), "a long, b long, shared long, least long")
         near = near.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("least").alias("least"))
-        # keys shared in groups of three or more, and in those of two that were too few to be tried
-        near = near.join(stars, ["a", "b"], "left").withColumn("keys", F.coalesce("keys", F.lit(0)))
-        near = near.filter("(need is null or keys < need) and shared + keys >= least").select("a", "b")
+        # keys shared in groups of three or more, and with the smallest member
+        near = near.join(tried, ["a", "b"], "left_anti").join(stars.select("a", "b", "keys"), ["a", "b"], "left")
+        near = near.filter(F.col("shared") + F.coalesce("keys", F.lit(0)) >= F.col("least")).select("a", "b")
         more = S.written(verified(near), "verified")
         if not more.isEmpty():
             parts = connected(links.unionByName(more))
