@@ -20,7 +20,11 @@ def connected(links: DataFrame) -> DataFrame:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         step = labels.join(near, "node", "left").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         jump = labels.select(F.col("node").alias("root"), F.col("root").alias("further"))
-        step = S.written(step.join(jump, "root", "left").select("node", "old", F.least("root", "further").alias("root")), "labels")
+        before, step = labels, S.written(step.join(jump, "root", "left").select("node", "old", F.least("root", "further").alias("root")), "labels")
+        done = step.filter("old <> root").isEmpty()
+        S.discard(before)
         labels = step.select("node", "root")
-        if step.filter("old <> root").isEmpty():
+        labels.scratch_path = step.scratch_path
+        if done:
+            S.discard(both)
             return labels

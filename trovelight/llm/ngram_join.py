@@ -353,7 +353,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = S.written(keys.groupBy("bucket").applyInArrow(_members, "key long, cls long, pivot long, m long"), "members")
     # classes with fewer keys than a linked pair shares have no partner
     often = members.groupBy("cls").count().join(classes, "cls").filter(F.col("count") >= F.col("need")).select("cls", "need")
-    members = S.written(members.join(often, "cls"), "members")
+    every, members = members, S.written(members.join(often, "cls"), "members")
+    S.discard(every)
     wanted = members.select("cls").distinct().join(classes, "cls").select("cls", "k")
     # one text for each class; repeated ids may bring other texts or the same again
     whole = texts.join(wanted.select("k").distinct(), "k").mapInArrow(_whole_sets(rule), "cls long, n long, bits binary, tokens binary")

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 #: Stands for a null id inside the operators.
 NO_ID = -(1 << 63)
-CHUNK_BYTES = 6 << 20
-BUCKET_KEYS = 2 << 20
+CHUNK_BYTES = 4 << 20
+BUCKET_KEYS = 1 << 20
 _codec = pa.Codec("zstd", 1)
 
 
@@ -36,7 +36,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The DataFrame as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written() tables that nothing lazy still reads: all that came from them has itself been written."""
+    for t in tables:
+        jvm = t.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.scratch_path)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -140,12 +140,15 @@ def _repeated_phrases(table: pa.Table) -> pa.Table:
 
 
 def doubled(ranks: DataFrame, offset: int) -> DataFrame:
-    """Ranks (k, m, r) of twice as long prefixes: pairs of ranks `offset` phrases apart that occur twice or more."""
+    """Ranks (k, m, r) of twice as long prefixes: pairs of ranks `offset` phrases apart that occur twice or more. Takes
+    the place of the written table `ranks`."""
     later = ranks.select("k", (F.col("m") - offset).alias("m"), F.col("r").alias("r2"))
     # written, so that the join below has exchanges of its own, in which a very frequent pair can be split
     pairs = S.written(ranks.join(later, ["k", "m"]), "pairs")
     again = S.written(pairs.groupBy("r", "r2").count().filter("count > 1").select("r", "r2"), "again")
-    return pairs.join(again, ["r", "r2"], "left_semi").select("k", "m", F.xxhash64("r", "r2").alias("r"))
+    out = S.written(pairs.join(again, ["r", "r2"], "left_semi").select("k", "m", F.xxhash64("r", "r2").alias("r")), "ranks")
+    S.discard(ranks, pairs, again)
+    return out
 
 
 def _candidates(table: pa.Table, length: int):
@@ -221,17 +224,15 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     firsts = copies.select("k").distinct()
     sent = texts.mapInArrow(_send_phrases(length, S.parts(total // 32, S.BUCKET_KEYS // 2)), _PHRASES)
     ranks = sent.groupBy("bucket").applyInArrow(_repeated_phrases, "k long, m int, r long").join(firsts, "k", "left_semi")
-    offset = 1
-    while True:
-        ranks = S.written(ranks, "ranks")
-        if 2 * offset > _phrases_inside(length):
-            break
+    ranks, offset = S.written(ranks, "ranks"), 1
+    while 2 * offset <= _phrases_inside(length):
         ranks = doubled(ranks, offset)
         offset *= 2
     hits = ranks.groupBy("k").agg(F.collect_set("m").alias("hits"))
     chunks, buckets = S.parts(total, S.CHUNK_BYTES), S.parts(total // 4, S.BUCKET_KEYS)
     near = texts.join(hits, "k").select(F.pmod(F.xxhash64("k"), F.lit(chunks)).alias("chunk"), "k", "text", full.alias("sha"), "hits")
     near = S.written(near, "repeating")
+    S.discard(ranks)
     answers = S.replies(near.groupBy("chunk").applyInArrow(_ask(length, buckets), S.REQUEST))
     cut = near.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_remove(length, with_text), _CUT).dropDuplicates(["k", "sha"])
     out = rows.join(copies.select("sha", "copies"), "sha").join(cut, ["k", "sha"], "left")
