@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 import pytest
-from fixtures import ids_and_texts, jaccard_components, key, odd_documents, repeated_windows, words_of
+from fixtures import ids_and_texts, jaccard_components, key, odd_documents, repeated_windows, sentence, words_of
 from pyspark.sql import functions as F
 
 from trovelight.llm import ngram_join as nj
@@ -96,6 +96,15 @@ def test_substring_equals_brute_force(docs, odd, window, monkeypatch):
         assert got == words_brute(table, window)
 
 
+@pytest.mark.parametrize("last", [9, None])
+def test_substring_of_ids_whose_last_text_is_shorter(spark, last):
+    base = sentence(random.Random(8), 120)
+    rows = [(1, base), (last, base), (last, "z"), (last, ""), (last, None), (last, "z " + base[:300])]
+    docs = spark.createDataFrame(rows if last else rows[1:] + rows[1:], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"], r["kept"]) for r in substring_dedup(docs).collect()), key=key)
+    assert got == words_brute(docs, 35)
+
+
 def bytes_brute(docs, n):
     rows = [(k, (t or "").encode()) for k, t in ids_and_texts(docs)]
     out = []

@@ -100,8 +100,10 @@ def _candidates(table: pa.Table, window: int, block: int):
         off = np.concatenate([[0], np.cumsum(per)])
         hit = np.zeros(off[-1], bool)
         own = S.one_array(hits.slice(lo, hi - lo))
-        counts = np.asarray(own.value_lengths())
-        hit[np.repeat(off[:-1], counts) + np.asarray(own.flatten())] = True
+        text = np.repeat(np.arange(hi - lo), np.asarray(own.value_lengths()))
+        number = off[text] + np.asarray(own.flatten())
+        # other texts of the same id may have more blocks
+        hit[number[number < off[text + 1]]] = True
         at = T.inside_text(w.first, window)
         if len(at):
             doc = w.text_of[at]
