@@ -21,19 +21,34 @@ from trovelight.llm.shared import written
 from trovelight.llm.suffix import suffix_dedup
 
 
+#: A column that no table has.
+KEY = "pipeline_row_key"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """Documents with a key that is never null: the id, or else a hash of the text, from 2**62 on, so that in a group of
+    near copies an id below that goes before it."""
+    own = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("text"), 2)
+    return docs.withColumn(KEY, F.coalesce(F.col("doc_id").cast("long"), own))
+
+
+def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Documents but for those whose key is rejected."""
+    return keyed(docs).join(rejected.select(KEY).distinct(), KEY, "left_anti").select(*docs.columns)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters (`und`) and those whose language is less likely than not."""
-    rejected = detect_languages(docs).filter((F.col("lang_pred") == "und") | (F.col("score") < 0.5)).select("doc_id").distinct()
+    rejected = detect_languages(keyed(docs), key_col=KEY).filter((F.col("lang_pred") == "und") | (F.col("score") < 0.5))
     # a text without letters goes by itself, whatever its id
-    return docs.filter(F.col("text").rlike(r"\p{L}")).join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs.filter(F.col("text").rlike(r"\p{L}")), rejected)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group of five-word shingle similarity 0.8 or more."""
-    groups = written(ngram_join(docs, words=5, num=80, den=100), "groups")
-    dropped = groups.filter("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    if not groups.filter("n_shingles > 0 and component_id = doc_id").groupBy("doc_id").count().filter("count > 1").isEmpty():
+    """Keeps the document of the smallest key of each group of five-word shingle similarity 0.8 or more."""
+    groups = written(ngram_join(keyed(docs), id_col=KEY, words=5, num=80, den=100), "groups")
+    kept = without(docs, groups.filter(f"component_id <> {KEY}"))
+    if not groups.filter(f"n_shingles > 0 and component_id = {KEY}").groupBy(KEY).count().filter("count > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id", "text"])
     return kept
 
@@ -50,8 +65,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold four fifths or more of a benchmark item's words, in tiles of five words or more."""
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), min_tile=5, threshold=0.8)
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return without(docs, contamination(keyed(docs), items, id_col=KEY, min_tile=5, threshold=0.8))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

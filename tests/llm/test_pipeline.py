@@ -1,10 +1,11 @@
 """The corpus pipeline against a brute-force version of its stages."""
 
+import random
 import re
 
 import duckdb
 import pandas as pd
-from fixtures import ids_and_texts, jaccard_components, odd_documents, repeated_windows
+from fixtures import ids_and_texts, jaccard_components, odd_documents, repeated_windows, sentence
 from test_rules import tile_brute
 
 import corpus_pipeline
@@ -56,3 +57,28 @@ def test_stages_of_odd_documents(spark, sf_dir):
             assert out.filter("copies < 1").count() == 0
     texts = [t for _, t in ids_and_texts(docs)]
     assert len(texts) == len(set(texts)) > 10 and None not in texts
+
+
+def texts_without_id(table):
+    return sorted(t for k, t in ids_and_texts(table) if k is None)
+
+
+def test_documents_without_id_are_rejected_as_others(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(300)
+    add = lambda texts: docs.unionByName(spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string"), allowMissingColumns=True)
+    rng = random.Random(6)
+    named, one, other = docs.filter("length(text) > 400").first()["text"], sentence(rng, 100), sentence(rng, 100)
+    table = add([named + " more", one, one + " more", other])
+    got = corpus_pipeline.near_duplicates(spark, table, sf_dir)
+    left = texts_without_id(got)
+    assert other in left and len(left) == 2 and named in {r["text"] for r in got.collect()}
+    items = [r["text"] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").limit(5).collect()]
+    assert texts_without_id(corpus_pipeline.benchmark_passages(spark, add([*items, one + " " + items[0], other]), sf_dir)) == [other]
+    mixed = [" ".join(r["text"].split()[:20]) for r in docs.groupBy("lang").agg({"text": "min"}).withColumnRenamed("min(text)", "text").collect()]
+    table = add([*mixed, " ".join(mixed), *(" ".join(w) for w in zip(*(m.split() for m in mixed), strict=False)), "zq", "123"])
+    nameless = table.filter("doc_id is null").withColumnRenamed("doc_id", "was").selectExpr("monotonically_increasing_id() as n", "text")
+    scored = detect_languages(table.withColumn("n", corpus_pipeline.F.crc32("text")), key_col="n").select("n", "lang_pred", "score").distinct()
+    judged = nameless.withColumn("n", corpus_pipeline.F.crc32("text")).join(scored, "n").collect()
+    want = sorted(r["text"] for r in judged if r["lang_pred"] != "und" and r["score"] >= 0.5)
+    assert texts_without_id(corpus_pipeline.language_id(spark, table, sf_dir)) == want
+    assert any(r["lang_pred"] != "und" and r["score"] < 0.5 for r in judged)

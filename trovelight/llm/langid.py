@@ -176,19 +176,21 @@ def id_remainder(id_col: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % n
 
 
-def detect_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_out: int = 2, max_train_docs: int = 20_000, max_entries: int = 150_000) -> DataFrame:
+def detect_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_out: int = 2, max_train_docs: int = 20_000, max_entries: int = 150_000, key_col: str | None = None) -> DataFrame:
     """Predicts the language of each whole text, learning from labelled documents outside the held-out fold.
 
     Known words score by their log frequency in each language, unseen ones by progressively shorter character
     n-grams. Words are lower-cased runs of letters. The score is the predicted language's share after a softmax over
     word evidence divided by the root of the word count.
 
-    Returns doc_id, held_out, lang_pred, score, one row per input row. Null text, or one without letters: `und`, 0.
+    Returns doc_id (or key_col in its place; folds still go by id), held_out, lang_pred, score, one row per input row. Null
+    text, or one without letters: `und`, 0.
     Without labels everything is `und`. Repeated rows each count in training and return. Ties go to the first
     language by name.
     """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(S.NO_ID)).alias("k"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), (id_remainder(id_col, folds) == held_out).alias("held_out"))
+    key_col = key_col or id_col
+    rows = docs.select(F.coalesce(F.col(key_col).cast("long"), F.lit(S.NO_ID)).alias("k"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), (id_remainder(id_col, folds) == held_out).alias("held_out"))
     model = train(rows.filter(~F.col("held_out")), max_train_docs, max_entries)
     shared_model = docs.sparkSession.sparkContext.broadcast(model)
     out = rows.select("k", "text", "held_out").mapInArrow(_predict(shared_model), "k long, held_out boolean, lang_pred string, score double")
-    return out.select(S.id_back().alias(id_col), "held_out", "lang_pred", "score")
+    return out.select(S.id_back().alias(key_col), "held_out", "lang_pred", "score")
