@@ -53,6 +53,25 @@ def test_join_over_many_near_copies_goes_through_trees(spark, monkeypatch):
     check_join(docs, 3, 90)
 
 
+def test_short_equal_sets_send_no_keys_and_parts_count_copied_rows(spark, monkeypatch):
+    rule = nj.Rule(3, 90, 100)
+    off = np.concatenate([[0], np.cumsum(np.arange(1, 9))])
+    assert not len(nj.segment_keys(np.random.default_rng(1).integers(0, 1 << 54, off[-1], dtype=np.uint64), off, rule)[0])
+    rng, rows, asked = random.Random(7), [], []
+    for i in range(60):
+        w = [f"w{j}" for j in range(60)]
+        w[rng.randrange(60)] = w[rng.randrange(60)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    parts = shared.parts
+    monkeypatch.setattr(shared, "parts", lambda total, each: asked.append((each, total)) or parts(total, each))
+    for size in (1000, 7):
+        monkeypatch.setattr(nj, "TREE_ROWS", size)
+        check_join(docs, 3, 90)
+    few, many = (total for each, total in asked if each == nj.PART_ROWS)
+    assert many > 2 * few
+
+
 def test_traversal_keeps_every_linked_pair():
     rng = np.random.default_rng(4)
     rule = nj.Rule(3, 80, 100)

@@ -49,10 +49,12 @@ class Rule:
 
 @dataclass(frozen=True)
 class Bands:
-    """By band of set sizes: the smallest size, how many segments a set is cut into, how many empty ones it has when
-    it sends them, and the keys that a linked pair shares at least, if its smaller set is in the band."""
+    """By band of set sizes: the smallest size, by how many tokens a linked pair may differ whose smaller set is in the
+    band, how many segments a set is cut into, how many empty ones it has when it sends them, and the keys that such a
+    pair shares at least."""
 
     lows: np.ndarray
+    differ: np.ndarray
     segments: np.ndarray
     empty: np.ndarray
     shared: np.ndarray
@@ -67,7 +69,7 @@ def bands(rule: Rule, top: int = 1 << 40) -> Bands:
     differ = (lows[1:] - 1) * (rule.den - rule.num) // rule.num  # tokens by which a linked pair may differ
     # more segments than that: some of those that agree may be empty on both sides and then are not sent
     spare, empty = 8 + differ * 3 // 10, 4 + differ // 5
-    return Bands(lows[:-1], differ + spare, empty, spare - empty + 1)
+    return Bands(lows[:-1], differ, differ + spare, empty, spare - empty + 1)
 
 
 def needed(n: np.ndarray, rule: Rule) -> np.ndarray:
@@ -120,8 +122,8 @@ def _describe(rule: Rule):
 def segment_keys(tokens: np.ndarray, off: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all segments, and the text of each.
 
-    A set goes to its own band and, if a smaller partner may be in the band below, to that one too. Empty segments are
-    keys only for sets that have many of them.
+    A set goes to its own band and, if a smaller partner may be in the band below, to that one too, but to none whose
+    sets link with equal ones only: these are one class. Empty segments are keys only for sets that have many of them.
     """
     n = np.diff(off)
     band_of = bands(rule)
@@ -130,7 +132,7 @@ def segment_keys(tokens: np.ndarray, off: np.ndarray, rule: Rule) -> tuple[np.nd
     keys, owners = [], []
     for down in (0, 1):
         band = own - down
-        use = np.flatnonzero((n > 0) & (band >= 0) & ((down == 0) | (-(-n * rule.num // rule.den) < lows[np.maximum(own, 0)])))
+        use = np.flatnonzero((n > 0) & (band >= 0) & ((down == 0) | (-(-n * rule.num // rule.den) < lows[np.maximum(own, 0)])) & (band_of.differ[np.maximum(band, 0)] > 0))
         if not len(use):
             continue
         k = band_of.segments[band[use]]
@@ -383,15 +385,18 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     mixed = mixed.groupBy("m", "who", "low").agg(F.min("key").alias("key"), F.count("*").alias("weight")).select("key", "weight", "low")
     rest = placed.select("key", "cls", "comp", "need").join(mixed, "key").withColumn("main", F.col("comp") == F.col("low"))
     rest = S.written(rest, "mixed")
-    if (count := rest.count()) > 0:
+    if not rest.isEmpty():
         # blocks of the group's first component are below 0; they meet the others' blocks, not each other
         size = rest.groupBy("key").agg(F.count_if("main").alias("m"), F.count_if(~F.col("main")).alias("r"))
-        size = size.select("key", F.expr(f"cast(m div {TREE_ROWS} + 1 as int)").alias("mains"), F.expr(f"cast(r div {TREE_ROWS} + 1 as int)").alias("rests"))
+        size = size.select("key", F.expr(f"cast(m div {TREE_ROWS} + 1 as int)").alias("mains"), F.expr(f"cast(r div {TREE_ROWS} + 1 as int)").alias("rests"), "m", "r")
+        # a row goes to each block that its own meets
+        copied = size.agg(F.sum(F.expr("m * rests + r * (mains + rests)"))).first()[0]
+        size = size.drop("m", "r")
         rest = rest.join(size, "key").withColumn("h", F.xxhash64("cls")).withColumn("block", F.expr("cast(if(main, -1 - pmod(h, mains), pmod(h, rests)) as int)"))
         rest = rest.withColumn("other", F.explode(F.expr("sequence(if(main, 0, -mains), rests - 1)")))
         rest = rest.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other")).drop("h", "mains", "rests", "main", "low", "other")
         rest = rest.join(whole.select("cls", "n", "bits"), "cls")
-        rest = rest.withColumn("part", F.pmod(F.xxhash64("key", "x", "y"), F.lit(S.parts(count, PART_ROWS))))
+        rest = rest.withColumn("part", F.pmod(F.xxhash64("key", "x", "y"), F.lit(S.parts(copied, PART_ROWS))))
         near = rest.groupBy("part").applyInArrow(_through_trees(rule), "a long, b long, shared long, least long")
         near = near.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("least").alias("least"))
         # keys shared in groups of three or more, and with the smallest member
