@@ -72,6 +72,28 @@ def test_short_equal_sets_send_no_keys_and_parts_count_copied_rows(spark, monkey
     assert many > 2 * few
 
 
+@pytest.mark.parametrize("num", [50, 66, 100])
+def test_partners_more_than_one_band_apart(spark, num):
+    rng, rows = random.Random(num), []
+    for n in (1, 2, 3, 5, 19, 62, 93, 140):
+        w = sentence(rng, -(-n * 100 // num)).split()
+        rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(w[:n]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join(docs, words=1, num=num).collect()}
+    assert got == {k: c for k, _, c in jaccard_components(rows, 1, num)}
+
+
+def test_linked_pairs_share_a_band_and_the_keys_they_need():
+    for num in (5, 20, 34, 50, 66, 80, 90):
+        rule = nj.Rule(1, num, 100)
+        b, n = nj.bands(rule), np.arange(1, 1500)
+        low, need = nj.lowest_band(n, rule), nj.needed(n, rule)
+        for x in n[:600]:
+            y = n[(n >= x) & (n * num <= x * 100)]
+            own = np.searchsorted(b.lows, x, "right") - 1
+            assert (low[y - 1] <= own).all() and (np.maximum(need[y - 1], need[x - 1]) <= b.shared[own]).all()
+
+
 def test_traversal_keeps_every_linked_pair():
     rng = np.random.default_rng(4)
     rule = nj.Rule(3, 80, 100)

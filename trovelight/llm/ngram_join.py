@@ -72,10 +72,15 @@ def bands(rule: Rule, top: int = 1 << 40) -> Bands:
     return Bands(lows[:-1], differ, differ + spare, empty, spare - empty + 1)
 
 
+def lowest_band(n: np.ndarray, rule: Rule) -> np.ndarray:
+    """The band of the smallest partner that a set of n tokens may link with."""
+    return np.maximum(np.searchsorted(bands(rule).lows, -(-n * rule.num // rule.den), "right") - 1, 0)
+
+
 def needed(n: np.ndarray, rule: Rule) -> np.ndarray:
-    """Keys that a set shares with any linked partner: the bound of its smallest partner's band."""
-    b = bands(rule)
-    return b.shared[np.maximum(np.searchsorted(b.lows, -(-n * rule.num // rule.den), "right") - 1, 0)]
+    """Keys that a set shares with any linked partner: the least bound from its smallest partner's band up."""
+    least = np.minimum.accumulate(bands(rule).shared[::-1])[::-1]
+    return least[lowest_band(n, rule)]
 
 
 def _sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,17 +127,17 @@ def _describe(rule: Rule):
 def segment_keys(tokens: np.ndarray, off: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all segments, and the text of each.
 
-    A set goes to its own band and, if a smaller partner may be in the band below, to that one too, but to none whose
-    sets link with equal ones only: these are one class. Empty segments are keys only for sets that have many of them.
+    A set goes to its own band and to all below in which a smaller partner may be, but to none whose sets link with
+    equal ones only: these are one class. Empty segments are keys only for sets that have many of them.
     """
     n = np.diff(off)
     band_of = bands(rule)
     lows = band_of.lows
-    own = np.searchsorted(lows, n, "right") - 1
+    own, least = np.searchsorted(lows, n, "right") - 1, lowest_band(n, rule)
     keys, owners = [], []
-    for down in (0, 1):
+    for down in range(int((own - least).max(initial=0)) + 1):
         band = own - down
-        use = np.flatnonzero((n > 0) & (band >= 0) & ((down == 0) | (-(-n * rule.num // rule.den) < lows[np.maximum(own, 0)])) & (band_of.differ[np.maximum(band, 0)] > 0))
+        use = np.flatnonzero((n > 0) & (band >= least) & (band_of.differ[np.maximum(band, 0)] > 0))
         if not len(use):
             continue
         k = band_of.segments[band[use]]
