@@ -1,6 +1,7 @@
 """Suffix-array dedup by distributed prefix doubling.
 
-Suffixes are sorted at content-defined positions only: the smallest 16-byte hash of every 64 positions. Equal texts
+No rank is sorted: ranks are hashes, and positions are compared by grouping equal ones, as only repeats are asked
+for. Suffixes are looked at from content-defined positions only: the smallest 16-byte hash of every 64 positions. Equal texts
 pick equal positions, so the text between two of them is a phrase, and a suffix is a sequence of phrases. Prefix
 doubling ranks one phrase, then pairs of ranks at offsets of one phrase, two phrases and so on, dropping a position
 as soon as its rank is unique, up to the longest prefix that every repeat of the threshold length must hold. The
