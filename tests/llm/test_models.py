@@ -2,6 +2,7 @@
 
 import collections
 import math
+import re
 import zlib
 
 import numpy as np
@@ -47,6 +48,62 @@ def test_unseen_words_back_off_to_shorter_grams(spark):
     assert (got[100], got[101]) == ("de", "es") and got[102] in ("de", "es")
 
 
+def language_brute(rows):
+    """Word-first backoff in plain Python. rows: (id, text, lang)."""
+    seen = lambda t: [w for w in re.split(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]+", t.lower().encode()) if w]
+    grams = lambda w, n: [(None, *w, None)[i : i + n] for i in range(len(w) + 3 - n)]
+    units = lambda w, n: [w] if n == 0 else grams(w, n)
+    taught = sorted({(k, t, lang) for k, t, lang in rows if lang is not None and t is not None and crc(k, 4) != 2}, key=repr)
+    langs = sorted({lang for *_, lang in taught})
+    counts = [collections.defaultdict(collections.Counter) for _ in range(6)]
+    for _, t, lang in taught:
+        for w in seen(t):
+            for n in range(6):
+                for u in units(w, n):
+                    counts[n][u][lang] += 1
+    totals = [{x: sum(c[x] for c in table.values()) for x in langs} for table in counts]
+
+    def log(n, u, x):
+        return math.log((counts[n][u][x] + 0.1) / (totals[n][x] + 0.1 * (len(counts[n]) + 1)))
+
+    def of_word(w):
+        for n in (0, 5, 4, 3, 2, 1):
+            known = [u for u in units(w, n) if u in counts[n]]
+            if known:
+                found = [sum(log(n, u, x) for u in known) / len(known) for x in langs]
+                return [f - sum(found) / len(found) for f in found]
+        return [0.0] * len(langs)
+
+    out = []
+    for k, t, _ in rows:
+        words = seen(t or "")
+        if not langs or not re.search(r"[^\W\d_]", t or ""):
+            out.append((k, "und", 0.0))
+            continue
+        total = [sum(x) / math.sqrt(max(len(words), 1)) for x in zip(*map(of_word, words), strict=True)] or [0.0] * len(langs)
+        p = [math.exp(x - max(total)) for x in total]
+        out.append((k, langs[p.index(max(p))], max(p) / sum(p)))
+    return out
+
+
+def test_languages_equal_brute_force(spark, docs):
+    for table in (docs.limit(60), odd_documents(spark)):
+        rows = [(r["doc_id"], r["text"], r["lang"]) for r in table.select("doc_id", "text", "lang").collect()]
+        order = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
+        fixed = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        got = sorted(((r["doc_id"], r["lang_pred"], r["score"]) for r in langid.detect_languages(fixed).collect()), key=order)
+        for g, w in zip(got, sorted(language_brute(rows), key=order), strict=True):
+            assert g[:2] == w[:2] and g[2] == pytest.approx(w[2], rel=1e-4)
+
+
+def test_rare_languages_are_in_the_training_sample(spark):
+    rows = [(i, f"wort{i} haus", "de") for i in range(3000)] + [(9000 + i, f"mot{i} maison", "fr") for i in range(6)]
+    docs = spark.createDataFrame(rows, "u long, text string, lang string")
+    got = {r["lang"]: r["count"] for r in langid.training_sample(docs, 200, 1 << 20).groupBy("lang").count().collect()}
+    assert got["fr"] == 6 and 60 < got["de"] < 150
+    assert langid.training_sample(docs, 200, 200).count() < 40
+
+
 def katz_brute(rows):
     held = [crc(k, 10) == 0 for k, _ in rows]
     seqs = [[*lower_words(t), None] for _, t in rows]

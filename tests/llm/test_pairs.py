@@ -37,39 +37,63 @@ def test_join_equals_brute_force(docs, odd, words, num):
     check_join(odd, words, num)
 
 
-def test_join_over_many_near_copies_goes_through_trees(spark, monkeypatch):
+def near_copies(n, most, seed=5):
     """Copies of one text, each with other words changed: many similar pairs just miss the threshold."""
-    monkeypatch.setattr(nj, "TREE_ROWS", 7)
-    rng = random.Random(5)
-    base = [f"w{i}" for i in range(60)]
+    rng = random.Random(seed)
     rows = []
-    for i in range(60):
-        w = list(base)
-        for _ in range(rng.randrange(1, 4)):
+    for i in range(n):
+        w = [f"w{j}" for j in range(60)]
+        for _ in range(rng.randrange(1, most)):
             w[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
         rows.append((i, " ".join(w)))
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    return rows
+
+
+@pytest.mark.parametrize("rows", [6000, 7])
+@pytest.mark.parametrize("rounds", [2, 0])
+def test_join_of_near_copies_in_one_tree_and_in_blocks(spark, monkeypatch, rows, rounds):
+    monkeypatch.setattr(nj, "TREE_ROWS", rows)
+    monkeypatch.setattr(nj, "UNIT_ROUNDS", rounds)
+    docs = spark.createDataFrame(near_copies(60, 4), "doc_id long, text string")
     check_join(docs, 3, 80)
     check_join(docs, 3, 90)
 
 
-def test_short_equal_sets_send_no_keys_and_parts_count_copied_rows(spark, monkeypatch):
+def test_tasks_give_back_fewer_links_than_they_have_sets(spark, monkeypatch):
+    """5,000 near copies: all of them are one component or pairs that just miss, and no task returns pairs."""
+    made, old = [], nj.S.written
+    monkeypatch.setattr(nj.S, "written", lambda df, name: made.append((name, old(df, name))) or made[-1][1])
+    monkeypatch.setattr(nj.S, "discard", lambda *tables: None)
+    monkeypatch.setattr(nj, "TREE_ROWS", 1000)
+    rows = near_copies(5000, 3)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), num=80).collect()}
+    sets = [{tuple(t.split()[i : i + 3]) for i in range(58)} for _, t in rows]
+    by_token, parent = {}, list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, s in enumerate(sets):  # a text is compared with one of each component that it shares a token with, then with all
+        for j in {x for t in s for x in by_token.get(t, ())[:3]}:
+            if root(i) != root(j) and 100 * len(s & sets[j]) >= 80 * len(s | sets[j]):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+        for t in s:
+            by_token.setdefault(t, []).append(i)
+    apart = [i for i in range(len(rows)) if root(i) != root(0)]
+    for i in apart:
+        for j in range(len(rows)):
+            if root(i) != root(j) and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    assert got == {i: root(i) for i in range(len(rows))}
+    assert max(t.count() for name, t in made if name == "links") < 2 * len(rows)
+
+
+def test_short_equal_sets_send_no_keys():
     rule = nj.Rule(3, 90, 100)
     off = np.concatenate([[0], np.cumsum(np.arange(1, 9))])
     assert not len(nj.segment_keys(np.random.default_rng(1).integers(0, 1 << 54, off[-1], dtype=np.uint64), off, rule)[0])
-    rng, rows, asked = random.Random(7), [], []
-    for i in range(60):
-        w = [f"w{j}" for j in range(60)]
-        w[rng.randrange(60)] = w[rng.randrange(60)] = f"x{i}"
-        rows.append((i, " ".join(w)))
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    parts = shared.parts
-    monkeypatch.setattr(shared, "parts", lambda total, each: asked.append((each, total)) or parts(total, each))
-    for size in (1000, 7):
-        monkeypatch.setattr(nj, "TREE_ROWS", size)
-        check_join(docs, 3, 90)
-    few, many = (total for each, total in asked if each == nj.PART_ROWS)
-    assert many > 2 * few
 
 
 @pytest.mark.parametrize("num", [50, 66, 100])
@@ -94,26 +118,56 @@ def test_linked_pairs_share_a_band_and_the_keys_they_need():
             assert (low[y - 1] <= own).all() and (np.maximum(need[y - 1], need[x - 1]) <= b.shared[own]).all()
 
 
-def test_traversal_keeps_every_linked_pair():
-    rng = np.random.default_rng(4)
-    rule = nj.Rule(3, 80, 100)
-    base = rng.integers(0, 1 << 54, 80, dtype=np.uint64)
+def some_sets(many, size=80, seed=4):
+    rng = np.random.default_rng(seed)
+    bases = rng.integers(0, 1 << 54, (3, size), dtype=np.uint64)
     sets = []
-    for _ in range(150):
-        keep = base[rng.random(80) > rng.choice([0.02, 0.1, 0.3])]
+    for i in range(many):
+        keep = bases[i % 3][rng.random(size) > rng.choice([0.02, 0.1, 0.3])]
         sets.append(np.unique(np.concatenate([keep, rng.integers(0, 1 << 54, rng.integers(0, 12), dtype=np.uint64)])))
+    return sets
+
+
+@pytest.mark.parametrize("fold", [4, 1])
+def test_traversal_keeps_every_linked_pair(monkeypatch, fold):
+    """With FOLD 1, tokens share bits and overlaps are upper bounds."""
+    monkeypatch.setattr(nj, "FOLD", fold)
+    rule, sets = nj.Rule(3, 80, 100), some_sets(150)
     n = np.array([len(s) for s in sets])
-    bits = np.stack([nj._bitmap(s).view(np.uint64) for s in sets])
-    for trees in (np.zeros(150, np.int64), np.arange(150) // 75):
-        levels = nj.signature_trees(bits, n, np.arange(150), trees)
+    none = np.zeros(150, np.int64)
+    rows = nj.Rows(np.arange(150), np.arange(150), n, none, none, np.concatenate(sets), np.concatenate([[0], np.cumsum(n)]))
+    bit, held, words, exact = nj.bitmaps(rows)
+    assert exact.all() == (fold == 4)
+    bits = np.zeros((150, words[0]), np.uint64)
+    at = np.flatnonzero(bit >= 0)
+    spot = bit[at] % (int(words[0]) * 64)
+    np.bitwise_or.at(bits, (np.repeat(np.arange(150), n)[at], spot >> 6), np.uint64(1) << (spot & 63).astype(np.uint64))
+    for trees in (none, np.arange(150) // 75):
+        levels = nj.signature_trees(bits, n, held, np.arange(150), trees)
         roots = (np.array([0]), np.array([0])) if trees.max() == 0 else (np.array([0, 1, 0]), np.array([0, 1, 1]))
         got = {(min(i, j), max(i, j)) for a, b in nj.dual_traversal(levels, *roots, rule, step=50) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
         want = {(i, j) for j in range(150) for i in range(j) if rule.linked(n[i], n[j], len(np.intersect1d(sets[i], sets[j])))}
-        assert want <= got and len(got) < 150 * 149 // 2
-    one = nj.signature_trees(bits, n, np.zeros(150, np.int64), np.zeros(150, np.int64))
+        assert want <= got and len(got) < 150 * 149 // 2 and (fold == 1 or want == got)
+    one = nj.signature_trees(bits, n, held, none, none)
     assert not list(nj.dual_traversal(one, np.array([0]), np.array([0]), rule))  # one component already
 
 
+@pytest.mark.parametrize("fold", [4, 1])
+def test_links_of_units_connect_what_links(monkeypatch, fold):
+    monkeypatch.setattr(nj, "FOLD", fold)
+    rule, sets = nj.Rule(3, 80, 100), some_sets(120, seed=9)
+    n = np.array([len(s) for s in sets])
+    unit, tree = np.repeat([0, 1, 2], 40), np.concatenate([np.zeros(80, np.int64), np.repeat([0, 1], 20)])
+    rows = nj.Rows(np.arange(120), np.arange(120), n, unit, tree, np.concatenate(sets), np.concatenate([[0], np.cumsum(n)]))
+    label = np.arange(120)
+    nj.unite(label, *nj._links_of(rows, rule, np.array([False, False, True])))
+    meet = lambda i, j: unit[i] == unit[j] and (unit[i] < 2 or tree[i] != tree[j])
+    pairs = [(i, j) for j in range(120) for i in range(j) if meet(i, j) and rule.linked(n[i], n[j], len(np.intersect1d(sets[i], sets[j])))]
+    want = np.arange(120)
+    nj.unite(want, *(np.array(x) for x in zip(*pairs, strict=True)))
+    assert (label == want).all() and len(set(want)) > 3
+
+
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (8, 7), (7, 6), (5, 5)], "a long, b long")
     assert {r["node"]: r["root"] for r in connected(links).collect()} == {1: 1, 2: 1, 3: 1, 6: 6, 7: 6, 8: 6, 9: 6}
@@ -156,7 +210,7 @@ def bytes_brute(docs, n):
     return sorted(out, key=key)
 
 
-@pytest.mark.parametrize("length", [400, 200])
+@pytest.mark.parametrize("length", [400, 240, 200])
 def test_suffix_equals_brute_force(docs, odd, length, monkeypatch):
     monkeypatch.setattr(shared, "CHUNK_BYTES", 60_000)
     for table in (docs, odd):
@@ -174,6 +228,19 @@ def test_empty_tables(docs):
         assert table.count() == 0
 
 
+def test_ten_thousand_texts_without_id(spark, monkeypatch):
+    """They spread over many chunks and are told apart by their texts."""
+    monkeypatch.setattr(shared, "CHUNK_BYTES", 100_000)
+    rng = random.Random(12)
+    passages = [sentence(rng, 70) for _ in range(20)]
+    rows = [(None, sentence(rng, 12) + (" " + passages[i % 20] if i % 50 == 0 else "")) for i in range(10_000)] + [(None, passages[3])] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"], r["kept"]) for r in substring_dedup(docs).collect()), key=key)
+    assert got == words_brute(docs, 35)
+    found = suffix_dedup(docs).collect()
+    assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found), key=key) == bytes_brute(docs, 400)
+
+
 def test_arguments(docs):
     for call in (lambda: ngram_join(docs, words=0), lambda: substring_dedup(docs, window=1), lambda: suffix_dedup(docs, length=100)):
         with pytest.raises(ValueError):

@@ -21,7 +21,7 @@ def brute(spark, docs, items):
     rows = [r for r, (k, _, c) in zip(rows, groups, strict=True) if k == c]
     texts = [(r["text"] or "").encode() for r in rows]
     kept = []
-    for r, b, gone in zip(rows, texts, repeated_windows(texts, 400), strict=True):
+    for r, b, gone in zip(rows, texts, repeated_windows(texts, corpus_pipeline.PASSAGE_BYTES), strict=True):
         left = bytes(x for x, g in zip(b, gone, strict=True) if not g).decode("utf-8", "ignore")
         if left or not any(gone):
             kept.append((r, left))
@@ -47,6 +47,8 @@ def test_run_equals_brute_force(spark, sf_dir):
 
 def test_stages_of_odd_documents(spark, sf_dir):
     docs = odd_documents(spark)
+    for name in ("cut_text", "cut_id", "pipeline_cut_text", "pipeline_row_key"):
+        docs = docs.withColumn(name, docs["n"])
     for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, docs, sf_dir)
         assert stage(spark, docs.limit(0), sf_dir).count() == 0, name

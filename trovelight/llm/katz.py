@@ -266,7 +266,7 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(S.NO_ID)).alias("k"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), (id_remainder(id_col, folds) == held_out).alias("held_out"))
     total = S.total_bytes(rows)
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("k"), F.lit(S.parts(total, CHUNK_BYTES))))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("k", "text"), F.lit(S.parts(total, CHUNK_BYTES))))
     word_buckets, buckets = S.parts(total // 24, S.BUCKET_KEYS // 2), S.parts(total // 10, BUCKET_BIGRAMS)
     counted = S.written(rows.groupBy("chunk").applyInArrow(_ask_words(word_buckets), _WORDS).groupBy("bucket").applyInArrow(_count_words, _WORDS), "words")
     stats = counted.filter("chunk = -1").agg(*(F.coalesce(F.sum(F.col("stats")[i]), F.lit(0)) for i in range(K + 3))).first()

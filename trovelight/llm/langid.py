@@ -19,13 +19,44 @@ _NOT_LETTER = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
 _EDGE = T.mix(np.array([977], np.uint64))[0]
 
 
+#: Added to each count, so that a key unseen in a language has a frequency there.
+SMOOTH = 0.1
+
+
+@dataclass
+class Table:
+    """Log frequencies of words, or of n-grams of one length. A key that a language has not seen has `floor` there; the
+    entries from begin[i] to begin[i + 1] say what key i has above it in the languages that have seen it."""
+
+    keys: np.ndarray
+    begin: np.ndarray
+    lang: np.ndarray
+    above: np.ndarray
+    floor: np.ndarray
+
+    @classmethod
+    def of(cls, key: np.ndarray, lang: np.ndarray, c: np.ndarray, langs: int) -> Table:
+        order = np.lexsort((lang, key))
+        key, lang, c = key[order], lang[order], c[order].astype(np.float64)
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+        total = np.bincount(lang, weights=c, minlength=langs) + SMOOTH * (len(new) + 1)
+        return cls(key[new], np.append(new, len(key)), lang.astype(np.int32), np.log1p(c / SMOOTH).astype(np.float32), np.log(SMOOTH / total))
+
+    def sums(self, found: np.ndarray, owner: np.ndarray, owners: int) -> np.ndarray:
+        """Sum of the log frequencies by language of the keys numbered `found`, by owner."""
+        langs = len(self.floor)
+        many = self.begin[found + 1] - self.begin[found]
+        at = np.repeat(self.begin[found] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        seen = np.bincount(np.repeat(owner, many) * langs + self.lang[at], weights=self.above[at], minlength=owners * langs)
+        return seen.reshape(owners, langs) + np.bincount(owner, minlength=owners)[:, None] * self.floor
+
+
 @dataclass
 class Model:
-    """Log frequencies by language: keys[0] are words, keys[n] character n-grams of words (in bytes, with word edges)."""
+    """tables[0] has words, tables[n] character n-grams of words (in bytes, with word edges)."""
 
     langs: list[str]
-    keys: list[np.ndarray] = field(default_factory=list)
-    logs: list[np.ndarray] = field(default_factory=list)
+    tables: list[Table] = field(default_factory=list)
 
 
 def _lowered(texts: pa.Array) -> pa.Array:
@@ -79,29 +110,33 @@ def _training_counts(langs: list[str]):
     return run
 
 
-def train(rows: DataFrame, max_train_docs: int = 20_000, max_entries: int = 150_000, max_langs: int = 500) -> Model:
-    """rows: (k, text, lang). Fits on about `max_train_docs` rows, chosen by a hash of the id, and keeps the
-    `max_entries` most frequent words and n-grams of each length, so that the model has a fixed size bound."""
-    rows = rows.filter(F.col("lang").isNotNull())
-    per = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs + 1).collect()
-    if len(per) > max_langs:
-        raise ValueError(f"more than {max_langs} languages")
-    langs = sorted(r["lang"] for r in per)
+def training_sample(rows: DataFrame, max_train_docs: int, max_train_bytes: int) -> DataFrame:
+    """About max_train_docs and max_train_bytes of (u, text, lang), every language with an equal share of both as far as
+    it has texts, chosen by a hash of id and text. Equal rows of one id count once."""
+    sizes = rows.select("u", "lang", F.octet_length("text").alias("size"))
+    per = sizes.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("size").alias("bytes"))
+    many = per.agg(F.count("*").alias("langs"))
+    # one number
+    per = per.join(F.broadcast(many)).select("lang", F.least(F.lit(max_train_docs) / F.col("docs"), F.lit(max_train_bytes) / F.greatest("bytes", F.lit(1))).alias("share"), "langs")
+    draw = F.pmod(F.xxhash64("u", F.lit("train")), F.lit(1_000_000)) < F.lit(1_000_000) * F.col("share") / F.col("langs")
+    chosen = sizes.join(per, "lang").filter(draw).select("u").distinct()
+    # about max_train_docs keys, by the filter above
+    return rows.join(F.broadcast(chosen), "u", "left_semi").dropDuplicates(["u"])
+
+
+def train(rows: DataFrame, max_train_docs: int, max_train_bytes: int) -> Model:
+    """rows: (u, text, lang). All words and n-grams of the training sample are kept, so the model is bounded by the
+    sample: no more entries than it has words and n-grams."""
+    sample = S.written(training_sample(rows.filter("lang is not null and text is not null"), max_train_docs, max_train_bytes).select("text", "lang"), "sample")
+    langs = sorted(r["lang"] for r in sample.select("lang").distinct().collect())
     model = Model(langs)
     if not langs:
         return model
-    share = min(1.0, max_train_docs / sum(r["count"] for r in per))
-    sample = rows.filter(F.pmod(F.xxhash64("k", F.lit("train")), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
     counts = S.written(sample.mapInArrow(_training_counts(langs), "n int, key long, lang int, c long").groupBy("n", "key", "lang").agg(F.sum("c").alias("c")), "langcounts")
-    wide = counts.groupBy("n", "key").agg(F.sum("c").alias("all"), *(F.sum(F.when(F.col("lang") == i, F.col("c")).otherwise(0)).alias(f"c{i}") for i in range(len(langs))))
     for n in range(LONGEST + 1):
-        top = wide.filter((F.col("n") == n) & (F.col("all") >= (2 if n != 1 else 1))).orderBy(F.desc("all"), "key").limit(max_entries).drop("n", "all").toPandas()
-        key = top["key"].to_numpy(np.int64).view(np.uint64)
-        c = top[[f"c{i}" for i in range(len(langs))]].to_numpy(np.float64)
-        order = np.argsort(key)
-        smooth = 0.1
-        model.keys.append(key[order])
-        model.logs.append(np.log((c[order] + smooth) / (c.sum(0) + smooth * (len(c) + 1))).astype(np.float32))
+        t = counts.filter(F.col("n") == n).select("key", "lang", "c").toArrow()
+        model.tables.append(Table.of(t["key"].to_numpy().view(np.uint64), t["lang"].to_numpy(), t["c"].to_numpy(), len(langs)))
+    S.discard(sample, counts)
     return model
 
 
@@ -115,22 +150,21 @@ def _look_up(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def word_scores(model: Model, w: T.Words, one: np.ndarray) -> np.ndarray:
     """Score by language of the words numbered `one`: the word's log frequency, or for an unseen word the mean log
     frequency of its known n-grams of the longest length that has any; 0 if none has."""
-    out = np.zeros((len(one), len(model.langs)), np.float32)
-    known, at = _look_up(model.keys[0], w.hash[one])
-    out[known] = model.logs[0][at[known]]
+    out = np.zeros((len(one), len(model.langs)))
+    known, at = _look_up(model.tables[0].keys, w.hash[one])
+    hit = np.flatnonzero(known)
+    out[hit] = model.tables[0].sums(at[hit], np.arange(len(hit)), len(hit))
     todo = np.flatnonzero(~known)
     for n in range(LONGEST, 0, -1):
         if not len(todo):
             break
         values, off = _edged(w, one[todo])
         h, owner = _grams(values, off, n)
-        hit, at = _look_up(model.keys[n], h)
+        hit, at = _look_up(model.tables[n].keys, h)
         owner, at = owner[hit], at[hit]
         many = np.bincount(owner, minlength=len(todo))
         has = many > 0
-        for x in range(len(model.langs)):
-            total = np.bincount(owner, weights=model.logs[n][at, x], minlength=len(todo))
-            out[todo[has], x] = total[has] / many[has]
+        out[todo[has]] = model.tables[n].sums(at, owner, len(todo))[has] / many[has][:, None]
         todo = todo[~has]
     return out
 
@@ -176,21 +210,24 @@ def id_remainder(id_col: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % n
 
 
-def detect_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_out: int = 2, max_train_docs: int = 20_000, max_entries: int = 150_000, key_col: str | None = None) -> DataFrame:
+def detect_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_out: int = 2, max_train_docs: int = 8_000, max_train_bytes: int = 24 << 20, key_col: str | None = None) -> DataFrame:
     """Predicts the language of each whole text, learning from labelled documents outside the held-out fold.
 
     Known words score by their log frequency in each language, unseen ones by progressively shorter character
     n-grams. Words are lower-cased runs of letters. The score is the predicted language's share after a softmax over
-    word evidence divided by the root of the word count.
+    word evidence divided by the root of the word count. Learns from a sample of about max_train_docs documents and
+    max_train_bytes of text, in which each language has an equal share as far as it has texts; all words and n-grams of
+    the sample are kept.
 
     Returns doc_id (or key_col in its place; folds still go by id), held_out, lang_pred, score, one row per input row. Null
     text, or one without letters: `und`, 0.
-    Without labels everything is `und`. Repeated rows each count in training and return. Ties go to the first
+    Without labels everything is `und`. Repeated rows each return; equal rows of one id teach once. Ties go to the first
     language by name.
     """
     key_col = key_col or id_col
-    rows = docs.select(F.coalesce(F.col(key_col).cast("long"), F.lit(S.NO_ID)).alias("k"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), (id_remainder(id_col, folds) == held_out).alias("held_out"))
-    model = train(rows.filter(~F.col("held_out")), max_train_docs, max_entries)
+    k, text = F.coalesce(F.col(key_col).cast("long"), F.lit(S.NO_ID)), F.col(text_col).cast("string")
+    rows = docs.select(k.alias("k"), F.xxhash64(k, text).alias("u"), text.alias("text"), F.col(lang_col).cast("string").alias("lang"), (id_remainder(id_col, folds) == held_out).alias("held_out"))
+    model = train(rows.filter(~F.col("held_out")).select("u", "text", "lang"), max_train_docs, max_train_bytes)
     shared_model = docs.sparkSession.sparkContext.broadcast(model)
     out = rows.select("k", "text", "held_out").mapInArrow(_predict(shared_model), "k long, held_out boolean, lang_pred string, score double")
     return out.select(S.id_back().alias(key_col), "held_out", "lang_pred", "score")

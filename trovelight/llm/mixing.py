@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trovelight.llm import shared as S
+
 #: Rows of a leaf that are put in order together.
 RUN_ROWS = 4096
 LEAF = ["domain", "lang", "source"]
@@ -70,6 +72,8 @@ def mix_sources(docs: DataFrame, domain: Column, id_col: str = "doc_id", text_co
     Repeated rows each count. An empty table gives no rows; a weight of 0 takes nothing.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("k"), F.coalesce(domain.cast("string"), F.lit("")).alias("domain"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), n_tokens(F.col(text_col).cast("string")).alias("n_tokens"))
+    # texts are read and counted once
+    rows = S.written(rows, "counted")
     leaves = rows.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
     plan = budgets(leaves, target_percent, domain_weights, lang_weights, source_weights, default_weight, max_epochs)
     plan = plan.withColumn("epochs", F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(0)).withColumn("left_over", F.col("budget") - F.col("epochs") * F.col("tokens")).withColumn("runs", F.expr(f"docs div {RUN_ROWS} + 1"))

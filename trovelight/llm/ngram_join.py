@@ -1,21 +1,25 @@
 """N-gram Jaccard join with signature trees.
 
 Documents with equal shingle sets form classes. Each class cuts its set into segments by token value; two sets that
-link differ in fewer tokens than there are segments, so they agree in one of them, and equal segments bring classes
-together. A group first links its members to its smallest one; what then still holds several components goes through
-signature trees, whose nodes hold OR-combined token bitmaps and size ranges, and a dual traversal keeps the pairs
-whose largest possible overlap is enough. All pairs are verified on whole sets.
+link differ in fewer tokens than there are segments, so they agree in some of them, and classes with an equal segment
+are a group. Groups say which sets can meet at all; all links come from signature trees over the sets of a group,
+whose nodes hold OR-combined token bitmaps, size ranges and components. A dual traversal drops pairs of nodes whose
+largest possible overlap is too small, or that are one component already, and verifies what reaches the leaves.
+
+Trees are built for units: each class is dealt to one, so that most groups lie in a unit whole. Groups of several
+components that no unit held whole are dealt again, as far as their classes have as many keys in such groups as a
+linked pair shares, and at last go through trees group by group. A tree task gives back links between components,
+fewer than it has sets; pairs never leave it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,14 +29,18 @@ from trovelight.llm.components import connected
 
 TOKEN_BITS = 54
 MAX_TEXTS = 1 << (64 - TOKEN_BITS)
-#: Bits of a token bitmap: a power of two from the first to the last, half as many again as the set has tokens.
-BITMAP_BITS = 1 << 10, 1 << 16
 FANOUT = 8
-#: Members of a group that one task takes together.
-TREE_ROWS = 1500
+#: Sets, and tokens of sets, of a group that are one block; blocks of a group are in trees of their own.
+TREE_ROWS, TREE_TOKENS = 6000, 1 << 21
+#: A bitmap has at most so many bits for each token of the largest set of its tree.
+FOLD = 4
 FLUSH = 1 << 20
-#: Rows of groups that one task takes at a time.
-PART_ROWS = 20_000
+#: Tokens that one task takes, and that it takes at a time.
+PART_TOKENS, BATCH_TOKENS = 4 << 20, 1 << 20
+#: Times that classes are dealt to units before what is still open goes through trees group by group.
+UNIT_ROUNDS = 4
+#: Pairs that are verified before components are looked at again.
+PAIRS = 5000
 
 
 @dataclass(frozen=True)
@@ -119,7 +127,7 @@ def _describe(rule: Rule):
         for batch in batches:
             for lo, hi in _pieces(batch.column("text")):
                 tokens, off = _sets(batch.column("text").slice(lo, hi - lo), rule.words)
-                yield pa.RecordBatch.from_arrays([batch.column("k").slice(lo, hi - lo), pa.array(np.diff(off).astype(np.int64)), pa.array(_classes(tokens, off)), pa.array(needed(np.diff(off), rule))], names=["k", "n", "cls", "need"])
+                yield pa.RecordBatch.from_arrays([batch.column("k").slice(lo, hi - lo), batch.column("u").slice(lo, hi - lo), pa.array(np.diff(off).astype(np.int64)), pa.array(_classes(tokens, off)), pa.array(needed(np.diff(off), rule))], names=["k", "u", "n", "cls", "need"])
 
     return run
 
@@ -191,7 +199,8 @@ def _send_keys(rule: Rule, buckets: int):
 
 
 def _members(table: pa.Table) -> pa.Table:
-    """Of one bucket: the keys of two classes or more, their classes, and the smallest of these."""
+    """Of one bucket: the groups of two classes or more (a hash of these classes), their classes, and how many keys of
+    the bucket have just these."""
     k = np.concatenate([S.unpack_sorted(b, n) for b, n in zip(table["keys"].to_pylist(), table["n"].to_pylist(), strict=True)])
     c = np.concatenate([np.frombuffer(b, np.int64) for b in table["classes"].to_pylist()])
     order = np.lexsort((c, k))
@@ -201,21 +210,11 @@ def _members(table: pa.Table) -> pa.Table:
     begin = np.concatenate([[True], k[1:] != k[:-1]])
     first = np.flatnonzero(begin)
     size = np.diff(np.append(first, len(k)))
+    who = np.add.reduceat(T.mix(c.view(np.uint64)), first) if len(k) else k
     group = np.cumsum(begin) - 1
     keep = size[group] > 1
-    return pa.table([k.view(np.int64)[keep], c[keep], c[first][group][keep], size[group][keep].astype(np.int64)], names=["key", "cls", "pivot", "m"])
-
-
-def _bitmap(tokens: np.ndarray) -> np.ndarray:
-    width = int(np.clip(1 << (len(tokens) * 3 // 2).bit_length(), *BITMAP_BITS))
-    bits = np.zeros(width, bool)
-    bits[(tokens % np.uint64(width)).astype(np.int64)] = True
-    return np.packbits(bits, bitorder="little")
-
-
-def _folded(bits: bytes, words: int) -> np.ndarray:
-    """A bitmap as it would be in `words` 64-bit words."""
-    return np.bitwise_or.reduce(np.frombuffer(bits, np.uint64).reshape(-1, words), axis=0)
+    found = pa.table([T.mix(who ^ size.astype(np.uint64)).view(np.int64)[group][keep], c[keep]], names=["key", "cls"])
+    return found.group_by(["key", "cls"]).aggregate([([], "count_all")]).rename_columns(["key", "cls", "w"])
 
 
 def _whole_sets(rule: Rule):
@@ -223,29 +222,15 @@ def _whole_sets(rule: Rule):
         for batch in batches:
             for lo, hi in _pieces(batch.column("text")):
                 tokens, off = _sets(batch.column("text").slice(lo, hi - lo), rule.words)
-                own = [tokens[a:b] for a, b in zip(off[:-1], off[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(_classes(tokens, off)), pa.array(np.diff(off).astype(np.int64)), pa.array([_bitmap(t).tobytes() for t in own], pa.binary()), pa.array([S.pack_sorted(t) for t in own], pa.binary())], names=["cls", "n", "bits", "tokens"])
-
-    return run
-
-
-def _verify(rule: Rule):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            c = {x: batch.column(x).to_pylist() for x in batch.schema.names}
-            ok = []
-            for n, t, m, u in zip(c["n"], c["tokens"], c["n2"], c["tokens2"], strict=True):
-                both = np.intersect1d(S.unpack_sorted(t, n), S.unpack_sorted(u, m), assume_unique=True)
-                ok.append(rule.linked(n, m, len(both)))
-            pick = pa.array(np.flatnonzero(ok))
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(pick), batch.column("b").take(pick)], names=["a", "b"])
+                own = [S.pack_sorted(tokens[a:b]) for a, b in zip(off[:-1], off[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(_classes(tokens, off)), pa.array(np.diff(off).astype(np.int64)), pa.array(own, pa.binary())], names=["cls", "n", "tokens"])
 
     return run
 
 
 @dataclass
 class Level:
-    """Nodes of one height of all signature trees of a task."""
+    """Nodes of one height of all signature trees of a batch."""
 
     bits: np.ndarray  #: OR of the token bitmaps below
     least: np.ndarray  #: smallest set size below
@@ -256,10 +241,11 @@ class Level:
     kids: np.ndarray
 
 
-def signature_trees(bits: np.ndarray, n: np.ndarray, part: np.ndarray, tree: np.ndarray) -> list[Level]:
-    """Levels from the leaves (one set each) to the roots, one for each value of `tree`; rows come sorted by tree."""
+def signature_trees(bits: np.ndarray, n: np.ndarray, held: np.ndarray, part: np.ndarray, tree: np.ndarray) -> list[Level]:
+    """Levels from the leaves (one set each) to the roots, one for each value of `tree`; rows come sorted by tree.
+    held: tokens of each set that have a bit at all."""
     none = np.zeros(len(n), np.int64)
-    levels = [Level(bits, n, n, n - np.bitwise_count(bits).sum(1).astype(np.int64), part, none, none)]
+    levels = [Level(bits, n, n, held - np.bitwise_count(bits).sum(1).astype(np.int64), part, none, none)]
     while True:
         x = levels[-1]
         edge = np.flatnonzero(np.concatenate([[True], tree[1:] != tree[:-1]]))
@@ -289,14 +275,15 @@ def dual_traversal(levels: list[Level], a: np.ndarray, b: np.ndarray, rule: Rule
             todo += [(i, a[x : x + step], b[x : x + step]) for x in range(0, len(a), step)]
             continue
         x = levels[i]
-        common = np.bitwise_count(x.bits[a] & x.bits[b]).sum(1).astype(np.int64)
-        most = np.minimum.reduce([x.most[a], x.most[b], x.shared[a] + common, x.shared[b] + common])
-        keep = rule.linked(x.least[a], x.least[b], most)
-        keep &= (x.most[a] * rule.den >= x.least[b] * rule.num) & (x.most[b] * rule.den >= x.least[a] * rule.num)
+        keep = (x.most[a] * rule.den >= x.least[b] * rule.num) & (x.most[b] * rule.den >= x.least[a] * rule.num)
         keep &= (x.part[a] == -1) | (x.part[a] != x.part[b])
         if i == 0:
             keep &= a != b
         a, b = a[keep], b[keep]
+        common = np.bitwise_count(x.bits[a] & x.bits[b]).sum(1).astype(np.int64)
+        most = np.minimum.reduce([x.most[a], x.most[b], x.shared[a] + common, x.shared[b] + common])
+        keep = rule.linked(x.least[a], x.least[b], most)
+        a, b = a[keep], b[keep]
         if not len(a):
             continue
         if i == 0:
@@ -310,36 +297,208 @@ def dual_traversal(levels: list[Level], a: np.ndarray, b: np.ndarray, rule: Rule
         todo.append((i - 1, a[keep], b[keep]))
 
 
-def _through_trees(rule: Rule):
-    def same_width(table: pa.Table, width: int) -> pa.Table:
-        key, x, y, block, n, cls, comp, weight, need = (table[c].to_numpy() for c in ("key", "x", "y", "block", "n", "cls", "comp", "weight", "need"))
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
-        new_tree = new | np.concatenate([[True], block[1:] != block[:-1]])
-        bits = np.stack([_folded(b, width) for b in table["bits"].to_pylist()])
-        levels = signature_trees(bits, n, comp, np.cumsum(new_tree))
-        # a group of one block meets itself; of two blocks, one the other
-        group, first = np.cumsum(new)[new_tree], np.flatnonzero(new_tree)
-        alone = x[first] == y[first]
-        pair = np.flatnonzero(group[1:] == group[:-1])
-        a, b = np.concatenate([np.flatnonzero(alone), pair]), np.concatenate([np.flatnonzero(alone), pair + 1])
-        none = np.empty(0, np.int64)
-        out = [(none, none, none, none), *((cls[i], cls[j], weight[i], np.maximum(need[i], need[j])) for i, j in dual_traversal(levels, a, b, rule))]
-        i, j, keys, least = (np.concatenate(v) for v in zip(*out, strict=True))
-        return pa.table([np.minimum(i, j), np.maximum(i, j), keys, least], names=["a", "b", "shared", "least"])
+def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Gives linked rows, and all that share a label with them, the smallest label. Labels are row numbers."""
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return
+        low, high = np.minimum(x[apart], y[apart]), np.maximum(x[apart], y[apart])
+        np.minimum.at(label, high, low)
+        while (label[label] != label).any():
+            label[:] = label[label]
+
 
+@dataclass
+class Rows:
+    """Sets of some tree units, sorted by unit and block."""
+
+    cls: np.ndarray
+    comp: np.ndarray
+    n: np.ndarray
+    unit: np.ndarray  #: number of the unit, from 0 without gaps
+    tree: np.ndarray  #: number of the unit's block
+    tokens: np.ndarray
+    off: np.ndarray
+
+    def take(self, order: np.ndarray) -> Rows:
+        size = self.n[order]
+        off = np.concatenate([[0], np.cumsum(size)])
+        at = np.arange(off[-1]) - np.repeat(off[:-1], size) + np.repeat(self.off[:-1][order], size)
+        return Rows(self.cls[order], self.comp[order], self.n[order], self.unit[order], self.tree[order], self.tokens[at], off)
+
+
+def bitmaps(r: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """By row: number of the bit of each of its tokens that another set of its unit has as well (-1 for others), by
+    token; how many such tokens; the unit's bitmap width in 64-bit words, a power of two; whether all of the unit's
+    tokens have bits of their own, so that overlaps of bitmaps are exact."""
+    row = np.repeat(np.arange(len(r.n)), r.n)
+    h = T.mix(r.tokens ^ T.mix(r.unit[row].astype(np.uint64) + np.uint64(1)))
+    order = np.argsort(h, kind="stable")
+    first = np.concatenate([[True], h[order][1:] != h[order][:-1]]) if len(h) else np.empty(0, bool)
+    start = np.flatnonzero(first)
+    many = np.diff(np.append(start, len(h))) > 1
+    run = np.cumsum(first) - 1
+    # shared tokens are numbered within their unit
+    units = int(r.unit[-1]) + 1 if len(r.unit) else 0
+    of = r.unit[row[order[start[many]]]]
+    by = np.argsort(of, kind="stable")
+    width = np.bincount(of, minlength=units)
+    place = np.empty(len(of), np.int64)
+    place[by] = np.arange(len(of)) - np.repeat(np.cumsum(width) - width, width)
+    number = np.full(len(start), -1, np.int64)
+    number[many] = place
+    bit = np.empty(len(h), np.int64)
+    bit[order] = number[run]
+    largest = np.zeros(units, np.int64)
+    np.maximum.at(largest, r.unit, r.n)
+    need, fold = np.maximum(width, 1), np.maximum(FOLD * largest, 64)
+    words = np.array([max(1, 1 << (int(x) - 1).bit_length() >> 6) for x in np.minimum(need, fold)], np.int64) if units else np.empty(0, np.int64)
+    held = np.bincount(row[bit >= 0], minlength=len(r.n)).astype(np.int64)
+    return bit, held, words[r.unit], (width <= words * 64)[r.unit]
+
+
+def _links_of(r: Rows, rule: Rule, across: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links between components that the units show, one less than what they unite at most. across: by unit, whether
+    its two blocks meet each other; else all its sets meet."""
+    bit, held, words, exact = bitmaps(r)
+    label = np.arange(len(r.n))
+    # one label for each component of a unit
+    order = np.lexsort((r.comp, r.unit))
+    same = (r.unit[order][1:] == r.unit[order][:-1]) & (r.comp[order][1:] == r.comp[order][:-1])
+    unite(label, order[:-1][same], order[1:][same])
+
+    def settle(a: np.ndarray, b: np.ndarray) -> None:
+        """Verifies pairs that bitmaps let pass and unites those that link."""
+        for x in range(0, len(a), PAIRS):
+            i, j = a[x : x + PAIRS], b[x : x + PAIRS]
+            apart = label[i] != label[j]
+            i, j = i[apart], j[apart]
+            sure = exact[i]
+            unite(label, i[sure], j[sure])
+            for p, q in zip(i[~sure].tolist(), j[~sure].tolist(), strict=True):
+                if label[p] != label[q]:
+                    both = np.intersect1d(r.tokens[r.off[p] : r.off[p + 1]], r.tokens[r.off[q] : r.off[q + 1]], assume_unique=True)
+                    if rule.linked(r.n[p], r.n[q], len(both)):
+                        unite(label, np.array([p]), np.array([q]))
+
+    row = np.repeat(np.arange(len(r.n)), r.n)
+    for w in np.unique(words):
+        mine = np.flatnonzero(words == w)
+        at = np.flatnonzero((bit >= 0) & (words[row] == w))
+        local = np.cumsum(words == w) - 1
+        bits = np.zeros((len(mine), int(w)), np.uint64)
+        spot = bit[at] % (int(w) * 64)
+        np.bitwise_or.at(bits, (local[row[at]], spot >> 6), np.uint64(1) << (spot & 63).astype(np.uint64))
+        # first each set with the middle one of its unit, so that components are known before the trees are built
+        edge = np.flatnonzero(np.concatenate([[True], r.unit[mine][1:] != r.unit[mine][:-1]]))
+        size = np.diff(np.append(edge, len(mine)))
+        hub = np.repeat(edge + size // 2, size)
+        try_hub = np.flatnonzero((hub != np.arange(len(mine))) & ~across[r.unit[mine]])
+        common = np.bitwise_count(bits[try_hub] & bits[hub[try_hub]]).sum(1).astype(np.int64)
+        lost = held[mine] - np.bitwise_count(bits).sum(1).astype(np.int64)
+        fits = rule.linked(r.n[mine[try_hub]], r.n[mine[hub[try_hub]]], common + np.minimum(lost[try_hub], lost[hub[try_hub]]))
+        settle(mine[try_hub[fits]], mine[hub[try_hub[fits]]])
+        order = np.lexsort((r.n[mine], label[mine], r.tree[mine], r.unit[mine]))
+        mine = mine[order]
+        trees = np.cumsum(np.concatenate([[True], (r.unit[mine][1:] != r.unit[mine][:-1]) | (r.tree[mine][1:] != r.tree[mine][:-1])]))
+        levels = signature_trees(bits[order], r.n[mine], held[mine], label[mine], trees)
+        unit_of = r.unit[mine][np.concatenate([[True], trees[1:] != trees[:-1]])]
+        alone = np.flatnonzero(~across[unit_of])
+        pair = np.flatnonzero(across[unit_of][:-1] & (unit_of[1:] == unit_of[:-1]))
+        for a, b in dual_traversal(levels, np.concatenate([alone, pair]), np.concatenate([alone, pair + 1]), rule, max(1000, (1 << 22) // int(w))):
+            settle(mine[a], mine[b])
+    joined = r.comp != r.comp[label]
+    return r.comp[joined], r.comp[label[joined]]
+
+
+def _through_trees(rule: Rule):
     def run(table: pa.Table) -> pa.Table:
         table = S.sorted_rows(table, "key", "x", "y", "block", "n", "cls")
         key, x, y = (table[c].to_numpy() for c in ("key", "x", "y"))
+        n = table["n"].to_numpy()
         first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
-        words = np.asarray(pc.binary_length(S.one_array(table["bits"]))) // 8
-        narrow = np.repeat(np.minimum.reduceat(words, first), np.diff(np.append(first, len(words))))
-        found = pa.concat_tables([same_width(table.take(pa.array(np.flatnonzero(narrow == w))), int(w)) for w in np.unique(narrow)])
-        # one row for each pair of a task
-        return found.group_by(["a", "b"]).aggregate([("shared", "sum"), ("least", "max")]).rename_columns(["a", "b", "shared", "least"])
+        upto = np.cumsum(n)
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        i = 0
+        while i < len(first):
+            # some whole units at a time
+            before = upto[first[i] - 1] if first[i] else 0
+            j = max(i + 1, int(np.searchsorted(np.append(upto[first[1:] - 1], upto[-1]), before + BATCH_TOKENS, "right")))
+            lo, hi = first[i], first[j] if j < len(first) else len(n)
+            tokens = np.concatenate([S.unpack_sorted(b, m) for b, m in zip(table["tokens"].slice(lo, hi - lo).to_pylist(), n[lo:hi].tolist(), strict=True)])
+            unit = np.repeat(np.arange(j - i), np.diff(np.append(first[i:j], hi)))
+            part = Rows(table["cls"].to_numpy()[lo:hi], table["comp"].to_numpy()[lo:hi], n[lo:hi], unit, table["block"].to_numpy()[lo:hi], tokens, np.concatenate([[0], np.cumsum(n[lo:hi])]))
+            found.append(_links_of(part, rule, (x != y)[first[i:j]]))
+            i = j
+        a, b = (np.concatenate(v) for v in zip(*found, strict=True))
+        return pa.table([a, b], names=["a", "b"]).group_by(["a", "b"]).aggregate([])
 
     return run
 
 
+def homes(left: DataFrame) -> DataFrame:
+    """left: (key, cls, ..). The largest group of each class: (cls, home), home being its size and key."""
+    size = left.groupBy("key").agg(F.count("*").alias("m"))
+    return left.join(size, "key").groupBy("cls").agg(F.max(F.struct("m", "key")).alias("home"))
+
+
+def units(left: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Deals each class to one tree, its unit, so that most groups lie in one unit whole.
+
+    A class takes the largest home that any class of its groups has. Where that makes a unit too large, its classes go
+    by their own homes instead, in blocks; the first class of such a home is copied to all its blocks and connects them.
+    Returns (unit, cls, comp, n, at_home), at_home being false for copies.
+    """
+    own = S.written(homes(left), "homes")
+    best = left.join(own, "cls").groupBy("key").agg(F.max("home").alias("best"))
+    met = left.join(best, "key").groupBy("cls").agg(F.max("best").alias("best"), F.first("comp").alias("comp"))
+    met = S.written(met.join(own, "cls").join(sizes, "cls"), "met")
+    pieces = F.expr(f"cast(greatest(count(*) div {TREE_ROWS}, sum(n) div {TREE_TOKENS}) + 1 as int)")
+    whole = met.groupBy("best").agg(pieces.alias("pieces"))
+    by_home = met.groupBy("home").agg(pieces.alias("blocks"), F.min("cls").alias("hub"))
+    met = met.join(whole, "best").join(by_home, "home").withColumn("block", F.expr("cast(if(pieces > 1, pmod(xxhash64(cls), blocks), 0) as int)"))
+    met = met.withColumn("copy", F.explode(F.when((F.col("pieces") > 1) & (F.col("cls") == F.col("hub")), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))))
+    unit = F.when(F.col("pieces") > 1, F.xxhash64("home", "copy")).otherwise(F.xxhash64("best"))
+    return met.select(unit.alias("unit"), "cls", "comp", "n", (F.col("copy") == F.col("block")).alias("at_home"))
+
+
+def still_open(left: DataFrame, near: DataFrame, met: DataFrame) -> DataFrame:
+    """What is left of (key, cls, w, need, comp): groups of several components that no unit held whole, as far as their
+    classes have as many keys in such groups as a pair that links shares. Takes the place of the written table `left`."""
+    placed = left.drop("comp").join(near.withColumnRenamed("node", "cls"), "cls", "left").join(met, "cls", "left").select("key", "cls", "w", "need", F.coalesce("root", "cls").alias("comp"), F.coalesce("unit", "cls").alias("unit"))
+    placed = S.written(placed, "placed")
+    several = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("unit").alias("u0"), F.max("unit").alias("u1")).filter("c0 <> c1 and u0 <> u1").select("key")
+    inside = S.written(placed.join(several, "key", "left_semi").drop("unit"), "inside")
+    enough = inside.groupBy("cls").agg(F.sum("w").alias("c"), F.first("need").alias("need")).filter("c >= need").select("cls")
+    out = S.written(inside.join(enough, "cls", "left_semi"), "left")
+    S.discard(left, placed, inside)
+    return out
+
+
+def by_group(left: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Rows of trees for whole groups. Groups that have come to be of the same classes are one. In a group too large for one tree, blocks of
+    its first component meet those of the others, and these meet each other."""
+    same = left.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("who")).groupBy("m", "who").agg(F.min("key").alias("key"))
+    low = left.groupBy("key").agg(F.min("comp").alias("low"))
+    rows = left.join(same.select("key"), "key", "left_semi").join(low, "key").join(sizes, "cls").withColumn("main", F.col("comp") == F.col("low"))
+    pieces = lambda main: f"greatest(count_if({main}) div {TREE_ROWS}, coalesce(sum(if({main}, n, 0)), 0) div {TREE_TOKENS})"
+    size = rows.groupBy("key").agg(F.expr(f"{pieces('true')} = 0").alias("one"), F.expr(f"cast({pieces('main')} + 1 as int)").alias("mains"), F.expr(f"cast({pieces('not main')} + 1 as int)").alias("rests"))
+    rows = rows.join(size, "key").withColumn("h", F.xxhash64("cls")).withColumn("block", F.expr("cast(if(one, 0, if(main, -1 - pmod(h, mains), pmod(h, rests))) as int)"))
+    rows = rows.withColumn("other", F.explode(F.expr("if(one, array(0), sequence(if(main, 0, -mains), rests - 1))")))
+    return rows.select("key", "cls", "comp", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "n")
+
+
+def linked_components(rows: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """rows: (key, cls, comp, block, x, y, n), a tree unit being (key, x, y). Links (a, b) between components."""
+    rows = S.written(rows, "trees")
+    much = rows.agg(F.sum(F.col("n") + 100)).first()[0] or 0
+    part = F.pmod(F.xxhash64("key", "x", "y"), F.lit(S.parts(much, PART_TOKENS))).alias("part")
+    found = rows.join(sets.drop("n"), "cls").select("*", part).groupBy("part").applyInArrow(_through_trees(rule), "a long, b long")
+    return S.written(found.distinct(), "links")
+
+
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """Components of documents whose sets of `words`-word shingles have a Jaccard similarity of num/den or more.
 
@@ -354,63 +513,36 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rule = Rule(words, num, den)
     texts = S.texts_of(docs, id_col, text_col)
     total = S.total_bytes(texts)
-    rows = S.written(texts.mapInArrow(_describe(rule), "k long, n long, cls long, need long"), "classes")
-    classes = rows.filter("cls <> 0").groupBy("cls").agg(F.min("k").alias("k"), F.min(S.id_back()).alias("least"), F.first("need").alias("need"))
-    keys = texts.mapInArrow(_send_keys(rule, buckets := S.parts(total // 20, S.BUCKET_KEYS // 2)), "bucket int, n int, keys binary, classes binary")
-    members = S.written(keys.groupBy("bucket").applyInArrow(_members, "key long, cls long, pivot long, m long"), "members")
-    # classes with fewer keys than a linked pair shares have no partner
-    often = members.groupBy("cls").count().join(classes, "cls").filter(F.col("count") >= F.col("need")).select("cls", "need")
-    every, members = members, S.written(members.join(often, "cls"), "members")
+    rows = S.written(texts.mapInArrow(_describe(rule), "k long, u long, n long, cls long, need long"), "classes")
+    classes = rows.filter("cls <> 0").groupBy("cls").agg(F.min("u").alias("u"), F.min(S.id_back()).alias("least"), F.first("need").alias("need"))
+    keys = texts.mapInArrow(_send_keys(rule, S.parts(total // 20, S.BUCKET_KEYS // 2)), "bucket int, n int, keys binary, classes binary")
+    members = S.written(keys.groupBy("bucket").applyInArrow(_members, "key long, cls long, w long"), "keys")
+    # keys of the same classes are one group, of weight w
+    every, members = members, S.written(members.groupBy("key", "cls").agg(F.sum("w").alias("w")), "members")
     S.discard(every)
-    wanted = members.select("cls").distinct().join(classes, "cls").select("cls", "k")
-    # one text for each class; repeated ids may bring other texts or the same again
-    whole = texts.join(wanted.select("k").distinct(), "k").mapInArrow(_whole_sets(rule), "cls long, n long, bits binary, tokens binary")
-    if not rows.groupBy("k").count().filter("count > 1").isEmpty():
-        whole = whole.join(wanted.select("cls"), "cls").dropDuplicates(["cls"])
-    whole = S.written(whole, "sets")
-    sets = whole.select("cls", "n", "tokens")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(sets.select(F.col("cls").alias("a"), "n", "tokens"), "a")
-        both = left.join(sets.select(F.col("cls").alias("b"), F.col("n").alias("n2"), F.col("tokens").alias("tokens2")), "b")
-        return both.filter((F.col("n") * den >= F.col("n2") * num) & (F.col("n2") * den >= F.col("n") * num)).mapInArrow(_verify(rule), "a long, b long")
-
-    # tried: pairs that a group of two holds, and each class with the one it shares most keys with; other linked pairs
-    # are in groups of three or more
-    stars = members.filter("cls <> pivot").groupBy(F.col("pivot").alias("a"), F.col("cls").alias("b")).agg(F.count("*").alias("keys"), F.first("need").alias("need"), F.min("m").alias("m"))
-    stars = S.written(stars, "stars")
-    best = stars.groupBy("b").agg(F.max(F.struct("keys", "a"))["a"].alias("best"))
-    tried = stars.filter("keys >= need").join(best, "b").filter("m = 2 or a = best")
-    tried = S.written(tried.select("a", "b"), "tried")
-    links = S.written(verified(tried), "verified")
-    parts = connected(links)
-    # groups that still hold several components; of two members, the pair has been tried
-    placed = members.filter("m > 2").join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("root", "cls"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("who")).filter("low <> high")
-    mixed = mixed.groupBy("m", "who", "low").agg(F.min("key").alias("key"), F.count("*").alias("weight")).select("key", "weight", "low")
-    rest = placed.select("key", "cls", "comp", "need").join(mixed, "key").withColumn("main", F.col("comp") == F.col("low"))
-    rest = S.written(rest, "mixed")
-    if not rest.isEmpty():
-        # blocks of the group's first component are below 0; they meet the others' blocks, not each other
-        size = rest.groupBy("key").agg(F.count_if("main").alias("m"), F.count_if(~F.col("main")).alias("r"))
-        size = size.select("key", F.expr(f"cast(m div {TREE_ROWS} + 1 as int)").alias("mains"), F.expr(f"cast(r div {TREE_ROWS} + 1 as int)").alias("rests"), "m", "r")
-        # a row goes to each block that its own meets
-        copied = size.agg(F.sum(F.expr("m * rests + r * (mains + rests)"))).first()[0]
-        size = size.drop("m", "r")
-        rest = rest.join(size, "key").withColumn("h", F.xxhash64("cls")).withColumn("block", F.expr("cast(if(main, -1 - pmod(h, mains), pmod(h, rests)) as int)"))
-        rest = rest.withColumn("other", F.explode(F.expr("sequence(if(main, 0, -mains), rests - 1)")))
-        rest = rest.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other")).drop("h", "mains", "rests", "main", "low", "other")
-        rest = rest.join(whole.select("cls", "n", "bits"), "cls")
-        rest = rest.withColumn("part", F.pmod(F.xxhash64("key", "x", "y"), F.lit(S.parts(copied, PART_ROWS))))
-        near = rest.groupBy("part").applyInArrow(_through_trees(rule), "a long, b long, shared long, least long")
-        near = near.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("least").alias("least"))
-        # keys shared in groups of three or more, and with the smallest member
-        near = near.join(tried, ["a", "b"], "left_anti").join(stars.select("a", "b", "keys"), ["a", "b"], "left")
-        near = near.filter(F.col("shared") + F.coalesce("keys", F.lit(0)) >= F.col("least")).select("a", "b")
-        more = S.written(verified(near), "verified")
-        if not more.isEmpty():
-            parts = connected(links.unionByName(more))
-    named = classes.join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    # classes with fewer keys than a linked pair shares have no partner
+    often = members.groupBy("cls").agg(F.sum("w").alias("c")).join(classes, "cls").filter("c >= need")
+    often = S.written(often.select("cls", "u", "need"), "often")
+    # one text for each class; equal rows bring the same again
+    sets = texts.join(often.select("u").distinct(), "u", "left_semi").dropDuplicates(["u"]).mapInArrow(_whole_sets(rule), "cls long, n long, tokens binary")
+    sets = S.written(sets, "sets")
+    left = S.written(members.join(often.select("cls", "need"), "cls").withColumn("comp", F.col("cls")), "left")
+    S.discard(members)
+    links, rows_left = [], left.count()
+    for _ in range(UNIT_ROUNDS):
+        if rows_left < 2 * often.count():
+            break
+        met = S.written(units(left, sets.select("cls", "n")), "units")
+        links.append(linked_components(met.select(F.col("unit").alias("key"), "cls", "comp", F.lit(0).alias("block"), F.lit(0).alias("x"), F.lit(0).alias("y"), "n"), sets, rule))
+        near = connected(reduce(DataFrame.unionByName, links))
+        left = still_open(left, near, met.filter("at_home").select("cls", "unit"))
+        rows_left = left.count()
+    if rows_left:
+        links.append(linked_components(by_group(left, sets.select("cls", "n")), sets, rule))
+        near = connected(reduce(DataFrame.unionByName, links))
+    elif not links:
+        near = often.select(F.col("cls").alias("node"), F.col("cls").alias("root"))
+    named = classes.join(near.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(least, "root").select("cls", "component_id")
     out = rows.join(named, "cls", "left")

@@ -1,6 +1,6 @@
 """Shared-folder tables, sizes, and the exchange that tells which 64-bit keys occur twice or more.
 
-Texts are dealt into chunks of bounded size by a hash of their id. A chunk sends each distinct key once, packed by
+Texts are dealt into chunks of bounded size by a hash of id and text. A chunk sends each distinct key once, packed by
 key range ("bucket"); a bucket counts keys over all chunks and answers each chunk with one bit per key, in the order
 sent. A key found in a third of all texts therefore costs one entry a chunk.
 """
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +24,12 @@ _codec = pa.Codec("zstd", 1)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The cluster's spark.checkpoint.dir; a folder of our own only where that is unset and all runs on this machine."""
     sc = spark.sparkContext
     if path := sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir():
         return path
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="trovelight-"))
     return sc.getCheckpointDir()
 
@@ -38,9 +40,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch_path = path
+    if _scope is not None:
+        _scope.append(out)
     return out
 
 
+_scope: list[DataFrame] | None = None
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The result of make() as a written table; what make() itself has written is deleted."""
+    global _scope
+    outer, _scope = _scope, []
+    try:
+        out, own = make(), _scope
+    finally:
+        _scope = outer
+    result = written(out, name)
+    discard(*own)
+    return result
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes written() tables that nothing lazy still reads: all that came from them has itself been written."""
     for t in tables:
@@ -50,8 +70,10 @@ def discard(*tables: DataFrame) -> None:
 
 
 def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(k long, text string); a null id becomes NO_ID, other columns go."""
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k"), F.col(text_col).cast("string").alias("text"))
+    """(k long, u long, text string); a null id becomes NO_ID, other columns go. u tells texts of one id, or of none,
+    apart; texts are dealt by it, so that rows without id spread as others do."""
+    k, text = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), F.col(text_col).cast("string")
+    return docs.select(k.alias("k"), F.xxhash64(k, text).alias("u"), text.alias("text"))
 
 
 def id_back(k: str = "k"):

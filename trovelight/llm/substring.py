@@ -16,7 +16,7 @@ from trovelight.llm import textarrays as T
 #: Rolling windows that a map task gathers before it sends them.
 FLUSH = 2 << 20
 _PROBE = "bucket int, n int, keys binary, many binary, b int, bkeys binary, ids binary, nos binary, sure int, sids binary, snos binary"
-_RESULT = "k long, n_words long, n_removed long, n_spans long, kept_sha256 string, kept string"
+_RESULT = "k long, u long, n_words long, n_removed long, n_spans long, kept_sha256 string, kept string"
 
 
 def _probes(block: int, buckets: int):
@@ -48,7 +48,7 @@ def _probes(block: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = ([], [], [], []), 0
         for batch in batches:
-            texts, k = batch.column("text"), np.asarray(batch.column("k"))
+            texts, k = batch.column("text"), np.asarray(batch.column("u"))
             for lo, hi in T.slices(texts):
                 w = T.words(texts.slice(lo, hi - lo))
                 at = T.inside_text(w.first, block)
@@ -87,12 +87,12 @@ def _hit_blocks(table: pa.Table) -> pa.Table:
     for i in (i for i, n in enumerate(col["sure"]) if n):
         ids.append(S.unpack(col["sids"][i], col["sure"][i], np.int64))
         nos.append(S.unpack(col["snos"][i], col["sure"][i], np.int32))
-    return pa.table([np.concatenate(ids), np.concatenate(nos)], names=["k", "no"])
+    return pa.table([np.concatenate(ids), np.concatenate(nos)], names=["u", "no"])
 
 
 def _candidates(table: pa.Table, window: int, block: int):
     """Slices of a chunk, each with its words and the starts and hashes of windows whose aligned block was hit."""
-    table = S.sorted_rows(table, "k", "text")
+    table = S.sorted_rows(table, "k", "u")
     texts, hits = S.one_array(table["text"]), table["hits"]
     for lo, hi in T.slices(texts):
         w = T.words(texts.slice(lo, hi - lo))
@@ -101,9 +101,7 @@ def _candidates(table: pa.Table, window: int, block: int):
         hit = np.zeros(off[-1], bool)
         own = S.one_array(hits.slice(lo, hi - lo))
         text = np.repeat(np.arange(hi - lo), np.asarray(own.value_lengths()))
-        number = off[text] + np.asarray(own.flatten())
-        # other texts of the same id may have more blocks
-        hit[number[number < off[text + 1]]] = True
+        hit[off[text] + np.asarray(own.flatten())] = True
         at = T.inside_text(w.first, window)
         if len(at):
             doc = w.text_of[at]
@@ -120,14 +118,14 @@ def _ask(window: int, block: int, buckets: int):
 
 
 def _rows(out: list[tuple]) -> pa.Table:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-    return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)], names=["k", "n_words", "n_removed", "n_spans", "kept_sha256", "kept"])
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+    return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], names=["k", "u", "n_words", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
 def _remove(window: int, block: int, with_text: bool):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
-        table = S.sorted_rows(table, "k", "text")
-        k = table["k"].to_numpy()
+        table = S.sorted_rows(table, "k", "u")
+        k, u = table["k"].to_numpy(), table["u"].to_numpy()
         found = list(_candidates(table, window, block))
         twice = S.answered(answers, np.concatenate([np.empty(0, np.uint64), *(h for *_, h in found)]))
         out, used = [], 0
@@ -145,7 +143,7 @@ def _remove(window: int, block: int, with_text: bool):
                 keep = np.flatnonzero(~g) + a
                 kept = b" ".join([raw[x:y] for x, y in zip(w.start[keep].tolist(), w.end[keep].tolist(), strict=True)])
                 spans = int(np.count_nonzero(np.diff(g.astype(np.int8), prepend=0) == 1))
-                out.append((int(k[lo + d]), int(b - a), int(g.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))
+                out.append((int(k[lo + d]), int(u[lo + d]), int(b - a), int(g.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))
         return _rows(out)
 
     return run
@@ -155,10 +153,10 @@ def _untouched(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for k, text in zip(batch.column("k").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for k, u, text in zip(*(batch.column(x).to_pylist() for x in ("k", "u", "text")), strict=True):
                 found = (text or "").encode().split()
                 kept = b" ".join(found)
-                out.append((k, len(found), 0, 0, hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))
+                out.append((k, u, len(found), 0, 0, hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))
             yield from _rows(out).to_batches()
 
     return run
@@ -181,11 +179,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = S.texts_of(docs, id_col, text_col)
     total = S.total_bytes(texts)
     buckets, chunks = S.parts(total // 6, S.BUCKET_KEYS), S.parts(total, S.CHUNK_BYTES)
-    hits = texts.mapInArrow(_probes(block, buckets), _PROBE).groupBy("bucket").applyInArrow(_hit_blocks, "k long, no int")
-    hits = S.written(hits.groupBy("k").agg(F.collect_set("no").alias("hits")), "anchors")
-    near = texts.join(hits, "k").withColumn("chunk", F.pmod(F.xxhash64("k"), F.lit(chunks)))
-    near = S.written(near.select("chunk", "k", "text", "hits"), "anchored")
+    hits = texts.mapInArrow(_probes(block, buckets), _PROBE).groupBy("bucket").applyInArrow(_hit_blocks, "u long, no int")
+    hits = S.written(hits.groupBy("u").agg(F.collect_set("no").alias("hits")), "anchors")
+    # written, so that equal rows can be dealt to chunks by a number that is not kept
+    near = texts.join(hits, "u").withColumn("chunk", F.pmod(F.xxhash64("u", F.monotonically_increasing_id()), F.lit(chunks)))
+    near = S.written(near.select("chunk", "k", "u", "text", "hits"), "anchored")
     answers = S.replies(near.groupBy("chunk").applyInArrow(_ask(window, block, buckets), S.REQUEST))
     cut = near.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_remove(window, block, with_text), _RESULT)
-    rest = texts.mapInArrow(_untouched(with_text), _RESULT).join(hits.select("k"), "k", "left_anti")
+    rest = texts.mapInArrow(_untouched(with_text), _RESULT).join(hits.select("u"), "u", "left_anti")
     return cut.unionByName(rest).select(S.id_back().alias(id_col), "n_words", "n_removed", "n_spans", "kept_sha256", "kept")

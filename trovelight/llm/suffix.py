@@ -25,7 +25,7 @@ from trovelight.llm import textarrays as T
 GRAM, SPREAD = 16, 64
 FLUSH = 1 << 20
 _PHRASES = "bucket int, n int, keys binary, many binary, one int, ids binary, nos binary, sure int, skeys binary, sids binary, snos binary"
-_CUT = "k long, sha string, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string"
+_CUT = "u long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string"
 
 
 @dataclass
@@ -100,7 +100,7 @@ def _send_phrases(length: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = ([], [], []), 0
         for batch in batches:
-            k = batch.column("k").to_numpy()
+            k = batch.column("u").to_numpy()
             for lo, hi in T.slices(batch.column("text")):
                 p = positions(batch.column("text").slice(lo, hi - lo))
                 if len(p.at) < 2:
@@ -137,23 +137,23 @@ def _repeated_phrases(table: pa.Table) -> pa.Table:
             ks.append(S.unpack(col["sids"][i], col["sure"][i], np.int64))
             nos.append(S.unpack(col["snos"][i], col["sure"][i], np.int32))
             hs.append(S.unpack(col["skeys"][i], col["sure"][i]))
-    return pa.table([np.concatenate(ks), np.concatenate(nos), np.concatenate(hs).view(np.int64)], names=["k", "m", "r"])
+    return pa.table([np.concatenate(ks), np.concatenate(nos), np.concatenate(hs).view(np.int64)], names=["u", "m", "r"])
 
 
 def doubled(ranks: DataFrame, offset: int) -> DataFrame:
-    """Ranks (k, m, r) of twice as long prefixes: pairs of ranks `offset` phrases apart that occur twice or more. Takes
+    """Ranks (u, m, r) of twice as long prefixes: pairs of ranks `offset` phrases apart that occur twice or more. Takes
     the place of the written table `ranks`."""
-    later = ranks.select("k", (F.col("m") - offset).alias("m"), F.col("r").alias("r2"))
+    later = ranks.select("u", (F.col("m") - offset).alias("m"), F.col("r").alias("r2"))
     # written, so that the join below has exchanges of its own, in which a very frequent pair can be split
-    pairs = S.written(ranks.join(later, ["k", "m"]), "pairs")
+    pairs = S.written(ranks.join(later, ["u", "m"]), "pairs")
     again = S.written(pairs.groupBy("r", "r2").count().filter("count > 1").select("r", "r2"), "again")
-    out = S.written(pairs.join(again, ["r", "r2"], "left_semi").select("k", "m", F.xxhash64("r", "r2").alias("r")), "ranks")
+    out = S.written(pairs.join(again, ["r", "r2"], "left_semi").select("u", "m", F.xxhash64("r", "r2").alias("r")), "ranks")
     S.discard(ranks, pairs, again)
     return out
 
 
 def _candidates(table: pa.Table, length: int):
-    table = S.sorted_rows(table, "k", "sha")
+    table = S.sorted_rows(table, "u")
     texts, hits = S.one_array(table["text"]), table["hits"]
     for lo, hi in T.slices(texts):
         p = positions(texts.slice(lo, hi - lo))
@@ -178,8 +178,8 @@ def _ask(length: int, buckets: int):
 
 def _remove(length: int, with_text: bool):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
-        table = S.sorted_rows(table, "k", "sha")
-        k, sha = table["k"].to_pylist(), table["sha"].to_pylist()
+        table = S.sorted_rows(table, "u")
+        u = table["u"].to_pylist()
         found = [(lo, hi, p.data, p.offsets, at, h) for lo, hi, p, at, h in _candidates(table, length)]
         twice = S.answered(answers, np.concatenate([np.empty(0, np.uint64), *(h for *_, h in found)]))
         out, used = [], 0
@@ -195,16 +195,17 @@ def _remove(length: int, with_text: bool):
                 left = keep[a:b]
                 kept = data[a:b][left].tobytes()
                 spans = int(np.count_nonzero(np.diff(left.astype(np.int8), prepend=1) == -1))
-                out.append((k[lo + d], sha[lo + d], int(b - a) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None, kept.decode("utf-8", "ignore") if with_text else None))
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string())
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], names=["k", "sha", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text"])
+                out.append((u[lo + d], int(b - a) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None, kept.decode("utf-8", "ignore") if with_text else None))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string())
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)], names=["u", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text"])
 
     return run
 
 
 def _phrases_inside(length: int) -> int:
-    """Phrases after a window's position that its bytes alone decide: SPREAD bytes each, and the last one's reach."""
-    return max(1, (length - SPREAD + 1 - (SPREAD + GRAM - 1)) // SPREAD)
+    """Phrases after a window's position that its bytes alone decide. The position is among the first SPREAD bytes; the
+    next position after any is at most SPREAD bytes on, and SPREAD + GRAM - 1 bytes from the one before decide it."""
+    return (length - (SPREAD + GRAM - 1)) // SPREAD
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, with_text: bool = True) -> DataFrame:
@@ -220,23 +221,25 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = S.texts_of(docs, id_col, text_col)
     total = S.total_bytes(texts)
     full = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    rows = S.written(texts.select("k", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), full.alias("sha")), "texts")
-    copies = rows.groupBy("sha").agg(F.count("*").alias("copies"), F.min("k").alias("k"))
-    firsts = copies.select("k").distinct()
+    rows = S.written(texts.select("k", "u", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), full.alias("sha")), "texts")
+    copies = rows.groupBy("sha").agg(F.count("*").alias("copies"), F.min("u").alias("u"))
+    firsts = copies.select("u")
     sent = texts.mapInArrow(_send_phrases(length, S.parts(total // 32, S.BUCKET_KEYS // 2)), _PHRASES)
-    ranks = sent.groupBy("bucket").applyInArrow(_repeated_phrases, "k long, m int, r long").join(firsts, "k", "left_semi")
+    ranks = sent.groupBy("bucket").applyInArrow(_repeated_phrases, "u long, m int, r long").join(firsts, "u", "left_semi")
     ranks, offset = S.written(ranks, "ranks"), 1
     while 2 * offset <= _phrases_inside(length):
         ranks = doubled(ranks, offset)
         offset *= 2
-    hits = ranks.groupBy("k").agg(F.collect_set("m").alias("hits"))
+    hits = ranks.groupBy("u").agg(F.collect_set("m").alias("hits"))
     chunks, buckets = S.parts(total, S.CHUNK_BYTES), S.parts(total // 4, S.BUCKET_KEYS)
-    near = texts.join(hits, "k").select(F.pmod(F.xxhash64("k"), F.lit(chunks)).alias("chunk"), "k", "text", full.alias("sha"), "hits")
+    near = texts.join(hits, "u").select(F.pmod("u", F.lit(chunks)).alias("chunk"), "u", "text", "hits")
+    if not rows.groupBy("u").count().filter("count > 1").isEmpty():  # equal rows, of which one stands for all
+        near = near.dropDuplicates(["u"])
     near = S.written(near, "repeating")
     S.discard(ranks)
     answers = S.replies(near.groupBy("chunk").applyInArrow(_ask(length, buckets), S.REQUEST))
-    cut = near.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_remove(length, with_text), _CUT).dropDuplicates(["k", "sha"])
-    out = rows.join(copies.select("sha", "copies"), "sha").join(cut, ["k", "sha"], "left")
+    cut = near.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_remove(length, with_text), _CUT)
+    out = rows.join(copies.select("sha", "copies"), "sha").join(cut, "u", "left")
     gone = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     kept = F.when(gone, F.lit(b"")).otherwise(F.when(F.col("n_removed") > 0, F.col("kept")))
     return out.select(
