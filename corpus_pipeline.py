@@ -17,36 +17,48 @@ from trovelight.llm.langid import detect_languages
 from trovelight.llm.mixing import mix_sources
 from trovelight.llm.ngram_join import ngram_join
 from trovelight.llm.registry import MIX, domain_of
-from trovelight.llm.shared import written
+from trovelight.llm.shared import settled, written
 from trovelight.llm.suffix import suffix_dedup
 
 
-#: A column that no table has.
 KEY = "pipeline_row_key"
+#: Shortest passage that `repeated_passages` takes out, in bytes: about forty words.
+PASSAGE_BYTES = 240
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     """Documents with a key that is never null: the id, or else a hash of the text, from 2**62 on, so that in a group of
-    near copies an id below that goes before it."""
+    near copies an id below that goes before it. Returns only id, text, language and key, whatever else there is."""
     own = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("text"), 2)
-    return docs.withColumn(KEY, F.coalesce(F.col("doc_id").cast("long"), own))
+    return docs.select("doc_id", "text", "lang", F.coalesce(F.col("doc_id").cast("long"), own).alias(KEY))
 
 
 def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """Documents but for those whose key is rejected."""
-    return keyed(docs).join(rejected.select(KEY).distinct(), KEY, "left_anti").select(*docs.columns)
+    own = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("text"), 2)
+    gone = rejected.select(F.col(KEY).alias(free_name(docs, KEY))).distinct()
+    return docs.join(gone, F.coalesce(docs["doc_id"].cast("long"), own) == gone[gone.columns[0]], "left_anti")
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """The name, lengthened until documents have no such column."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return name
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters (`und`) and those whose language is less likely than not."""
+    """Drops documents without letters (`und`), null and empty texts among them, and those whose language is less likely
+    than not."""
     rejected = detect_languages(keyed(docs), key_col=KEY).filter((F.col("lang_pred") == "und") | (F.col("score") < 0.5))
     # a text without letters goes by itself, whatever its id
     return without(docs.filter(F.col("text").rlike(r"\p{L}")), rejected)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest key of each group of five-word shingle similarity 0.8 or more."""
-    groups = written(ngram_join(keyed(docs), id_col=KEY, words=5, num=80, den=100), "groups")
+    """Keeps the document of the smallest key of each group of five-word shingle similarity 0.8 or more. Documents
+    without words are in no group. Equal rows of one id are copies of each other, and one stays."""
+    groups = settled(lambda: ngram_join(keyed(docs), id_col=KEY, words=5, num=80, den=100), "groups")
     kept = without(docs, groups.filter(f"component_id <> {KEY}"))
     if not groups.filter(f"n_shingles > 0 and component_id = {KEY}").groupBy(KEY).count().filter("count > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id", "text"])
@@ -54,23 +66,28 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes out every 400-byte passage that also starts elsewhere; documents of which nothing is left go."""
-    cut = suffix_dedup(docs, length=400).filter("n_removed > 0").select(F.col("doc_id").alias("cut_id"), F.col("text_sha256").alias("cut_sha"), F.col("kept_text").alias("cut_text")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.sha2(F.coalesce("text", F.lit("")), 256) == F.col("cut_sha"))
-    out = docs.join(cut, same, "left").filter("cut_text is null or cut_text <> ''")
-    text = F.coalesce("cut_text", "text")
-    changed = {"text": text, "n_chars": F.when(F.col("cut_text").isNull(), F.col("n_chars")).otherwise(F.length("cut_text").cast("long"))}
+    """Takes out every passage of PASSAGE_BYTES that also starts elsewhere; documents of which nothing is left go.
+    Null and empty texts hold no passage and stay. n_chars follows the text; a null id is as good as any."""
+    cut = suffix_dedup(docs, length=PASSAGE_BYTES).filter("n_removed > 0").select("doc_id", "text_sha256", "kept_text").distinct()
+    names = [free_name(docs, f"pipeline_cut_{x}") for x in ("id", "sha", "text")]
+    cut = cut.toDF(*names)
+    left = F.col(names[2])
+    same = F.col("doc_id").eqNullSafe(F.col(names[0])) & (F.sha2(F.coalesce("text", F.lit("")), 256) == F.col(names[1]))
+    out = docs.join(cut, same, "left").filter(left.isNull() | (left != ""))
+    changed = {"text": F.coalesce(left, F.col("text")), "n_chars": F.when(left.isNull(), F.col("n_chars")).otherwise(F.length(left).cast("long"))}
     return out.select(*(changed.get(c, F.col(c)).alias(c) for c in docs.columns))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold four fifths or more of a benchmark item's words, in tiles of five words or more."""
+    """Drops documents that hold four fifths or more of a benchmark item's words, in tiles of five words or more. Null
+    and empty texts, and items without words, match nothing. A rejection holds for all rows of an id."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return without(docs, contamination(keyed(docs), items, id_col=KEY, min_tile=5, threshold=0.8))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mixture takes, with their copies."""
+    """The documents that the mixture takes, with their copies. Null languages and sources are leaves of their own named
+    ''; texts without words are never taken; repeated rows are taken each by itself."""
     return mix_sources(docs, domain_of(), **MIX).filter("copies > 0")
 
 
