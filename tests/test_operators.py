@@ -62,3 +62,30 @@ def test_inverted_file_recall_grows_with_effort(spark):
     index, exact = vector.InvertedFile.build(corpus, 8), vector.exact_knn(corpus, asked, 10)
     got = [vector.recall(index.search(asked, 10, p), exact, 10).first()["recall"] for p in (1, 4, 8)]
     assert got == sorted(got) and got[-1] == 1.0
+
+
+def test_nearest_without_or_with_odd_queries(spark):
+    from trovelight.operators.vector import InvertedFile, exact_knn
+
+    corpus = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [1.0, 0.0]), (5, [1.0, 0.0, 0.0]), (6, [])], "id long, vector array<double>")
+    asked = spark.createDataFrame([("a", [1.0, 0.5]), ("b", None), ("c", []), ("d", [2.0, 0.0, 0.0])], "qid string, vector array<double>")
+    got = sorted(tuple(r) for r in exact_knn(corpus, asked, 2).select("qid", "id", "score", "rank").collect())
+    assert got == [("a", 1, 1.0, 1), ("a", 4, 1.0, 2), ("d", 5, 2.0, 1)]
+    none = exact_knn(corpus, asked.limit(0), 2)
+    assert none.count() == 0 and none.schema["qid"].dataType.simpleString() == "string"
+    assert exact_knn(corpus.limit(0), asked, 2).count() == 0
+    index = InvertedFile.build(corpus.limit(0), 4)
+    assert index.search(asked, 2, 1).count() == 0
+
+
+def test_best_of_batch_equals_sorting():
+    import numpy as np
+
+    from trovelight.operators.vector import best_of_batch
+
+    rng = np.random.default_rng(2)
+    for n in (1, 3, 50):
+        scores, ids = rng.integers(0, 4, (7, n)) / 2, rng.permutation(n)
+        row, col = best_of_batch(scores, ids, 5)
+        want = [(q, i) for q in range(7) for i in sorted(range(n), key=lambda i: (-scores[q, i], ids[i]))[:5]]
+        assert list(zip(row.tolist(), col.tolist(), strict=True)) == want
