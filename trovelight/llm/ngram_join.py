@@ -31,14 +31,14 @@ TOKEN_BITS = 54
 MAX_TEXTS = 1 << (64 - TOKEN_BITS)
 FANOUT = 8
 #: Sets, and tokens of sets, of a group that are one block; blocks of a group are in trees of their own.
-TREE_ROWS, TREE_TOKENS = 6000, 1 << 21
+TREE_ROWS, TREE_TOKENS = 6000, 3 << 20
 #: A bitmap has at most so many bits for each token of the largest set of its tree.
 FOLD = 4
 FLUSH = 1 << 20
 #: Tokens that one task takes, and that it takes at a time.
 PART_TOKENS, BATCH_TOKENS = 4 << 20, 1 << 20
 #: Times that classes are dealt to units before what is still open goes through trees group by group.
-UNIT_ROUNDS = 4
+UNIT_ROUNDS = 2
 #: Pairs that are verified before components are looked at again.
 PAIRS = 5000
 
@@ -447,8 +447,9 @@ def homes(left: DataFrame) -> DataFrame:
 def units(left: DataFrame, sizes: DataFrame) -> DataFrame:
     """Deals each class to one tree, its unit, so that most groups lie in one unit whole.
 
-    A class takes the largest home that any class of its groups has. Where that makes a unit too large, its classes go
-    by their own homes instead, in blocks; the first class of such a home is copied to all its blocks and connects them.
+    A class takes the largest home that any class of its groups has. Where that makes a unit too large, it is cut into
+    pieces of whole homes; a home that is too large itself goes in blocks, and its first class is copied to all of them
+    and connects them.
     Returns (unit, cls, comp, n, at_home), at_home being false for copies.
     """
     own = S.written(homes(left), "homes")
@@ -458,9 +459,10 @@ def units(left: DataFrame, sizes: DataFrame) -> DataFrame:
     pieces = F.expr(f"cast(greatest(count(*) div {TREE_ROWS}, sum(n) div {TREE_TOKENS}) + 1 as int)")
     whole = met.groupBy("best").agg(pieces.alias("pieces"))
     by_home = met.groupBy("home").agg(pieces.alias("blocks"), F.min("cls").alias("hub"))
-    met = met.join(whole, "best").join(by_home, "home").withColumn("block", F.expr("cast(if(pieces > 1, pmod(xxhash64(cls), blocks), 0) as int)"))
-    met = met.withColumn("copy", F.explode(F.when((F.col("pieces") > 1) & (F.col("cls") == F.col("hub")), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))))
-    unit = F.when(F.col("pieces") > 1, F.xxhash64("home", "copy")).otherwise(F.xxhash64("best"))
+    met = met.join(whole, "best").join(by_home, "home").withColumn("block", F.expr("cast(pmod(xxhash64(cls), blocks) as int)"))
+    met = met.withColumn("copy", F.explode(F.when(F.col("cls") == F.col("hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))))
+    piece = F.when(F.col("pieces") > 1, F.pmod(F.xxhash64("home"), 2 * F.col("pieces"))).otherwise(0)
+    unit = F.when(F.col("blocks") > 1, F.xxhash64("home", "copy")).otherwise(F.xxhash64("best", piece))
     return met.select(unit.alias("unit"), "cls", "comp", "n", (F.col("copy") == F.col("block")).alias("at_home"))
 
 
@@ -491,11 +493,11 @@ def by_group(left: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def linked_components(rows: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """rows: (key, cls, comp, block, x, y, n), a tree unit being (key, x, y). Links (a, b) between components."""
-    rows = S.written(rows, "trees")
+    """rows: a written table of (key, cls, comp, block, x, y, n), a tree unit being (key, x, y). Links (a, b) between
+    components."""
     much = rows.agg(F.sum(F.col("n") + 100)).first()[0] or 0
     part = F.pmod(F.xxhash64("key", "x", "y"), F.lit(S.parts(much, PART_TOKENS))).alias("part")
-    found = rows.join(sets.drop("n"), "cls").select("*", part).groupBy("part").applyInArrow(_through_trees(rule), "a long, b long")
+    found = rows.select("key", "cls", "comp", "block", "x", "y", "n", part).join(sets.drop("n"), "cls").groupBy("part").applyInArrow(_through_trees(rule), "a long, b long")
     return S.written(found.distinct(), "links")
 
 
@@ -529,19 +531,19 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     left = S.written(members.join(often.select("cls", "need"), "cls").withColumn("comp", F.col("cls")), "left")
     S.discard(members)
     links, rows_left = [], left.count()
+    sizes, near = sets.select("cls", "n"), None
     for _ in range(UNIT_ROUNDS):
-        if rows_left < 2 * often.count():
+        if not rows_left:
             break
-        met = S.written(units(left, sets.select("cls", "n")), "units")
-        links.append(linked_components(met.select(F.col("unit").alias("key"), "cls", "comp", F.lit(0).alias("block"), F.lit(0).alias("x"), F.lit(0).alias("y"), "n"), sets, rule))
-        near = connected(reduce(DataFrame.unionByName, links))
+        met = S.written(units(left, sizes), "units")
+        links.append(linked_components(met.withColumnRenamed("unit", "key").withColumns({x: F.lit(0) for x in ("block", "x", "y")}), sets, rule))
+        near = near or connected(links[0])
         left = still_open(left, near, met.filter("at_home").select("cls", "unit"))
         rows_left = left.count()
     if rows_left:
-        links.append(linked_components(by_group(left, sets.select("cls", "n")), sets, rule))
-        near = connected(reduce(DataFrame.unionByName, links))
-    elif not links:
-        near = often.select(F.col("cls").alias("node"), F.col("cls").alias("root"))
+        links.append(linked_components(S.written(by_group(left, sizes), "trees"), sets, rule))
+    if len(links) != 1:
+        near = connected(reduce(DataFrame.unionByName, links, docs.sparkSession.createDataFrame([], "a long, b long")))
     named = classes.join(near.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(least, "root").select("cls", "component_id")

@@ -176,7 +176,7 @@ def _ask(length: int, buckets: int):
     return run
 
 
-def _remove(length: int, with_text: bool):
+def _remove(length: int, with_bytes: bool, with_text: bool):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
         table = S.sorted_rows(table, "u")
         u = table["u"].to_pylist()
@@ -195,7 +195,7 @@ def _remove(length: int, with_text: bool):
                 left = keep[a:b]
                 kept = data[a:b][left].tobytes()
                 spans = int(np.count_nonzero(np.diff(left.astype(np.int8), prepend=1) == -1))
-                out.append((u[lo + d], int(b - a) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None, kept.decode("utf-8", "ignore") if with_text else None))
+                out.append((u[lo + d], int(b - a) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept if with_bytes else None, kept.decode("utf-8", "ignore") if with_text else None))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string())
         return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)], names=["u", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text"])
 
@@ -208,11 +208,11 @@ def _phrases_inside(length: int) -> int:
     return (length - (SPREAD + GRAM - 1)) // SPREAD
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, with_text: bool = True) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, with_bytes: bool = True, with_text: bool = True) -> DataFrame:
     """Removes every byte covered by a `length`-byte string that also starts anywhere else in the texts (UTF-8).
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, kept (the bytes left; null where
-    nothing was removed, and always unless with_text) kept_text (the same as text, without bytes of characters cut in two) and text_sha256 (of the input), one row per input row. Null or empty texts have no bytes. Exact copies of `length` bytes or
+    nothing was removed, and always unless with_bytes), kept_text (the same as text, without bytes of characters cut in two; always null unless with_text) and text_sha256 (of the input), one row per input row. Null or empty texts have no bytes. Exact copies of `length` bytes or
     more lose everything, the first as well; one copy stands for all while other texts are judged. Repeated ids and
     rows are texts of their own. A null id stays null. Texts below `length` bytes keep all, even if repeated.
     """
@@ -238,7 +238,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     near = S.written(near, "repeating")
     S.discard(ranks)
     answers = S.replies(near.groupBy("chunk").applyInArrow(_ask(length, buckets), S.REQUEST))
-    cut = near.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_remove(length, with_text), _CUT)
+    cut = near.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_remove(length, with_bytes, with_text), _CUT)
     out = rows.join(copies.select("sha", "copies"), "sha").join(cut, "u", "left")
     gone = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     kept = F.when(gone, F.lit(b"")).otherwise(F.when(F.col("n_removed") > 0, F.col("kept")))
