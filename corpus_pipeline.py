@@ -68,7 +68,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out every passage of PASSAGE_BYTES that also starts elsewhere; documents of which nothing is left go.
     Null and empty texts hold no passage and stay. n_chars follows the text; a null id is as good as any."""
-    cut = suffix_dedup(docs, length=PASSAGE_BYTES).filter("n_removed > 0").select("doc_id", "text_sha256", "kept_text").distinct()
+    cut = suffix_dedup(docs, length=PASSAGE_BYTES, with_bytes=False).filter("n_removed > 0").select("doc_id", "text_sha256", "kept_text").distinct()
     names = [free_name(docs, f"pipeline_cut_{x}") for x in ("id", "sha", "text")]
     cut = cut.toDF(*names)
     left = F.col(names[2])
