@@ -542,7 +542,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rows_left = left.count()
     if rows_left:
         links.append(linked_components(S.written(by_group(left, sizes), "trees"), sets, rule))
-    if len(links) != 1:
+    if near is None or len(links) > 1:
         near = connected(reduce(DataFrame.unionByName, links, docs.sparkSession.createDataFrame([], "a long, b long")))
     named = classes.join(near.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
