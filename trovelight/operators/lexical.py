@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from trovelight.functions.text import tokenize
 
 K1, B = 1.2, 0.75
+#: In place of a term, stands for the text itself; terms have two characters or more.
+WHOLE = ""
+#: Pairs of question and term, of some fifty bytes each, that go to every task; more are joined as Spark plans it.
+BROADCAST_TERMS = 500_000
 
 
 def tokenized(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -45,6 +49,29 @@ class LexicalIndex:
         postings = term_freq(tokens)
         return cls(postings, doc_freq(postings), corpus_stats(tokens))
 
+    @classmethod
+    def for_queries(cls, docs: DataFrame, id_col: str, text_col: str, queries: DataFrame) -> LexicalIndex:
+        """The index as far as queries (qid, text) need it, from one pass over the texts.
+
+        Only terms of queries go on from the tokens, and one row a text for the statistics. All three tables come from
+        the same counts without filters of their own, so that they share the exchange.
+        """
+        wanted = query_terms(queries).select("term").union(queries.sparkSession.range(1).select(F.lit(WHOLE))).distinct()
+        texts = tokenized(docs, id_col, text_col)
+        terms = F.concat(F.array(F.lit(WHOLE)), F.coalesce("tokens", F.array().cast("array<string>")))
+        each = texts.select("id", F.size("tokens").cast("long").alias("dl"), F.explode(terms).alias("term")).join(wanted, "term", "left_semi")
+        counted = each.groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
+        # df reads tf, or else its branch would lose that column and count anew
+        by_term = counted.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"), F.sum("tf").alias("texts"), F.sum(F.when(F.col("dl").isNotNull(), F.col("tf"))).alias("read"), F.sum(F.col("tf") * F.col("dl")).alias("length"))
+        whole = lambda c: F.max(F.when(F.col("term") == WHOLE, F.col(c)))
+        stats = by_term.agg(F.coalesce(whole("texts"), F.lit(0)).alias("n"), F.coalesce(whole("length") / whole("read"), F.lit(0.0)).alias("avgdl"))
+        return cls(counted, by_term.select("term", "df"), stats)
+
+
+def query_terms(queries: DataFrame) -> DataFrame:
+    """(qid, text) to (qid, term, qtf)."""
+    return queries.select("qid", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+
 
 def top_k(scored: DataFrame, k: int, query: str = "qid", order: tuple[Column, ...] = ()) -> DataFrame:
     """The k best rows of each query with their rank; the planner limits each partition first."""
@@ -56,13 +83,15 @@ def bm25(index: LexicalIndex, queries: DataFrame, k: int, k1: float = K1, b: flo
     """queries: (qid, text). Returns (qid, id, score, rank), the k best with a score above 0, ties by id.
 
     Scores are rounded to six digits. Repeated query terms count as often as they occur. Only postings of query terms
-    are joined, and statistics come in as one broadcast row.
+    are joined; statistics come in as one broadcast row, and weights of up to BROADCAST_TERMS query terms too.
     """
-    terms = queries.select("qid", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+    terms = query_terms(queries)
     # one row of two numbers
     weighted = terms.join(index.frequencies, "term").join(F.broadcast(index.stats))
     idf = F.greatest(F.lit(0.0), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
     weighted = weighted.select("qid", "term", (idf * F.col("qtf")).alias("weight"), "avgdl")
+    if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        weighted = F.broadcast(weighted)
     tf = F.col("tf")
     part = F.col("weight") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = index.postings.join(weighted, "term").groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))

@@ -12,6 +12,7 @@ from trovelight.operators import chunking, context, conversation, fusion, lexica
 from trovelight.plans import engine, registry_sql
 from trovelight.plans.retriever import rerank
 from trovelight.sources import files
+from trovelight.sources.tables import read_texts
 
 K, CANDIDATES = 10, 20
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +28,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return read_texts(spark, f"{sf_dir}/{name}.parquet")
+
+
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark passage is a question."""
     return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
@@ -47,8 +52,8 @@ def _question_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bm25(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    index = lexical.LexicalIndex.build(_table(spark, sf_dir, "documents"), "doc_id", "text")
-    return lexical.bm25(index, _questions(spark, sf_dir), k)
+    asked = _questions(spark, sf_dir)
+    return lexical.bm25(lexical.LexicalIndex.for_queries(_texts(spark, sf_dir, "documents"), "doc_id", "text", asked), asked, k)
 
 
 def _hybrid(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
@@ -67,12 +72,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "pages").select("page_id", text.html_to_text(F.col("html")).alias("text"))
+    return _texts(spark, sf_dir, "pages").select("page_id", text.html_to_text(F.col("html")).alias("text"))
 
 
 @query
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.chunk_documents(_table(spark, sf_dir, "documents"), source_col="doc_id")
+    return chunking.chunk_documents(_texts(spark, sf_dir, "documents"), source_col="doc_id")
 
 
 @query
@@ -82,12 +87,12 @@ def chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.tokenized(_table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), F.size("tokens").cast("long").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
+    return lexical.tokenized(_texts(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), F.size("tokens").cast("long").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
 
 
 @query
 def term_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.term_freq(lexical.tokenized(_table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return lexical.term_freq(lexical.tokenized(_texts(spark, sf_dir, "documents"), "doc_id", "text"))
 
 
 @query
@@ -97,7 +102,7 @@ def doc_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.corpus_stats(lexical.tokenized(_table(spark, sf_dir, "documents"), "doc_id", "text")).withColumn("avgdl", F.round("avgdl", 6))
+    return lexical.corpus_stats(lexical.tokenized(_texts(spark, sf_dir, "documents"), "doc_id", "text")).withColumn("avgdl", F.round("avgdl", 6))
 
 
 @query
@@ -149,7 +154,7 @@ def rrf_multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = _questions(spark, sf_dir)
     lines = F.split("text", "\n")
     forms = [asked, asked.withColumn("text", F.element_at(lines, 1)), asked.withColumn("text", F.element_at(lines, -1))]
-    index = lexical.LexicalIndex.build(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    index = lexical.LexicalIndex.for_queries(_texts(spark, sf_dir, "documents"), "doc_id", "text", asked)
     return fusion.fuse([lexical.bm25(index, q, CANDIDATES) for q in forms], K)
 
 
@@ -210,7 +215,7 @@ def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.split("text", r"\s+")
     asked = _questions(spark, sf_dir).filter(F.size(words) > 5).withColumn("anchor", F.array_join(F.slice(words, 3, 3), " "))
     runs = F.transform(F.sequence(F.lit(1), F.size("words")), lambda i: F.array_join(F.slice("words", i, 3), " "))
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"), words.alias("words"))
+    docs = _texts(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"), words.alias("words"))
     docs = docs.select("doc_id", "body", F.explode(F.array_distinct(runs)).alias("anchor"))
     held = docs.join(asked, "anchor").filter(F.contains("body", "text")).select("qid", "text", "doc_id").distinct()
     return held.groupBy("qid", "text").agg(F.collect_set(F.col("doc_id").cast("string")).alias("expected"))
