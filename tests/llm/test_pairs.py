@@ -251,3 +251,15 @@ def test_other_column_names(spark):
     docs = spark.createDataFrame([(1, "a b c d e"), (2, "a b c d e")], "my_id int, body string")
     assert {r["component_id"] for r in ngram_join(docs, id_col="my_id", text_col="body").collect()} == {1}
     assert docs.count() == substring_dedup(docs, id_col="my_id", text_col="body").filter(F.col("n_removed") == 0).count()
+
+
+def test_likely_in_keeps_all_wanted_rows_and_few_others(spark, monkeypatch):
+    rows = spark.range(-20_000, 20_000).selectExpr("if(id = 7, null, id * 7919) as u", "cast(id as string) as text")
+    wanted = spark.range(-500, 500).selectExpr("if(id = 3, null, id * 7919) as w")
+    keys = {r["w"] for r in wanted.collect()} - {None}
+    for bits in (26, 15):
+        monkeypatch.setattr(shared, "FILTER_BITS", bits)
+        found = [r["u"] for r in shared.likely_in(rows, "u", wanted).collect()]
+        assert keys - {7 * 7919} <= set(found) and len(found) == len(set(found)) < 5_000
+    assert shared.likely_in(rows, "u", wanted.limit(0)).count() == 0 and shared.likely_in(rows.limit(0), "u", wanted).count() == 0
+    assert shared.likely_in(rows, "u", wanted).columns == ["u", "text"]

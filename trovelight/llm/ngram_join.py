@@ -526,7 +526,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     often = members.groupBy("cls").agg(F.sum("w").alias("c")).join(classes, "cls").filter("c >= need")
     often = S.written(often.select("cls", "u", "need"), "often")
     # one text for each class; equal rows bring the same again
-    sets = texts.join(often.select("u").distinct(), "u", "left_semi").dropDuplicates(["u"]).mapInArrow(_whole_sets(rule), "cls long, n long, tokens binary")
+    asked = often.select("u").distinct()
+    sets = S.likely_in(texts, "u", asked).join(asked, "u", "left_semi").dropDuplicates(["u"]).mapInArrow(_whole_sets(rule), "cls long, n long, tokens binary")
     sets = S.written(sets, "sets")
     left = S.written(members.join(often.select("cls", "need"), "cls").withColumn("comp", F.col("cls")), "left")
     S.discard(members)
