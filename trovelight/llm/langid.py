@@ -226,7 +226,9 @@ def detect_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     key_col = key_col or id_col
     k, text = F.coalesce(F.col(key_col).cast("long"), F.lit(S.NO_ID)), F.col(text_col).cast("string")
-    rows = docs.select(k.alias("k"), F.xxhash64(k, text).alias("u"), text.alias("text"), F.col(lang_col).cast("string").alias("lang"), (id_remainder(id_col, folds) == held_out).alias("held_out"))
+    # which rows are learned from goes by id too, whatever the key
+    own = F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(S.NO_ID)), text)
+    rows = docs.select(k.alias("k"), own.alias("u"), text.alias("text"), F.col(lang_col).cast("string").alias("lang"), (id_remainder(id_col, folds) == held_out).alias("held_out"))
     model = train(rows.filter(~F.col("held_out")).select("u", "text", "lang"), max_train_docs, max_train_bytes)
     shared_model = docs.sparkSession.sparkContext.broadcast(model)
     out = rows.select("k", "text", "held_out").mapInArrow(_predict(shared_model), "k long, held_out boolean, lang_pred string, score double")
