@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Stands for a null id inside the operators.
@@ -71,34 +71,27 @@ def discard(*tables: DataFrame) -> None:
 
 #: Largest filter of `likely_in`, in bits, as a power of two: 8 MiB.
 FILTER_BITS = 26
+#: Bits of one row of a filter, as bitmap_construct_agg makes them: 4 KiB.
+PAGE_BITS = 1 << 15
 
 
-def likely_in(rows: DataFrame, col: str, wanted: DataFrame) -> DataFrame:
-    """Of rows (any columns that Arrow takes) those whose long `col` may be in the one column of wanted: all that are,
-    and few others, so that an exact join after it shuffles little.
+def likely_in(rows: DataFrame, key: str | Column, wanted: DataFrame, others: bool = False) -> DataFrame:
+    """Of rows those whose long key may be in the one column of wanted: all that are, and few others, so that an exact
+    join after it shuffles little. With others, exactly the rest, null keys among them.
 
-    A bitmap of sixteen bits a wanted key goes to the tasks; it never grows beyond 2**FILTER_BITS bits. With more keys it
-    lets more of the others pass, and never stops a wanted one.
+    A bitmap of sixteen bits a wanted key is broadcast in rows of 4 KiB; it never grows beyond 2**FILTER_BITS bits. With
+    more keys it lets more of the others pass, and never stops a wanted one. wanted is read two times: write it before.
     """
     keys = wanted.toDF("key").filter("key is not null")
     width = min(FILTER_BITS, max(15, (16 * keys.count()).bit_length()))
-    place = F.pmod(F.xxhash64("key"), F.lit(1 << width))
-    page, spot = F.shiftright(place, 15).cast("int"), F.pmod(place, F.lit(1 << 15))
-    # one row of 4 KiB for each 32,768 bits
-    pages = keys.select(page.alias("page"), spot.alias("spot")).groupBy("page").agg(F.bitmap_construct_agg("spot").alias("bits")).collect()
-    bits = np.zeros((1 << width) >> 3, np.uint8)
-    for r in pages:
-        bits[r["page"] << 12 : (r["page"] + 1) << 12] = np.frombuffer(r["bits"], np.uint8)
-    shared = rows.sparkSession.sparkContext.broadcast(bits)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column(batch.num_columns - 1).to_numpy()
-            hit = (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-            yield batch.select(range(batch.num_columns - 1)).filter(pa.array(hit.astype(bool)))
-
-    asked = rows.filter(F.col(col).isNotNull()).select("*", F.pmod(F.xxhash64(col), F.lit(1 << width)).alias("place of key"))
-    return asked.mapInArrow(run, rows.schema)
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << width))
+    keys = keys.select((place("key") / PAGE_BITS).cast("long").alias("page"), F.pmod(place("key"), F.lit(PAGE_BITS)).alias("spot"))
+    pages = keys.groupBy("page").agg(F.bitmap_construct_agg("spot").alias("bits"))
+    key = F.col(key) if isinstance(key, str) else key
+    spot = F.pmod(place(key), F.lit(PAGE_BITS))
+    octet = F.conv(F.hex(F.substring(pages["bits"], (spot / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = key.isNotNull() & ((place(key) / PAGE_BITS).cast("long") == pages["page"]) & (F.getbit(octet, F.pmod(spot, F.lit(8)).cast("int")) == 1)
+    return rows.join(F.broadcast(pages), hit, "left_anti" if others else "left_semi")
 
 
 def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -182,7 +182,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hits = texts.mapInArrow(_probes(block, buckets), _PROBE).groupBy("bucket").applyInArrow(_hit_blocks, "u long, no int")
     hits = S.written(hits.groupBy("u").agg(F.collect_set("no").alias("hits")), "anchors")
     # written, so that equal rows can be dealt to chunks by a number that is not kept
-    near = texts.join(hits, "u").withColumn("chunk", F.pmod(F.xxhash64("u", F.monotonically_increasing_id()), F.lit(chunks)))
+    near = S.likely_in(texts, "u", hits.select("u")).join(hits, "u").withColumn("chunk", F.pmod(F.xxhash64("u", F.monotonically_increasing_id()), F.lit(chunks)))
     near = S.written(near.select("chunk", "k", "u", "text", "hits"), "anchored")
     answers = S.replies(near.groupBy("chunk").applyInArrow(_ask(window, block, buckets), S.REQUEST))
     cut = near.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_remove(window, block, with_text), _RESULT)

@@ -230,13 +230,14 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     while 2 * offset <= _phrases_inside(length):
         ranks = doubled(ranks, offset)
         offset *= 2
-    hits = ranks.groupBy("u").agg(F.collect_set("m").alias("hits"))
+    hits = S.written(ranks.groupBy("u").agg(F.collect_set("m").alias("hits")), "hits")
+    S.discard(ranks)
     chunks, buckets = S.parts(total, S.CHUNK_BYTES), S.parts(total // 4, S.BUCKET_KEYS)
-    near = texts.join(hits, "u").select(F.pmod("u", F.lit(chunks)).alias("chunk"), "u", "text", "hits")
+    near = S.likely_in(texts, "u", hits.select("u")).join(hits, "u").select(F.pmod("u", F.lit(chunks)).alias("chunk"), "u", "text", "hits")
     if not rows.groupBy("u").count().filter("count > 1").isEmpty():  # equal rows, of which one stands for all
         near = near.dropDuplicates(["u"])
     near = S.written(near, "repeating")
-    S.discard(ranks)
+    S.discard(hits)
     answers = S.replies(near.groupBy("chunk").applyInArrow(_ask(length, buckets), S.REQUEST))
     cut = near.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_remove(length, with_bytes, with_text), _CUT)
     out = rows.join(copies.select("sha", "copies"), "sha").join(cut, "u", "left")
