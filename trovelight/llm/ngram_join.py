@@ -526,25 +526,25 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     often = members.groupBy("cls").agg(F.sum("w").alias("c")).join(classes, "cls").filter("c >= need")
     often = S.written(often.select("cls", "u", "need"), "often")
     # one text for each class; equal rows bring the same again
-    asked = often.select("u").distinct()
+    asked = S.written(often.select("u").distinct(), "asked")
     sets = S.likely_in(texts, "u", asked).join(asked, "u", "left_semi").dropDuplicates(["u"]).mapInArrow(_whole_sets(rule), "cls long, n long, tokens binary")
     sets = S.written(sets, "sets")
     left = S.written(members.join(often.select("cls", "need"), "cls").withColumn("comp", F.col("cls")), "left")
     S.discard(members)
-    links, rows_left = [], left.count()
+    links, rows_left = [docs.sparkSession.createDataFrame([], "a long, b long")], left.count()
     sizes, near = sets.select("cls", "n"), None
     for _ in range(UNIT_ROUNDS):
         if not rows_left:
             break
         met = S.written(units(left, sizes), "units")
         links.append(linked_components(met.withColumnRenamed("unit", "key").withColumns({x: F.lit(0) for x in ("block", "x", "y")}), sets, rule))
-        near = near or connected(links[0])
+        near = connected(reduce(DataFrame.unionByName, links))
         left = still_open(left, near, met.filter("at_home").select("cls", "unit"))
         rows_left = left.count()
     if rows_left:
         links.append(linked_components(S.written(by_group(left, sizes), "trees"), sets, rule))
-    if near is None or len(links) > 1:
-        near = connected(reduce(DataFrame.unionByName, links, docs.sparkSession.createDataFrame([], "a long, b long")))
+    if rows_left or near is None:
+        near = connected(reduce(DataFrame.unionByName, links))
     named = classes.join(near.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(least, "root").select("cls", "component_id")
