@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trovelight.llm.decontaminate import contamination
@@ -17,7 +17,7 @@ from trovelight.llm.langid import detect_languages
 from trovelight.llm.mixing import mix_sources
 from trovelight.llm.ngram_join import ngram_join
 from trovelight.llm.registry import MIX, domain_of
-from trovelight.llm.shared import settled, written
+from trovelight.llm.shared import likely_in, settled, written
 from trovelight.llm.suffix import suffix_dedup
 
 
@@ -29,15 +29,22 @@ PASSAGE_BYTES = 240
 def keyed(docs: DataFrame) -> DataFrame:
     """Documents with a key that is never null: the id, or else a hash of the text, from 2**62 on, so that in a group of
     near copies an id below that goes before it. Returns only id, text, language and key, whatever else there is."""
-    own = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("text"), 2)
-    return docs.select("doc_id", "text", "lang", F.coalesce(F.col("doc_id").cast("long"), own).alias(KEY))
+    return docs.select("doc_id", "text", "lang", row_key(docs).alias(KEY))
+
+
+def row_key(docs: DataFrame) -> Column:
+    """What `keyed` names a row by."""
+    return F.coalesce(docs["doc_id"].cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(docs["text"]), 2))
 
 
 def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Documents but for those whose key is rejected."""
-    own = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("text"), 2)
-    gone = rejected.select(F.col(KEY).alias(free_name(docs, KEY))).distinct()
-    return docs.join(gone, F.coalesce(docs["doc_id"].cast("long"), own) == gone[gone.columns[0]], "left_anti")
+    """Documents but for those whose key is rejected. Only rows that a bounded bitmap of rejected keys does not clear are
+    shuffled, to be joined with the keys themselves."""
+    gone = written(rejected.select(KEY).distinct(), "rejected")
+    key = row_key(docs)
+    doubtful = likely_in(docs, key, gone)
+    left = doubtful.join(gone, key == gone[KEY], "left_anti")
+    return likely_in(docs, key, gone, others=True).unionByName(left)
 
 
 def free_name(docs: DataFrame, name: str) -> str:
@@ -68,14 +75,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out every passage of PASSAGE_BYTES that also starts elsewhere; documents of which nothing is left go.
     Null and empty texts hold no passage and stay. n_chars follows the text; a null id is as good as any."""
-    cut = suffix_dedup(docs, length=PASSAGE_BYTES, with_bytes=False).filter("n_removed > 0").select("doc_id", "text_sha256", "kept_text").distinct()
+    cut = settled(lambda: suffix_dedup(docs, length=PASSAGE_BYTES, with_bytes=False).filter("n_removed > 0").select("doc_id", "text_sha256", "kept_text"), "cut")
+    if not cut.groupBy("doc_id", "text_sha256").count().filter("count > 1").isEmpty():  # equal rows, cut alike
+        cut = cut.dropDuplicates(["doc_id", "text_sha256"])
     names = [free_name(docs, f"pipeline_cut_{x}") for x in ("id", "sha", "text")]
+    cut_ids = written(cut.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text_sha256"))).toDF("id").distinct(), "cut_ids")
     cut = cut.toDF(*names)
+    sha = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
+    key = F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(sha))
     left = F.col(names[2])
-    same = F.col("doc_id").eqNullSafe(F.col(names[0])) & (F.sha2(F.coalesce("text", F.lit("")), 256) == F.col(names[1]))
-    out = docs.join(cut, same, "left").filter(left.isNull() | (left != ""))
+    same = docs["doc_id"].eqNullSafe(F.col(names[0])) & (sha == F.col(names[1]))
+    # rows that no cut text can belong to are not shuffled
+    out = likely_in(docs, key, cut_ids).join(cut, same, "left").filter(left.isNull() | (left != ""))
+    rest = likely_in(docs, key, cut_ids, others=True)
     changed = {"text": F.coalesce(left, F.col("text")), "n_chars": F.when(left.isNull(), F.col("n_chars")).otherwise(F.length(left).cast("long"))}
-    return out.select(*(changed.get(c, F.col(c)).alias(c) for c in docs.columns))
+    return out.select(*(changed.get(c, F.col(c)).alias(c) for c in docs.columns)).unionByName(rest)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
