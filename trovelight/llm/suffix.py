@@ -232,7 +232,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         offset *= 2
     hits = S.written(ranks.groupBy("u").agg(F.collect_set("m").alias("hits")), "hits")
     S.discard(ranks)
-    chunks, buckets = S.parts(total, S.CHUNK_BYTES), S.parts(total // 4, S.BUCKET_KEYS)
+    # half of a common chunk: where most windows repeat, a byte of it costs its task up to 80 bytes
+    chunks, buckets = S.parts(total, S.CHUNK_BYTES // 2), S.parts(total // 4, S.BUCKET_KEYS)
     near = S.likely_in(texts, "u", hits.select("u")).join(hits, "u").select(F.pmod("u", F.lit(chunks)).alias("chunk"), "u", "text", "hits")
     if not rows.groupBy("u").count().filter("count > 1").isEmpty():  # equal rows, of which one stands for all
         near = near.dropDuplicates(["u"])
