@@ -7,17 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trovelight.llm import native_sql, quality_sql
+from trovelight.llm import native_sql, new_sql, quality_sql
 from trovelight.llm.decontaminate import contamination
 from trovelight.llm.katz import katz_scores
 from trovelight.llm.langid import detect_languages
 from trovelight.llm.mixing import mix_sources
+from trovelight.llm.pii import find_pii, pii_digest
 from trovelight.llm.quality import quality_rules
+from trovelight.llm.resampling import importance_resample
 from trovelight.llm.substring import substring_dedup
 from trovelight.llm.ngram_join import ngram_join
 from trovelight.llm.suffix import suffix_dedup
 from trovelight.llm.toxicity import score_toxicity
 from trovelight.llm.urls import PATTERNS, host_rule, url_filter
+from trovelight.llm.vector_codes import vector_codes
 
 #: Rules of op4, beside the method's own patterns.
 HOST_RULES = (host_rule("allow", "org/"), host_rule("block", "example.org/es/"), host_rule("block", "example.org/en/1"), host_rule("allow", "com/fr/"), host_rule("block", "com/de/"))
@@ -74,9 +77,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return importance_resample(docs, target).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_language_id, op3_lm_scores, op4_url_filters, op5_decontamination, op6_toxicity, op7_suffix_dedup, op8_mix_sources, op9_substring_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_language_id, op3_lm_scores, op4_url_filters, op5_decontamination, op6_toxicity, op7_suffix_dedup, op8_mix_sources, op9_substring_dedup, op10_quality_rules, op11_pii, op12_vector_codes, op13_importance_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filters": native_sql.URLS, "op8_mix_sources": native_sql.MIX, "op10_quality_rules": quality_sql.SQL}
+    return {"op4_url_filters": native_sql.URLS, "op8_mix_sources": native_sql.MIX, "op10_quality_rules": quality_sql.SQL, "op11_pii": new_sql.PII, "op12_vector_codes": new_sql.CODES}
