@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import urllib.error
 import urllib.request
 import zlib
 from collections.abc import Callable, Iterator
@@ -77,6 +78,32 @@ def stream_content(ndjson: Column) -> Column:
     return F.array_join(F.transform(whole, lambda x: F.coalesce(F.get_json_object(x, "$.message.content"), F.lit(""))), "")
 
 
+class NdjsonReader:
+    """Message contents of NDJSON that comes in pieces cut at any byte. `tail` is what follows the last newline; it is read
+    once its own newline comes. Blank lines are passed over; a line without content, or that is no JSON, has content ''."""
+
+    def __init__(self, tail: bytes = b""):
+        self.tail = tail
+
+    def feed(self, piece: bytes) -> list[str]:
+        *lines, self.tail = (self.tail + piece).split(b"\n")
+        return [self.content(line) for line in lines if line.strip()]
+
+    @staticmethod
+    def content(line: bytes) -> str:
+        try:
+            found = json.loads(line)
+        except ValueError:
+            return ""
+        message = found.get("message") if isinstance(found, dict) else None
+        content = message.get("content") if isinstance(message, dict) else None
+        return content if isinstance(content, str) else ""
+
+
+class ModelError(RuntimeError):
+    """An endpoint that cannot be reached or refuses; the text says what to do."""
+
+
 class HttpModel:
     """A chat endpoint that answers POST /api/chat."""
 
@@ -85,11 +112,27 @@ class HttpModel:
         self.model = model or os.environ.get("OLLAMA_MODEL", "llama3.2")
         self.timeout = timeout
 
-    def complete(self, system: str, messages: list[dict[str, str]]) -> str:
-        body = {"model": self.model, "stream": False, "messages": [{"role": "system", "content": system}, *messages]}
+    def _post(self, system: str, messages: list[dict[str, str]], stream: bool):
+        body = {"model": self.model, "stream": stream, "messages": [{"role": "system", "content": system}, *messages]}
         request = urllib.request.Request(f"{self.url}/api/chat", json.dumps(body).encode(), {"Content-Type": "application/json"})
-        with urllib.request.urlopen(request, timeout=self.timeout) as r:
-            return json.load(r).get("message", {}).get("content") or ""
+        try:
+            return urllib.request.urlopen(request, timeout=self.timeout)
+        except urllib.error.HTTPError as e:
+            hint = f"; is the model {self.model} installed there?" if e.code == 404 else ""
+            raise ModelError(f"{self.url} answered {e.code}{hint}") from e
+        except OSError as e:
+            raise ModelError(f"{self.url} cannot be reached; is the server running?") from e
+
+    def complete(self, system: str, messages: list[dict[str, str]]) -> str:
+        with self._post(system, messages, False) as r:
+            return (json.load(r).get("message") or {}).get("content") or ""
+
+    def stream(self, system: str, messages: list[dict[str, str]]) -> Iterator[str]:
+        """The answer's parts as they come."""
+        reader = NdjsonReader()
+        with self._post(system, messages, True) as r:
+            while piece := r.read1(8192):
+                yield from filter(None, reader.feed(piece))
 
     def available(self) -> bool:
         try:

@@ -35,6 +35,18 @@ def corpus_stats(tokens: DataFrame) -> DataFrame:
     return tokens.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size("tokens")), F.lit(0.0)).alias("avgdl"))
 
 
+def corpus_sums(tokens: DataFrame) -> DataFrame:
+    """One row (n, read, length): texts, those that are not null, and their tokens. Sums of parts add up."""
+    size = F.size("tokens").cast("long")
+    return tokens.agg(F.count("*").alias("n"), F.count("tokens").alias("read"), F.coalesce(F.sum(F.when(F.col("tokens").isNotNull(), size)), F.lit(0)).alias("length"))
+
+
+def stats_of(sums: DataFrame) -> DataFrame:
+    """Rows of corpus_sums to one row (n, avgdl)."""
+    added = sums.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "read", "length")))
+    return added.select("n", F.when(F.col("read") > 0, F.col("length") / F.col("read")).otherwise(0.0).alias("avgdl"))
+
+
 @dataclass(frozen=True)
 class LexicalIndex:
     """Postings, document frequencies and corpus statistics, as DataFrames."""

@@ -33,8 +33,8 @@ class Engine:
             raise FileNotFoundError(f"no loadable files under {target}")
         docs = load_files(self.spark, files)
         chunks = embed(chunk_documents(docs.filter("error is null")), "text", self.embedder)
-        stored.save(chunks, self.path)
-        return self.spark.read.parquet(f"{self.path}/chunks").count(), docs.filter("error is not null").select("source", "error")
+        written = stored.save(chunks, self.path)
+        return sum(s.rows for s in written.segments), docs.filter("error is not null").select("source", "error")
 
     def retriever(self) -> Retriever:
         chunks, lexical = stored.load(self.spark, self.path)

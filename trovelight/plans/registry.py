@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import dataclasses
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trovelight.functions import models, text
-from trovelight.operators import chunking, context, conversation, fusion, lexical, metrics, vector
-from trovelight.plans import engine, registry_sql
+from trovelight.operators import chunking, context, conversation, fusion, graph, lexical, metrics, vector
+from trovelight.plans import engine, evaluate, registry_sql
 from trovelight.plans.retriever import rerank
-from trovelight.sources import files
+from trovelight.sources import files, index, scratch
 from trovelight.sources.tables import read_texts
+from trovelight.streaming import histories, replies, state
 
 K, CANDIDATES = 10, 20
 Query = Callable[[SparkSession, str], DataFrame]
@@ -266,6 +269,69 @@ def first_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history_trim(spark, sf_dir).withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n")
 
 
+@query
+def vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.NeighbourGraph.build(_vectors(spark, sf_dir)).search(_asked_vectors(spark, sf_dir), K, 50)
+
+
+@query
+def vector_graph_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall and vectors visited of the graph at five efforts, beside exact search."""
+    return evaluate.graph_curve(_vectors(spark, sf_dir), _asked_vectors(spark, sf_dir), K)
+
+
+@query
+def bm25_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keyword search of bm25_batch over an index on disk to which the documents came in three batches."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.lit("documents").alias("source"), F.lit(0).alias("chunk_index"), "text", F.array().cast("array<float>").alias("vector"))
+    path = f"{scratch.shared_folder(spark)}/segments-{uuid.uuid4().hex}"
+    for n in range(3):
+        index.put_batch(docs.filter(F.pmod(F.xxhash64("chunk_id"), F.lit(3)) == n), path, n)
+    _, lexical_index = index.load(spark, path)
+    # ties go by number, as in bm25_batch
+    numbered = dataclasses.replace(lexical_index, postings=lexical_index.postings.withColumn("id", F.col("id").cast("long")))
+    return lexical.bm25(numbered, _questions(spark, sf_dir), CANDIDATES)
+
+
+@query
+def history_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """history_trim, kept as state while the conversations come in as a stream."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    folder = f"{scratch.shared_folder(spark)}/histories-{uuid.uuid4().hex}"
+    updates = histories.run_histories(_as_stream(turns, f"{folder}/in", 4), f"{folder}/out", f"{folder}/checkpoint", 150)
+    return histories.latest(updates).select("conv_id", "turn", "role")
+
+
+def _as_stream(rows: DataFrame, folder: str, batches: int) -> DataFrame:
+    """The rows as a stream that takes `batches` micro-batches."""
+    rows.repartition(batches).write.parquet(folder)
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each message as NDJSON of its sentences; those of odd turns break off before the last newline."""
+    sentence = lambda x: F.to_json(F.struct(F.struct(F.concat(x, F.lit(". ")).alias("content")).alias("message")))
+    lines = F.array_join(F.transform(F.split("text", r"\. "), sentence), "\n")
+    ended = F.when(F.col("turn") % 2 == 0, "\n").otherwise("")
+    return _table(spark, sf_dir, "conversations").filter("text is not null").select(F.concat_ws("-", "conv_id", "turn").alias("reply"), F.concat(lines, ended).alias("ndjson"))
+
+
+@query
+def reply_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _replies(spark, sf_dir).select("reply", models.stream_content(F.col("ndjson")).alias("content")).filter("content <> ''")
+
+
+@query
+def reply_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """reply_contents from a stream of pieces of 300 bytes, which cut lines and letters."""
+    data = _replies(spark, sf_dir).select("reply", F.encode("ndjson", "UTF-8").alias("data"))
+    every = F.sequence(F.lit(0), F.floor((F.octet_length("data") - 1) / 300).cast("int"))
+    pieces = data.select("reply", "data", F.explode(every).alias("seq")).select("reply", F.col("seq").cast("long").alias("seq"), F.substring("data", F.col("seq") * 300 + 1, F.lit(300)).alias("piece"))
+    folder = f"{scratch.shared_folder(spark)}/replies-{uuid.uuid4().hex}"
+    lines = state.run_available(replies.reply_lines(_as_stream(pieces, f"{folder}/in", 3)), f"{folder}/out", f"{folder}/checkpoint")
+    return replies.contents(lines)
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

@@ -103,6 +103,13 @@ ranks AS (
 _STOP = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _TRIMMED = """SELECT conv_id, turn, role FROM (SELECT *, sum(ceil(length(text) / 4)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM conversations) WHERE rest <= 150"""
 
+_REPLIES = """
+SELECT reply, content FROM (
+  SELECT conv_id || '-' || turn AS reply, array_to_string(list_transform(parts[1:len(parts) - turn % 2], lambda x: x || '. '), '') AS content
+  FROM (SELECT conv_id, turn, string_split(text, '. ') AS parts FROM conversations WHERE text IS NOT NULL))
+WHERE content <> ''
+"""
+
 SQL = {
     "html_to_text": HTML,
     "chunk_documents": CHUNK_DOCUMENTS,
@@ -116,6 +123,7 @@ SQL = {
       WHEN ext IN ('.md', '.mdx', '.txt', '.rst', '.ts', '.tsx', '.js', '.jsx', '.py', '.go', '.rb', '.java', '.cs', '.php', '.json', '.yaml', '.yml', '.toml', '.css', '.sql', '.sh') THEN 'text' END AS loader
       FROM (SELECT page_id, lower(regexp_extract(regexp_extract(url, '://([^?#]*)', 1), '[^/](\.[^./]+)$', 1)) AS ext FROM pages)""",
     "bm25_batch": f"{_WITH} {_bm25(_QUESTIONS, 20)}",
+    "bm25_segments": f"{_WITH} {_bm25(_QUESTIONS, 20)}",
     "vector_batch": _knn("SELECT vec_id AS qid, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0", 10),
     "vector_norms": """SELECT id, round(list_dot_product(u, u), 6) AS length, round(u[1], 6) AS first FROM (
       SELECT vec_id AS id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS u FROM embeddings)""",
@@ -136,6 +144,9 @@ SQL = {
     "citations": r"""WITH a AS (SELECT conv_id || '-' || turn AS qid, conv_id, list_distinct(list_transform(regexp_extract_all(text || printf(' [%d]. [%d][1] [%d] [1, 3]', turn + 2, turn % 3, conv_id % 9), '\[(\d+)\]', 1), lambda x: try_cast(x AS BIGINT))) AS ns FROM conversations)
       SELECT qid, n, 'c' || n || '-' || conv_id AS id FROM (SELECT qid, conv_id, unnest(ns) AS n FROM a) WHERE n BETWEEN 1 AND 5""",
     "history_trim": _TRIMMED,
+    "history_stream": _TRIMMED,
+    "reply_contents": _REPLIES,
+    "reply_stream": _REPLIES,
     "first_turns": f"SELECT conv_id, min(turn) AS turn, arg_min(role, turn) AS role FROM ({_TRIMMED}) GROUP BY conv_id",
     "history_transcript": "SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN 'User' ELSE 'Assistant' END || ': ' || text, chr(10) ORDER BY turn) AS transcript FROM conversations WHERE role <> 'system' GROUP BY conv_id",
     "eval_metrics": _RUNS + " SELECT strategy, " + ", ".join(f"round(avg(CASE WHEN first_rank <= {k} THEN 1.0 ELSE 0 END), 6) AS hit_{k}" for k in (1, 3, 6)) + ", round(avg(coalesce(1 / first_rank, 0)), 6) AS mrr FROM ranks GROUP BY strategy",
