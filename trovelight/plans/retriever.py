@@ -8,11 +8,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trovelight.functions.calls import Policy, Resource, as_resource, ask_all
 from trovelight.functions.models import Embedder, LanguageModel, PairScorer, embed, hashed_embedder, pair_score
 from trovelight.functions.text import variant_lines
 from trovelight.operators.fusion import fuse, fuse_numbered
 from trovelight.operators.lexical import LexicalIndex, bm25, top_k
 from trovelight.operators.vector import exact_knn
+from trovelight.sources.scratch import Scratch
 
 CANDIDATES = 20
 HYDE = "Write a short passage, as a manual might have it, that answers the question. Only the passage."
@@ -33,12 +35,15 @@ class Retriever:
     lexical: LexicalIndex
     embedder: Embedder = hashed_embedder
     scorer: PairScorer | None = None
-    model: LanguageModel | None = None
+    model: LanguageModel | Resource | None = None
+    policy: Policy = field(default_factory=Policy)
+    #: (qid, error, tries) of the model calls that failed, a table for each strategy that has run.
+    failures: list[DataFrame] = field(init=False, default_factory=list)
     strategies: dict[str, Callable[[DataFrame, int], DataFrame]] = field(init=False)
 
     def __post_init__(self) -> None:
         self.strategies = {"vector": self.vector, "bm25": self.bm25, "hybrid": self.hybrid, "rerank": self.hybrid_reranked}
-        if self.model is not None and self.model.available():
+        if self.model is not None and as_resource(self.model).get().available():
             self.strategies |= {"hyde": self.hyde, "multi_query": self.multi_query}
 
     def _named(self, found: DataFrame) -> DataFrame:
@@ -63,18 +68,20 @@ class Retriever:
         return rerank(found.join(questions.select("qid", F.col("text").alias("question")), "qid"), k, self.scorer)
 
     def _ask(self, questions: DataFrame, system: str, prompt: str) -> DataFrame:
-        # one model call a question, on the driver
-        answers = [(r["qid"], self.model.complete(system, [{"role": "user", "content": prompt + r["text"]}])) for r in questions.select("qid", "text").toLocalIterator()]
-        kind = questions.schema["qid"].dataType.simpleString()
-        return questions.sparkSession.createDataFrame(answers, f"qid {kind}, text string")
+        """(qid, text) of the questions that were answered; those that were not are added to `failures`. Answers are
+        written once, as a model may answer otherwise the next time."""
+        scratch = Scratch(questions.sparkSession)
+        answers = scratch.kept(ask_all(questions, self.model, system, prompt, self.policy), "answers")
+        self.failures.append(answers.filter("error is not null").select("qid", "error", "tries"))
+        return answers.filter("error is null").select("qid", "text")
 
     def hyde(self, questions: DataFrame, k: int) -> DataFrame:
-        """Searches with the embedding of a made-up answer."""
+        """Searches with the embedding of a made-up answer; a question without one finds nothing."""
         passages = self._ask(questions, HYDE, "Question: ").withColumn("text", F.trim("text"))
         return self.vector(passages, k)
 
     def multi_query(self, questions: DataFrame, k: int, variants: int = 3) -> DataFrame:
-        """Fuses the hybrid lists of the question and of up to `variants` rephrasings."""
+        """Fuses the hybrid lists of the question and of up to `variants` rephrasings; without any, it is the question's."""
         asked = self._ask(questions, VARIANTS, "Query: ").select("qid", F.posexplode(variant_lines(F.col("text"), variants)).alias("n", "text"))
         every = questions.select("qid", F.lit(0).alias("list_no"), "text").unionByName(asked.select("qid", (F.col("n") + 1).alias("list_no"), "text"))
         both = F.struct("qid", "list_no")
