@@ -90,3 +90,12 @@ def test_vectors(spark):
     rows = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<double>")
     got = [r[0] for r in rows.select(text.normalize(F.col("v"))).collect()]
     assert got[0] == [0.6, 0.8] and all(x != x for x in got[1])
+
+
+def test_long_texts_are_chunked_in_blocks(spark):
+    parts = ["p" * (i * 37 % 400) + str(i) for i in range(1000)] + ["q" * 4000, "r" * 1500, "s" * 1501]
+    text = "\n\n".join(parts)
+    got = spark.createDataFrame([(text,)], "text string").select(chunk_text(F.col("text"))).first()[0]
+    assert got == chunks_model(text, 1500, 200)
+    tight = spark.createDataFrame([(text,)], "text string").select(chunk_text(F.col("text"), 500, 300)).first()[0]
+    assert tight == chunks_model(text, 500, 300)
