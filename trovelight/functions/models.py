@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
+import re
 import urllib.error
 import urllib.request
-import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -22,6 +24,8 @@ Embedder = Callable[[list[str]], np.ndarray]
 #: (questions, texts) to logits.
 PairScorer = Callable[[list[str], list[str]], np.ndarray]
 DIMS, EMBED_BATCH, SCORE_BATCH = 384, 32, 8
+PUNCTUATION = ".,;:!?()[]\"'"
+_gaps = re.compile(r"[ \t\n\r\f\v]+")
 
 
 class LanguageModel(Protocol):
@@ -30,13 +34,21 @@ class LanguageModel(Protocol):
     def available(self) -> bool: ...
 
 
+@lru_cache(1 << 17)
+def _spot(token: str) -> tuple[int, float]:
+    digest = hashlib.md5(token.encode("utf-8", "replace")).digest()
+    return int.from_bytes(digest[:4], "big") % DIMS, 1.0 if digest[4] & 0x80 else -1.0
+
+
 def hashed_embedder(texts: list[str]) -> np.ndarray:
-    """Signed hashed bag of words: a stand-in that only knows shared words."""
+    """Signed hashed bag of words, each worked out once a worker: a stand-in that only knows shared words."""
     out = np.zeros((len(texts), DIMS))
     for row, text in zip(out, texts, strict=True):
-        for token in (text or "").lower().split():
-            h = zlib.crc32(token.strip(".,;:!?()[]\"'").encode())
-            row[h % DIMS] += 1.0 if h & 0x80000000 else -1.0
+        words = (w.strip(PUNCTUATION) for w in _gaps.split((text or "").lower()))
+        spots = [_spot(w) for w in words if w]
+        if spots:
+            at, sign = zip(*spots, strict=True)
+            np.add.at(row, list(at), sign)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(norm == 0, 1, norm)
 

@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trovelight.functions import models, text
+from trovelight.functions.calls import Resource
 from trovelight.operators import chunking, context, conversation, fusion, graph, lexical, metrics, vector
 from trovelight.plans import engine, evaluate, registry_sql
-from trovelight.plans.retriever import rerank
+from trovelight.plans.retriever import VARIANTS, Retriever, rerank
 from trovelight.sources import files, index, scratch
 from trovelight.sources.tables import read_texts
 from trovelight.streaming import histories, replies, state
@@ -269,6 +270,59 @@ def first_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history_trim(spark, sf_dir).withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n")
 
 
+def _embedded(spark: SparkSession, sf_dir: str, questions: DataFrame, model: object = None) -> Retriever:
+    """Retrieval over documents as chunks, embedded once, with the keyword index of the questions' terms."""
+    kept = scratch.Scratch(spark).kept
+    docs = _texts(spark, sf_dir, "documents")
+    chunks = models.embed(docs.select(F.col("doc_id").alias("ord"), F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("source"), "text"))
+    terms = lexical.LexicalIndex.for_queries(docs, "doc_id", "text", questions)
+    return Retriever(kept(chunks, "chunks"), lexical.LexicalIndex(*(kept(getattr(terms, x), x) for x in ("postings", "frequencies", "stats"))), model=model)
+
+
+@query
+def vector_embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest documents of each question, both embedded."""
+    asked = _questions(spark, sf_dir)
+    return _embedded(spark, sf_dir, asked).vector(asked, CANDIDATES)
+
+
+@query
+def hybrid_embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword and vector lists of the same questions over the same documents, fused."""
+    asked = _questions(spark, sf_dir)
+    return _embedded(spark, sf_dir, asked).hybrid(asked, CANDIDATES)
+
+
+class _WordsOfTheQuestion:
+    """Stands for a language model: rephrases a question by its first and its last two words, and answers with the last."""
+
+    def available(self) -> bool:
+        return True
+
+    def complete(self, system: str, messages: list[dict[str, str]]) -> str:
+        words = messages[-1]["content"].split(": ", 1)[1].split(" ")
+        first, last = " ".join(words[:2]), " ".join(words[-2:])
+        return f"{first}\n{last}" if system == VARIANTS else last
+
+
+def _strategies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Short questions, three words of a passage, whose documents are those that hold the whole passage."""
+    anchor = F.array_join(F.slice(F.split("text", r"\s+"), 3, 3), " ")
+    cases = scratch.Scratch(spark).kept(_cases(spark, sf_dir).select("qid", anchor.alias("text"), "expected"), "cases")
+    return evaluate.evaluate(_embedded(spark, sf_dir, cases.select("qid", "text"), Resource(_WordsOfTheQuestion)), cases)
+
+
+@query
+def eval_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All six strategies judged over the same questions in one run."""
+    return _strategies(spark, sf_dir)[0]
+
+
+@query
+def eval_strategy_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _strategies(spark, sf_dir)[1].select("text", F.array_join(F.array_sort("expected"), ",").alias("expected"))
+
+
 @query
 def vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.NeighbourGraph.build(_vectors(spark, sf_dir)).search(_asked_vectors(spark, sf_dir), K, 50)

@@ -110,6 +110,48 @@ SELECT reply, content FROM (
 WHERE content <> ''
 """
 
+_GAPS = "'[ ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ']+'"
+
+
+def _vectors(texts: str) -> str:
+    """The hashed bag of words of (id, text) rows, as (id, d, x) rows of what is not 0."""
+    return f"""SELECT id, d, (v / sqrt(sum(v * v) OVER (PARTITION BY id)))::FLOAT::DOUBLE AS x FROM (
+    SELECT id, ('0x' || h[1:8])::BIGINT % 384 AS d, sum(CASE WHEN h[9] >= '8' THEN 1 ELSE -1 END)::DOUBLE AS v FROM (
+      SELECT id, md5(w) AS h FROM (SELECT id, trim(unnest(regexp_split_to_array(lower(text), {_GAPS})), '.,;:!?()[]"''') AS w FROM ({texts})) WHERE w <> '') GROUP BY ALL) WHERE v <> 0"""
+
+
+_EMBEDDED = f"{_WITH}, doc_vectors AS MATERIALIZED ({_vectors('SELECT doc_id AS id, text FROM documents')})"
+
+
+def _near(questions: str, k: int) -> str:
+    return f"""SELECT qid, id, score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INT AS rank FROM (
+    SELECT qid, doc_id AS id, round(coalesce(s, 0), 6) AS score FROM ({questions}) CROSS JOIN (SELECT doc_id FROM documents)
+    LEFT JOIN (SELECT q.id AS qid, d.id AS doc_id, sum(q.x * d.x) AS s FROM ({_vectors(f"SELECT qid AS id, text FROM ({questions})")}) q JOIN doc_vectors d USING (d) GROUP BY ALL) USING (qid, doc_id))) WHERE rank <= {k}"""
+
+
+def _both(questions: str, k: int) -> str:
+    return _fuse([_near(questions, 20), _bm25(questions, 20)], k)
+
+
+_FIRST, _LAST = (f"SELECT qid, array_to_string(string_split(text, ' ')[{part}], ' ') AS text FROM asked" for part in ("1:2", "-2:"))
+_RERANKED = f"""SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, before)::INT AS rank FROM (
+  SELECT qid, id, rank AS before, round(1 / (1 + exp(-(4 * coalesce(len(list_intersect(q, t)) / nullif(len(q), 0), 0) - 2))), 6) AS score FROM (
+    SELECT h.*, (SELECT list_distinct({_TOKENS}) FROM asked a WHERE a.qid = h.qid) AS q, (SELECT {_TOKENS} FROM documents WHERE doc_id = h.id) AS t FROM ({_both("SELECT * FROM asked", 20)}) h))"""
+_STRATEGIES = f"""{_EMBEDDED}, cases AS MATERIALIZED (
+  SELECT item_id AS qid, array_to_string(regexp_split_to_array(b.text, '\\s+')[3:5], ' ') AS text, doc_id FROM benchmark b JOIN documents d ON len(regexp_split_to_array(b.text, '\\s+')) > 5 AND contains(d.text, b.text)
+), asked AS MATERIALIZED (SELECT DISTINCT qid, text FROM cases), runs AS MATERIALIZED (
+  SELECT 'vector' AS strategy, qid, id, rank FROM ({_near("SELECT * FROM asked", 6)})
+  UNION ALL SELECT 'bm25', qid, id, rank FROM ({_bm25("SELECT * FROM asked", 6)})
+  UNION ALL SELECT 'hybrid', qid, id, rank FROM ({_both("SELECT * FROM asked", 6)})
+  UNION ALL SELECT 'rerank', qid, id, rank FROM ({_RERANKED}) WHERE rank <= 6
+  UNION ALL SELECT 'hyde', qid, id, rank FROM ({_near(_LAST, 6)})
+  UNION ALL SELECT 'multi_query', qid, id, rank FROM ({_fuse([_both("SELECT * FROM asked", 20), _both(_FIRST, 20), _both(_LAST, 20)], 6)})
+), ranks AS (
+  SELECT s.strategy, c.qid, min(r.rank) AS first_rank FROM (SELECT DISTINCT strategy FROM runs) s CROSS JOIN cases c
+  LEFT JOIN runs r ON r.strategy = s.strategy AND r.qid = c.qid AND r.id = c.doc_id GROUP BY ALL
+)"""
+
 SQL = {
     "html_to_text": HTML,
     "chunk_documents": CHUNK_DOCUMENTS,
@@ -144,6 +186,10 @@ SQL = {
     "citations": r"""WITH a AS (SELECT conv_id || '-' || turn AS qid, conv_id, list_distinct(list_transform(regexp_extract_all(text || printf(' [%d]. [%d][1] [%d] [1, 3]', turn + 2, turn % 3, conv_id % 9), '\[(\d+)\]', 1), lambda x: try_cast(x AS BIGINT))) AS ns FROM conversations)
       SELECT qid, n, 'c' || n || '-' || conv_id AS id FROM (SELECT qid, conv_id, unnest(ns) AS n FROM a) WHERE n BETWEEN 1 AND 5""",
     "history_trim": _TRIMMED,
+    "vector_embedded": f"{_EMBEDDED} {_near(_QUESTIONS, 20)}",
+    "hybrid_embedded": f"{_EMBEDDED} {_both(_QUESTIONS, 20)}",
+    "eval_strategies": f"""{_STRATEGIES} SELECT strategy, {", ".join(f"round(avg(CASE WHEN first_rank <= {k} THEN 1.0 ELSE 0.0 END), 6) AS hit_{k}" for k in (1, 3, 6))}, round(avg(coalesce(1 / first_rank, 0)), 6) AS mrr FROM ranks GROUP BY strategy""",
+    "eval_strategy_misses": f"""{_STRATEGIES} SELECT text, string_agg(DISTINCT doc_id::VARCHAR, ',' ORDER BY doc_id::VARCHAR) AS expected FROM ranks JOIN cases USING (qid) WHERE strategy = 'hybrid' AND first_rank IS NULL GROUP BY qid, text""",
     "history_stream": _TRIMMED,
     "reply_contents": _REPLIES,
     "reply_stream": _REPLIES,
