@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,71 +18,71 @@ HISTORY = "conv_id {kind}, version long, history array<struct<turn:long,role:str
 NONE = -(1 << 63)
 
 
-def kept(messages: pd.DataFrame, budget: int) -> tuple[pd.DataFrame, int]:
-    """Of one conversation's messages the newest whose tokens sum up to the budget at most, and the last turn dropped."""
-    messages = messages.drop_duplicates("turn").sort_values("turn")
-    left = messages["tokens"][::-1].cumsum()[::-1]
-    gone = messages.loc[left > budget, "turn"]
-    return messages[left <= budget], int(gone.max()) if len(gone) else NONE
-
-
 def _first_cut(budget: int):
     """Drops what is over the budget within a batch already, so that a long conversation sends little to its task. What
-    is dropped leaves its turn as `floor`, on a row without a message."""
+    is dropped leaves the last such turn as `floor`, on a row without a message."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = []
-            for conv, rows in batch.groupby("conv_id", sort=False):
-                rows, floor = kept(rows, budget)
-                parts.append(rows.assign(floor=None))
-                if floor != NONE:
-                    parts.append(pd.DataFrame([(conv, None, None, None, 0, floor)], columns=[*batch.columns, "floor"]))
-            if parts:
-                yield pd.concat([p.astype(object) for p in parts])
+            rows = batch.drop_duplicates(["conv_id", "turn"]).sort_values("turn", ascending=False, kind="stable")
+            over = rows.groupby("conv_id", sort=False)["tokens"].cumsum() > budget
+            floors = rows[over].groupby("conv_id", sort=False)["turn"].max().reset_index()
+            marks = pd.DataFrame({"conv_id": floors["conv_id"], "turn": None, "role": None, "text": None, "tokens": 0, "floor": floors["turn"]})
+            yield pd.concat([rows[~over].assign(floor=None).astype(object), marks.astype(object)])
 
     return run
 
 
+def newest(messages: Iterable[tuple], budget: int, floor: int) -> tuple[list[tuple], int]:
+    """Of one conversation's (turn, role, text, tokens), the first of each turn, those after floor whose tokens sum up to the
+    budget at most, oldest first, and the new floor: the last turn that was dropped."""
+    by_turn: dict[int, tuple] = {}
+    for m in messages:
+        if m[0] > floor:
+            by_turn.setdefault(m[0], m)
+    out, used = [], 0
+    for turn in sorted(by_turn, reverse=True):
+        used += by_turn[turn][3]
+        if used > budget:
+            return out[::-1], turn
+        out.append(by_turn[turn])
+    return out[::-1], floor
+
+
 class _Newest(StatefulProcessor):
-    """State of a conversation: its kept messages, the last turn that was dropped, and how often it has changed."""
+    """State of a conversation, as JSON: the last turn that was dropped, how often it has changed, and its messages. One
+    value, as each access of a state is a message to the store."""
 
     def __init__(self, budget: int):
         self.budget = budget
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "floor long, version long")
-        self.messages = handle.getListState("messages", "turn long, role string, text string, tokens long")
+        self.state = handle.getValueState("state", "now string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        floor, version = self.seen.get() if self.seen.exists() else (NONE, 0)
-        names = ["turn", "role", "text", "tokens"]
-        now = pd.DataFrame(list(self.messages.get()) if self.seen.exists() else [], columns=names).astype(object)
+        before = self.state.get()
+        floor, version, messages = json.loads(before[0]) if before else (NONE, 0, [])
         for batch in rows:
-            floors = batch["floor"].dropna()
-            if len(floors):
-                floor = max(floor, int(floors.max()))
-            new = batch.loc[batch["turn"].notna(), names].astype(object)
-            now = pd.concat([now, new])
-            now = now[now["turn"].astype("int64") > floor] if len(now) else now
-            if len(now):
-                now, dropped = kept(now.astype({"turn": "int64", "tokens": "int64"}), self.budget)
-                floor, now = max(floor, dropped), now.astype(object)
-        clean = [tuple(None if pd.isna(x) else x for x in r) for r in now.itertuples(index=False)]
-        clean = [(int(t), r, x, int(n)) for t, r, x, n in clean]
-        if clean:
-            self.messages.put(clean)
-        else:
-            self.messages.clear()
-        version += 1
-        self.seen.update((floor, version))
-        history = [{"turn": t, "role": r, "text": x} for t, r, x, _ in clean]
-        yield pd.DataFrame({"conv_id": [key[0]], "version": [version], "history": [history]})
+            lists = (batch[c].tolist() for c in ("turn", "role", "text", "tokens", "floor"))
+            new = []
+            for turn, role, text, tokens, dropped in zip(*lists, strict=True):
+                if not pd.isna(dropped):
+                    floor = max(floor, int(dropped))
+                else:
+                    new.append((int(turn), _text(role), _text(text), int(tokens)))
+            messages, floor = newest([*map(tuple, messages), *new], self.budget, floor)
+        self.state.update((json.dumps([floor, version + 1, messages]),))
+        history = [{"turn": t, "role": r, "text": x} for t, r, x, _ in messages]
+        yield pd.DataFrame({"conv_id": [key[0]], "version": [version + 1], "history": [history]})
 
     def close(self) -> None:
         pass
 
 
+def _text(value: object) -> str | None:
+    return value if isinstance(value, str) else None
+
+
 def trimmed_histories(turns: DataFrame, budget: int = 800) -> DataFrame:
     """turns: a stream of (conv_id, turn, role, text). Streams (conv_id, version, history) for each conversation that a
     batch adds to: what is left of it when its oldest messages are dropped until the rest fits the budget.

@@ -15,41 +15,35 @@ LINES = "reply string, line long, content string"
 
 
 class _Lines(StatefulProcessor):
-    """State of a reply: the next piece's number, the lines so far, the bytes after the last newline, and pieces that came
-    before their turn."""
+    """State of a reply: the next piece's number, the lines so far, whether pieces wait, and the bytes after the last newline;
+    and the pieces that came before their turn."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.at = handle.getValueState("at", "seq long, line long, tail binary")
+        self.at = handle.getValueState("at", "seq long, line long, waiting boolean, tail binary")
         self.early = handle.getMapState("early", "seq long", "piece binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seq, line, tail = self.at.get() if self.at.exists() else (0, 0, b"")
+        seq, line, waiting, tail = self.at.get() or (0, 0, False, b"")
         reader = NdjsonReader(bytes(tail))
-        waiting = self.at.exists() and next(iter(self.early.keys()), None) is not None
-        out: list[tuple[str, int, str]] = []
-
-        def take(piece: bytes) -> None:
-            nonlocal seq, line
-            seq += 1
-            for content in reader.feed(piece):
-                out.append((key[0], line, content))
-                line += 1
-
         for batch in rows:
-            for n, piece in sorted(zip(batch["seq"], batch["piece"], strict=True), key=lambda x: x[0]):
-                if n == seq:
-                    take(bytes(piece))
-                    while waiting and self.early.containsKey((seq,)):
-                        now = seq
-                        take(bytes(self.early.getValue((now,))[0]))
-                        self.early.removeKey((now,))
-                elif n > seq:
-                    self.early.updateValue((int(n),), (bytes(piece),))
+            found = []
+            for n, piece in sorted(zip(batch["seq"].tolist(), batch["piece"].tolist(), strict=True), key=lambda x: x[0]):
+                if n > seq:
+                    self.early.updateValue((n,), (bytes(piece),))
                     waiting = True
-            if out:
-                yield pd.DataFrame(out, columns=["reply", "line", "content"])
-                out.clear()
-        self.at.update((seq, line, reader.tail))
+                elif n == seq:
+                    found += reader.feed(bytes(piece))
+                    seq += 1
+                    while waiting and self.early.containsKey((seq,)):
+                        found += reader.feed(bytes(self.early.getValue((seq,))[0]))
+                        self.early.removeKey((seq,))
+                        seq += 1
+            if found:
+                yield pd.DataFrame({"reply": key[0], "line": range(line, line + len(found)), "content": found})
+                line += len(found)
+        if waiting:
+            waiting = next(iter(self.early.keys()), None) is not None
+        self.at.update((seq, line, waiting, reader.tail))
 
     def close(self) -> None:
         pass
