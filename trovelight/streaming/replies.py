@@ -7,46 +7,30 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from trovelight.functions.models import NdjsonReader
 
 LINES = "reply string, line long, content string"
-
-
-class _Lines(StatefulProcessor):
-    """State of a reply: the next piece's number, the lines so far, whether pieces wait, and the bytes after the last newline;
-    and the pieces that came before their turn."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.at = handle.getValueState("at", "seq long, line long, waiting boolean, tail binary")
-        self.early = handle.getMapState("early", "seq long", "piece binary")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seq, line, waiting, tail = self.at.get() or (0, 0, False, b"")
-        reader = NdjsonReader(bytes(tail))
-        for batch in rows:
-            found = []
-            for n, piece in sorted(zip(batch["seq"].tolist(), batch["piece"].tolist(), strict=True), key=lambda x: x[0]):
-                if n > seq:
-                    self.early.updateValue((n,), (bytes(piece),))
-                    waiting = True
-                elif n == seq:
-                    found += reader.feed(bytes(piece))
-                    seq += 1
-                    while waiting and self.early.containsKey((seq,)):
-                        found += reader.feed(bytes(self.early.getValue((seq,))[0]))
-                        self.early.removeKey((seq,))
-                        seq += 1
-            if found:
-                yield pd.DataFrame({"reply": key[0], "line": range(line, line + len(found)), "content": found})
-                line += len(found)
-        if waiting:
-            waiting = next(iter(self.early.keys()), None) is not None
-        self.at.update((seq, line, waiting, reader.tail))
-
-    def close(self) -> None:
-        pass
+#: Next piece's number, lines so far, bytes after the last newline, and the pieces that came before their turn.
+STATE = "seq long, line long, tail binary, early map<bigint,binary>"
+
+
+def _take(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    seq, line, tail, early = state.get if state.exists else (0, 0, b"", {})
+    reader, early = NdjsonReader(bytes(tail)), dict(early or {})
+    for batch in batches:
+        for n, piece in zip(batch["seq"].tolist(), batch["piece"].tolist(), strict=True):
+            if n >= seq:
+                early.setdefault(n, bytes(piece))
+        found = []
+        while seq in early:
+            found += reader.feed(bytes(early.pop(seq)))
+            seq += 1
+        if found:
+            yield pd.DataFrame({"reply": key[0], "line": range(line, line + len(found)), "content": found})
+            line += len(found)
+    state.update((seq, line, reader.tail, early))
 
 
 def reply_lines(pieces: DataFrame) -> DataFrame:
@@ -58,7 +42,7 @@ def reply_lines(pieces: DataFrame) -> DataFrame:
     change nothing. Null replies, numbers and pieces are passed over.
     """
     whole = pieces.select(F.col("reply").cast("string").alias("reply"), F.col("seq").cast("long").alias("seq"), F.col("piece").cast("binary").alias("piece")).na.drop()
-    return whole.groupBy("reply").transformWithStateInPandas(_Lines(), LINES, "append", "none")
+    return whole.groupBy("reply").applyInPandasWithState(_take, LINES, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def contents(lines: DataFrame) -> DataFrame:
