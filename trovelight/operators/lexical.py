@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from trovelight.functions.text import tokenize
 
 K1, B = 1.2, 0.75
-#: In place of a term, stands for the text itself; terms have two characters or more.
-WHOLE = ""
+#: Before a number, stands for the text itself; terms have letters and digits only. The number, a hash of the id modulo
+#: SALTS, deals these rows over tasks where terms are joined by a shuffle.
+WHOLE, SALTS = "~", 64
 #: Pairs of question and term, of some fifty bytes each, that go to every task; more are joined as Spark plans it.
 BROADCAST_TERMS = 500_000
 
@@ -68,14 +69,16 @@ class LexicalIndex:
         Only terms of queries go on from the tokens, and one row a text for the statistics. All three tables come from
         the same counts without filters of their own, so that they share the exchange.
         """
-        wanted = query_terms(queries).select("term").union(queries.sparkSession.range(1).select(F.lit(WHOLE))).distinct()
+        marks = queries.sparkSession.range(SALTS).select(F.concat(F.lit(WHOLE), F.col("id").cast("string")))
+        wanted = query_terms(queries).select("term").union(marks).distinct()
         texts = tokenized(docs, id_col, text_col)
-        terms = F.concat(F.array(F.lit(WHOLE)), F.coalesce("tokens", F.array().cast("array<string>")))
+        mark = F.concat(F.lit(WHOLE), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("string"))
+        terms = F.concat(F.array(mark), F.coalesce("tokens", F.array().cast("array<string>")))
         each = texts.select("id", F.size("tokens").cast("long").alias("dl"), F.explode(terms).alias("term")).join(wanted, "term", "left_semi")
         counted = each.groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
         # df reads tf, or else its branch would lose that column and count anew
         by_term = counted.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"), F.sum("tf").alias("texts"), F.sum(F.when(F.col("dl").isNotNull(), F.col("tf"))).alias("read"), F.sum(F.col("tf") * F.col("dl")).alias("length"))
-        whole = lambda c: F.max(F.when(F.col("term") == WHOLE, F.col(c)))
+        whole = lambda c: F.sum(F.when(F.startswith("term", F.lit(WHOLE)), F.col(c)))
         stats = by_term.agg(F.coalesce(whole("texts"), F.lit(0)).alias("n"), F.coalesce(whole("length") / whole("read"), F.lit(0.0)).alias("avgdl"))
         return cls(counted, by_term.select("term", "df"), stats)
 
