@@ -15,6 +15,7 @@ from trovelight.operators.lexical import LexicalIndex
 from trovelight.plans.retriever import CANDIDATES, Retriever
 from trovelight.sources import index as stored
 from trovelight.sources.files import discover, load_files
+from trovelight.sources.stored_files import load_stored
 
 CHUNK_BUDGET, HISTORY_BUDGET = 1800, 800
 ANSWER = "Answer in a few sentences from the numbered documents alone, and put the number of the supporting document in brackets after each claim, like [2]. Say so if they do not hold the answer."
@@ -26,12 +27,15 @@ class Engine:
         self.spark, self.path, self.embedder, self.scorer, self.model = spark, path, embedder, scorer, model
 
     def ingest(self, target: str) -> tuple[int, DataFrame]:
-        """Reads, chunks, embeds and writes all files below `target`. Returns the number of chunks and the files that
-        could not be read, as (source, error)."""
-        files = discover(target)
-        if not files:
-            raise FileNotFoundError(f"no loadable files under {target}")
-        docs = load_files(self.spark, files)
+        """Reads, chunks, embeds and writes all files below `target`, a local path or the address of any store that Spark
+        reads. Returns the number of chunks and the files that could not be read, as (source, error)."""
+        if "://" in target:
+            docs = load_stored(self.spark, target)
+        else:
+            files = discover(target)
+            if not files:
+                raise FileNotFoundError(f"no loadable files under {target}")
+            docs = load_files(self.spark, files)
         chunks = embed(chunk_documents(docs.filter("error is null")), "text", self.embedder)
         written = stored.save(chunks, self.path)
         return sum(s.rows for s in written.segments), docs.filter("error is not null").select("source", "error")
