@@ -14,6 +14,7 @@ from trovelight.functions.calls import Resource
 from trovelight.operators import chunking, context, conversation, fusion, graph, lexical, metrics, vector
 from trovelight.plans import engine, evaluate, registry_sql
 from trovelight.plans.retriever import VARIANTS, Retriever, rerank
+from trovelight.sources import csv_splits as csv_reader
 from trovelight.sources import files, index, scratch
 from trovelight.sources.tables import read_texts
 from trovelight.streaming import histories, replies, state
@@ -263,6 +264,16 @@ def csv_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.documents_of(made).select("source", "text")
 
 
+@query
+def csv_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers written as CSV files, with quotes and newlines in a field, and read back in splits."""
+    remark = F.concat(F.lit('seen, "'), F.col("c_name"), F.lit('"\n'), F.col("c_mktsegment"))
+    made = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), remark.alias("remark"), F.col("c_nationkey").alias("nation"))
+    path = f"{scratch.shared_folder(spark)}/customers-{uuid.uuid4().hex}"
+    made.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    return csv_reader.csv_documents_of(spark, path).select("text")
+
+
 @query
 def first_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a conversation's trimmed history starts with."""

@@ -191,6 +191,7 @@ SQL = {
     "eval_strategies": f"""{_STRATEGIES} SELECT strategy, {", ".join(f"round(avg(CASE WHEN first_rank <= {k} THEN 1.0 ELSE 0.0 END), 6) AS hit_{k}" for k in (1, 3, 6))}, round(avg(coalesce(1 / first_rank, 0)), 6) AS mrr FROM ranks GROUP BY strategy""",
     "eval_strategy_misses": f"""{_STRATEGIES} SELECT text, string_agg(DISTINCT doc_id::VARCHAR, ',' ORDER BY doc_id::VARCHAR) AS expected FROM ranks JOIN cases USING (qid) WHERE strategy = 'hybrid' AND first_rank IS NULL GROUP BY qid, text""",
     "history_stream": _TRIMMED,
+    "csv_splits": """SELECT 'key: ' || c_custkey || chr(10) || 'remark: seen, "' || c_name || '"' || chr(10) || c_mktsegment || chr(10) || 'nation: ' || c_nationkey AS text FROM customer""",
     "reply_contents": _REPLIES,
     "reply_stream": _REPLIES,
     "first_turns": f"SELECT conv_id, min(turn) AS turn, arg_min(role, turn) AS role FROM ({_TRIMMED}) GROUP BY conv_id",
