@@ -2,7 +2,7 @@
 
 Each stage takes the documents that its predecessor kept and returns the columns of documents; the last returns how
 many copies of each document the mixture takes. Decisions are made by doc_id: where an id is repeated, a rejection
-holds for all its rows. Rows without an id are only rejected where nothing but the row itself decides.
+holds for all its rows. Rows without an id are told apart by a hash of their text (`row_key`) and rejected as others are.
 """
 
 from __future__ import annotations
