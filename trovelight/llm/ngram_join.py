@@ -2,9 +2,10 @@
 
 Documents with equal shingle sets form classes. Each class cuts its set into segments by token value; two sets that
 link differ in fewer tokens than there are segments, so they agree in some of them, and classes with an equal segment
-are a group. Groups say which sets can meet at all; all links come from signature trees over the sets of a group,
-whose nodes hold OR-combined token bitmaps, size ranges and components. A dual traversal drops pairs of nodes whose
-largest possible overlap is too small, or that are one component already, and verifies what reaches the leaves.
+are a group. Groups say which sets can meet at all. Within a unit, each set is first verified against the middle one; what
+that leaves comes from signature trees over the sets, whose nodes hold OR-combined token bitmaps, size ranges and
+components. A dual traversal drops pairs of nodes whose largest possible overlap is too small, or that are one component
+already, and verifies what reaches the leaves.
 
 Trees are built for units: each class is dealt to one, so that most groups lie in a unit whole. Groups of several
 components that no unit held whole are dealt again, as far as their classes have as many keys in such groups as a
