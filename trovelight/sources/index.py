@@ -20,7 +20,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trovelight.operators.lexical import LexicalIndex, corpus_sums, doc_freq, stats_of, term_freq, tokenized
+from trovelight.operators.lexical import LexicalIndex, corpus_sums, doc_freq, stats_of, term_freq_by_text, tokenized
 
 CHUNKS = "chunk_id string, source string, chunk_index int, text string, vector array<float>"
 POSTINGS, FREQUENCIES, SUMS = "id string, term string, tf long, dl long", "term string, df long", "n long, read long, length long"
@@ -126,8 +126,9 @@ def _write_segment(chunks: DataFrame, path: str, tier: int = 0) -> Segment:
     at = f"{path}/segments/{name}"
     chunks.select(*(c.split()[0] for c in CHUNKS.split(", "))).write.parquet(f"{at}/chunks")
     tokens = tokenized(spark.read.schema(CHUNKS).parquet(f"{at}/chunks"), "chunk_id", "text")
-    # sorted by term, so that a scan skips what holds none of the asked terms
-    term_freq(tokens).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{at}/postings")
+    # a text's postings stay in one file, so that its scores are added up where they are read; a file is sorted by term, so
+    # that a scan skips what holds none of the asked terms
+    term_freq_by_text(tokens).sortWithinPartitions("term").write.parquet(f"{at}/postings")
     doc_freq(spark.read.schema(POSTINGS).parquet(f"{at}/postings")).write.parquet(f"{at}/frequencies")
     corpus_sums(tokens).write.parquet(f"{at}/stats")
     return Segment(name, spark.read.schema(SUMS).parquet(f"{at}/stats").first()["n"], tier)
@@ -141,7 +142,7 @@ def _tables(spark: SparkSession, path: str, segments: tuple[Segment, ...], table
 
 
 def put_batch(chunks: DataFrame, path: str, batch: int, writer: str = "") -> Manifest:
-    """Appends one batch of chunks. A batch of a writer that is in the index already changes nothing.
+    """Appends one batch of chunks, whose ids are distinct. A batch of a writer that is in the index already changes nothing.
 
     Costs the batch's own chunks, and merges that each chunk takes part in once a tier.
     """
@@ -177,7 +178,7 @@ def compact(spark: SparkSession, path: str, fan_in: int = FAN_IN) -> Manifest:
         name = f"{int(time.time() * 1000):015d}-{uuid.uuid4().hex[:8]}"
         at = f"{path}/segments/{name}"
         _tables(spark, path, merged, "chunks").write.parquet(f"{at}/chunks")
-        _tables(spark, path, merged, "postings").repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{at}/postings")
+        _tables(spark, path, merged, "postings").repartition("id").sortWithinPartitions("term").write.parquet(f"{at}/postings")
         summed(_tables(spark, path, merged, "frequencies")).write.parquet(f"{at}/frequencies")
         _tables(spark, path, merged, "stats").agg(*(F.sum(c).alias(c) for c in ("n", "read", "length"))).write.parquet(f"{at}/stats")
         new = Segment(name, sum(s.rows for s in merged), full + 1)
