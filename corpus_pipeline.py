@@ -8,6 +8,7 @@ holds for all its rows. Rows without an id are told apart by a hash of their tex
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from trovelight.llm.langid import detect_languages
 from trovelight.llm.mixing import mix_sources
 from trovelight.llm.ngram_join import ngram_join
 from trovelight.llm.registry import MIX, domain_of
-from trovelight.llm.shared import likely_in, settled, written
+from trovelight.llm.shared import likely_in, settled, small_batches, written
 from trovelight.llm.suffix import suffix_dedup
 
 
@@ -54,6 +55,21 @@ def free_name(docs: DataFrame, name: str) -> str:
     return name
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def lean(stage: Stage) -> Stage:
+    """The stage with small record batches: whatever it runs in Python workers, it runs before it returns."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with small_batches(spark):
+            return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@lean
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters (`und`), null and empty texts among them, and those whose language is less likely
     than not."""
@@ -62,6 +78,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without(docs.filter(F.col("text").rlike(r"\p{L}")), rejected)
 
 
+@lean
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest key of each group of five-word shingle similarity 0.8 or more. Documents
     without words are in no group. Equal rows of one id are copies of each other, and one stays."""
@@ -72,6 +89,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return kept
 
 
+@lean
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out every passage of PASSAGE_BYTES that also starts elsewhere; documents of which nothing is left go.
     Null and empty texts hold no passage and stay. n_chars follows the text; a null id is as good as any."""
@@ -92,6 +110,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return out.select(*(changed.get(c, F.col(c)).alias(c) for c in docs.columns)).unionByName(rest)
 
 
+@lean
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold four fifths or more of a benchmark item's words, in tiles of five words or more. Null
     and empty texts, and items without words, match nothing. A rejection holds for all rows of an id."""
@@ -105,7 +124,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix_sources(docs, domain_of(), **MIX).filter("copies > 0")
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("language_id", language_id),
     ("near_duplicates", near_duplicates),
     ("repeated_passages", repeated_passages),

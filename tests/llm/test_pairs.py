@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from fixtures import ids_and_texts, jaccard_components, key, odd_documents, repeated_windows, sentence, words_of
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from trovelight.llm import shared
 from trovelight.llm.components import connected
 from trovelight.llm.ngram_join import ngram_join
 from trovelight.llm.substring import substring_dedup
-from trovelight.llm.suffix import suffix_dedup
+from trovelight.llm.suffix import _send_phrases, suffix_dedup
 
 
 @pytest.fixture(scope="module")
@@ -263,3 +265,18 @@ def test_likely_in_keeps_all_wanted_rows_and_few_others(spark, monkeypatch):
         assert keys - {7 * 7919} <= set(found) and len(found) == len(set(found)) < 5_000
     assert shared.likely_in(rows, "u", wanted.limit(0)).count() == 0 and shared.likely_in(rows.limit(0), "u", wanted).count() == 0
     assert shared.likely_in(rows, "u", wanted).columns == ["u", "text"]
+
+
+def test_phrases_of_a_task_take_little_memory_and_go_in_pieces():
+    rng = np.random.default_rng(1)
+    texts = ["".join(map(chr, rng.integers(97, 123, 4000))) for _ in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000), pa.int64()), pa.array(texts)], names=["u", "text"])
+    tracemalloc.start()
+    try:
+        sent = list(_send_phrases(240, 64)(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 60 << 20
+    assert len(sent) > 1 and max(b.nbytes for b in sent) <= shared.BATCH_BYTES * 3 // 2
+    assert [r for b in sent for r in b["bucket"].to_pylist()] == list(range(64))

@@ -5,6 +5,7 @@ import re
 
 import duckdb
 import pandas as pd
+import pyarrow as pa
 from fixtures import ids_and_texts, jaccard_components, odd_documents, repeated_windows, sentence
 from test_rules import tile_brute
 
@@ -84,3 +85,19 @@ def test_documents_without_id_are_rejected_as_others(spark, sf_dir):
     want = sorted(r["text"] for r in judged if r["lang_pred"] != "und" and r["score"] >= 0.5)
     assert texts_without_id(corpus_pipeline.language_id(spark, table, sf_dir)) == want
     assert any(r["lang_pred"] != "und" and r["score"] < 0.5 for r in judged)
+
+
+def test_stages_send_workers_small_batches(spark, sf_dir, monkeypatch):
+    def rejects_large_batches(docs, key_col):
+        def run(batches):
+            for b in batches:
+                n = b.num_rows
+                yield pa.RecordBatch.from_arrays([b.column(key_col), pa.array(["und" if n > 1000 else "en"] * n), pa.array([1.0] * n)], names=[key_col, "lang_pred", "score"])
+
+        return docs.select(key_col).mapInArrow(run, f"{key_col} long, lang_pred string, score double")
+
+    monkeypatch.setattr(corpus_pipeline, "detect_languages", rejects_large_batches)
+    docs = spark.range(3000).selectExpr("id as doc_id", "concat('text ', id) as text", "'en' as lang", "'s' as source", "9L as n_chars").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert corpus_pipeline.language_id(spark, docs, sf_dir).count() == 3000
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before

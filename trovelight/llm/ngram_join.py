@@ -110,7 +110,7 @@ def _sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pieces(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    for lo, hi in T.slices(texts):
+    for lo, hi in T.slices(texts, T.SMALL_SLICE_BYTES):
         for x in range(lo, hi, MAX_TEXTS):
             yield x, min(x + MAX_TEXTS, hi)
 
@@ -191,10 +191,10 @@ def _send_keys(rule: Rule, buckets: int):
                 classes.append(_classes(tokens, off)[owner])
                 n += len(k)
                 if n >= FLUSH:
-                    yield flush(keys, classes)
+                    yield from S.in_pieces(flush(keys, classes))
                     keys, classes, n = [], [], 0
         if n:
-            yield flush(keys, classes)
+            yield from S.in_pieces(flush(keys, classes))
 
     return run
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 NO_ID = -(1 << 63)
 CHUNK_BYTES = 4 << 20
 BUCKET_KEYS = 1 << 20
+#: Rows of texts that go to a Python worker at a time, and bytes that come back. Both are outside the JVM's heap.
+BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
 _codec = pa.Codec("zstd", 1)
 
 
@@ -200,6 +203,26 @@ def one_array(column: pa.ChunkedArray) -> pa.Array:
     return column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within it, what runs sends Python workers record batches of BATCH_ROWS rows at most."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def in_pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in batches of about BATCH_BYTES; one larger row is a batch of its own."""
+    rows = max(1, batch.num_rows * BATCH_BYTES // max(1, batch.nbytes))
+    for lo in range(0, batch.num_rows, rows):
+        yield batch.slice(lo, rows)
+
+
 def tables(batches: Iterator[pa.RecordBatch], names: list[str], schema: pa.Schema | None = None) -> Iterator[pa.RecordBatch]:
     for b in batches:
         yield b.select(names)

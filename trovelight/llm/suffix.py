@@ -101,7 +101,7 @@ def _send_phrases(length: int, buckets: int):
         held, n = ([], [], []), 0
         for batch in batches:
             k = batch.column("u").to_numpy()
-            for lo, hi in T.slices(batch.column("text")):
+            for lo, hi in T.slices(batch.column("text"), T.SMALL_SLICE_BYTES):
                 p = positions(batch.column("text").slice(lo, hi - lo))
                 if len(p.at) < 2:
                     continue
@@ -111,10 +111,10 @@ def _send_phrases(length: int, buckets: int):
                     x.append(y)
                 n += len(h)
                 if n >= FLUSH:
-                    yield flush(*held)
+                    yield from S.in_pieces(flush(*held))
                     held, n = ([], [], []), 0
         if n:
-            yield flush(*held)
+            yield from S.in_pieces(flush(*held))
 
     return run
 
@@ -155,7 +155,7 @@ def doubled(ranks: DataFrame, offset: int) -> DataFrame:
 def _candidates(table: pa.Table, length: int):
     table = S.sorted_rows(table, "u")
     texts, hits = S.one_array(table["text"]), table["hits"]
-    for lo, hi in T.slices(texts):
+    for lo, hi in T.slices(texts, T.SMALL_SLICE_BYTES):
         p = positions(texts.slice(lo, hi - lo))
         live = np.zeros(len(p.data) + 1, bool)
         begin = np.searchsorted(p.at, p.offsets)

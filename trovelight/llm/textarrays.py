@@ -14,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
+#: Slices of tasks that hold many numbers a byte at a time.
+SMALL_SLICE_BYTES = SLICE_BYTES // 4
 # a worker's memory goes back to the system after each batch, not to a pool of its own
 pa.set_memory_pool(pa.system_memory_pool())
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -33,7 +35,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 def _power(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES + 1)
+        size = max(n, min(2 * n, SLICE_BYTES + 1))
         steps = np.full(size, base, np.uint64)
         steps[0] = 1
         have = _powers[base] = np.multiply.accumulate(steps)
