@@ -92,6 +92,24 @@ def test_tasks_give_back_fewer_links_than_they_have_sets(spark, monkeypatch):
     assert max(t.count() for name, t in made if name == "links") < 2 * len(rows)
 
 
+def test_join_writes_few_files_and_sends_small_batches(spark, monkeypatch):
+    """Each file that a task writes makes its JVM start a process, so their number does not follow the tasks that read."""
+    made, sizes, old, name = [], set(), nj.S.written, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+
+    def written(df, what):
+        sizes.add(int(spark.conf.get(name)))
+        out = old(df, what)
+        made.append((what, len(out.inputFiles())))
+        return out
+
+    monkeypatch.setattr(nj.S, "written", written)
+    docs = spark.createDataFrame(near_copies(60, 4), "doc_id long, text string").repartition(40)
+    check_join(docs, 3, 80)
+    assert dict(made)["classes"] <= 4 and sum(n for _, n in made) < 2 * len(made)
+    assert max(sizes) <= shared.BATCH_ROWS and spark.conf.get(name) == before
+
+
 def test_short_equal_sets_send_no_keys():
     rule = nj.Rule(3, 90, 100)
     off = np.concatenate([[0], np.cumsum(np.arange(1, 9))])

@@ -513,16 +513,20 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     if words < 1 or not 0 < num <= den:
         raise ValueError("words must be at least 1 and 0 < num <= den")
-    rule = Rule(words, num, den)
-    texts = S.texts_of(docs, id_col, text_col)
+    with S.small_batches(docs.sparkSession):
+        return _components(S.texts_of(docs, id_col, text_col), id_col, Rule(words, num, den))
+
+
+def _components(texts: DataFrame, id_col: str, rule: Rule) -> DataFrame:
+    """ngram_join of (k, u, text). What is left lazy at its end runs no Python."""
     total = S.total_bytes(texts)
-    rows = S.written(texts.mapInArrow(_describe(rule), "k long, u long, n long, cls long, need long"), "classes")
+    # a row a text is little, and a file costs more than its rows: few files, however many tasks read the texts
+    rows = S.written(texts.mapInArrow(_describe(rule), "k long, u long, n long, cls long, need long").hint("rebalance"), "classes")
     classes = rows.filter("cls <> 0").groupBy("cls").agg(F.min("u").alias("u"), F.min(S.id_back()).alias("least"), F.first("need").alias("need"))
     keys = texts.mapInArrow(_send_keys(rule, S.parts(total // 20, S.BUCKET_KEYS // 2)), "bucket int, n int, keys binary, classes binary")
-    members = S.written(keys.groupBy("bucket").applyInArrow(_members, "key long, cls long, w long"), "keys")
+    members = keys.groupBy("bucket").applyInArrow(_members, "key long, cls long, w long")
     # keys of the same classes are one group, of weight w
-    every, members = members, S.written(members.groupBy("key", "cls").agg(F.sum("w").alias("w")), "members")
-    S.discard(every)
+    members = S.written(members.groupBy("key", "cls").agg(F.sum("w").alias("w")), "members")
     # classes with fewer keys than a linked pair shares have no partner
     often = members.groupBy("cls").agg(F.sum("w").alias("c")).join(classes, "cls").filter("c >= need")
     often = S.written(often.select("cls", "u", "need"), "often")
@@ -532,7 +536,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = S.written(sets, "sets")
     left = S.written(members.join(often.select("cls", "need"), "cls").withColumn("comp", F.col("cls")), "left")
     S.discard(members)
-    links, rows_left = [docs.sparkSession.createDataFrame([], "a long, b long")], left.count()
+    links, rows_left = [texts.sparkSession.createDataFrame([], "a long, b long")], left.count()
     sizes, near = sets.select("cls", "n"), None
     for _ in range(UNIT_ROUNDS):
         if not rows_left:
