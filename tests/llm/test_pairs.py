@@ -14,6 +14,7 @@ from trovelight.llm import ngram_join as nj
 from trovelight.llm import shared
 from trovelight.llm.components import connected
 from trovelight.llm.ngram_join import ngram_join
+from trovelight.llm.registry import op7_suffix_dedup
 from trovelight.llm.substring import substring_dedup
 from trovelight.llm.suffix import _send_phrases, suffix_dedup
 
@@ -242,6 +243,27 @@ def test_suffix_equals_brute_force(docs, odd, length, monkeypatch):
             assert r["kept"] is None or hashlib.sha256(bytes(r["kept"])).hexdigest() == r["kept_sha256"]
 
 
+def test_suffix_counts_shorter_repeats_beside_what_it_removes(docs, odd, monkeypatch):
+    monkeypatch.setattr(shared, "CHUNK_BYTES", 60_000)
+    for table in (docs, odd):
+        found = suffix_dedup(table, length=400, also=240).collect()
+        got = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found), key=key)
+        assert got == bytes_brute(table, 400)
+        assert sorted(((r["doc_id"], r["n_bytes"], r["n_repeated"]) for r in found), key=key) == sorted((x[:3] for x in bytes_brute(table, 240)), key=key)
+
+
+def test_op7_shows_passages_of_over_fifty_words(spark, tmp_path):
+    """Such a passage can be shorter than the 400 bytes that are removed."""
+    rng = random.Random(2)
+    passage = " ".join(rng.choice("a bird sang at dawn over low wet hay".split()) + str(rng.randrange(9)) for _ in range(52))
+    rows = [(i, sentence(rng, 60) + (" " + passage + " " if i < 2 else " ") + sentence(rng, 60)) for i in range(6)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r for r in op7_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert 240 < len(passage) < 398 and all(r["n_removed"] == 0 for r in found.values())
+    assert [len(passage) <= found[i]["n_repeated"] <= len(passage) + 10 for i in range(6)] == [True, True] + [False] * 4
+    assert all(found[i]["n_repeated"] == 0 for i in range(2, 6))
+
+
 def test_empty_tables(docs):
     none = docs.limit(0)
     for table in (ngram_join(none), substring_dedup(none), suffix_dedup(none)):

@@ -24,6 +24,8 @@ from trovelight.llm.vector_codes import vector_codes
 
 #: Rules of op4, beside the method's own patterns.
 HOST_RULES = (host_rule("allow", "org/"), host_rule("block", "example.org/es/"), host_rule("block", "example.org/en/1"), host_rule("allow", "com/fr/"), host_rule("block", "com/de/"))
+#: Shortest passage whose bytes op7 counts beside what it removes: about forty words.
+PASSAGE_BYTES = 240
 #: Weights of op8 and of the pipeline's last stage.
 MIX = {"target_percent": 50, "domain_weights": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang_weights": {"en": 5, "fr": 2, "de": 2, "es": 1}, "max_epochs": 2, "seed": 17}
 
@@ -55,7 +57,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return suffix_dedup(docs, length=400, with_bytes=False, with_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return suffix_dedup(docs, length=400, with_bytes=False, with_text=False, also=PASSAGE_BYTES).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated")
 
 
 def domain_of(source: str = "source") -> Column:

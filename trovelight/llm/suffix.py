@@ -25,7 +25,7 @@ from trovelight.llm import textarrays as T
 GRAM, SPREAD = 16, 64
 FLUSH = 1 << 20
 _PHRASES = "bucket int, n int, keys binary, many binary, one int, ids binary, nos binary, sure int, skeys binary, sids binary, snos binary"
-_CUT = "u long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string"
+_CUT = "u long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string, n_repeated long"
 
 
 @dataclass
@@ -152,52 +152,68 @@ def doubled(ranks: DataFrame, offset: int) -> DataFrame:
     return out
 
 
-def _candidates(table: pa.Table, length: int):
+def _candidates(table: pa.Table, lengths: list[int]):
+    """By slice, and for each length by its column of hits: where the windows start that may repeat, and their hashes."""
     table = S.sorted_rows(table, "u")
-    texts, hits = S.one_array(table["text"]), table["hits"]
+    texts = S.one_array(table["text"])
     for lo, hi in T.slices(texts, T.SMALL_SLICE_BYTES):
         p = positions(texts.slice(lo, hi - lo))
-        live = np.zeros(len(p.data) + 1, bool)
         begin = np.searchsorted(p.at, p.offsets)
-        own = S.one_array(hits.slice(lo, hi - lo))
-        text = np.repeat(np.arange(hi - lo), np.asarray(own.value_lengths()))
-        number = begin[text] + np.asarray(own.flatten())
-        number = number[number < begin[text + 1]]
-        live[p.at[number]] = True
-        at = T.inside_text(p.offsets, length)
-        at = at[live[p.owner[at]]] if len(at) else at
-        yield lo, hi, p, at, T.rolling(T.BYTE_VALUES[p.data], length)[at] if len(at) else np.empty(0, np.uint64)
-
-
-def _ask(length: int, buckets: int):
+        found = []
+        for length in lengths:
+            live = np.zeros(len(p.data) + 1, bool)
+            own = S.one_array(table[f"hits_{length}"].slice(lo, hi - lo))
+            text = np.repeat(np.arange(hi - lo), np.asarray(own.value_lengths()))
+            number = begin[text] + np.asarray(own.flatten())
+            number = number[number < begin[text + 1]]
+            live[p.at[number]] = True
+            at = T.inside_text(p.offsets, length)
+            at = at[live[p.owner[at]]] if len(at) else at
+            # windows of one length never meet those of another
+            h = T.rolling(T.BYTE_VALUES[p.data], length)[at] ^ T.mix(np.array([length], np.uint64)) if len(at) else np.empty(0, np.uint64)
+            found.append((length, at, h))
+        yield lo, hi, p, found
+
+
+def _hashes(slices) -> np.ndarray:
+    return np.concatenate([np.empty(0, np.uint64), *(h for *_, found in slices for *_, h in found)])
+
+
+def _ask(lengths: list[int], buckets: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        return S.requests(key[0].as_py(), np.concatenate([np.empty(0, np.uint64), *(h for *_, h in _candidates(table, length))]), buckets)
+        return S.requests(key[0].as_py(), _hashes(_candidates(table, lengths)), buckets)
 
     return run
 
 
-def _remove(length: int, with_bytes: bool, with_text: bool):
+def _remove(lengths: list[int], with_bytes: bool, with_text: bool):
+    """The first length is removed, the last one's bytes are counted."""
+
     def run(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
         table = S.sorted_rows(table, "u")
         u = table["u"].to_pylist()
-        found = [(lo, hi, p.data, p.offsets, at, h) for lo, hi, p, at, h in _candidates(table, length)]
-        twice = S.answered(answers, np.concatenate([np.empty(0, np.uint64), *(h for *_, h in found)]))
+        slices = [(lo, hi, p.data, p.offsets, found) for lo, hi, p, found in _candidates(table, lengths)]
+        twice = S.answered(answers, _hashes(slices))
         out, used = [], 0
-        for lo, hi, data, off, at, h in found:
-            mine = at[twice[used : used + len(h)]]
-            used += len(h)
-            step = np.zeros(len(data) + 1, np.int32)
-            step[mine] += 1
-            step[mine + length] -= 1
-            keep = np.cumsum(step[:-1], dtype=np.int32) == 0
+        for lo, hi, data, off, found in slices:
+            keeps = []
+            for length, at, h in found:
+                mine = at[twice[used : used + len(h)]]
+                used += len(h)
+                step = np.zeros(len(data) + 1, np.int32)
+                step[mine] += 1
+                step[mine + length] -= 1
+                keeps.append(np.cumsum(step[:-1], dtype=np.int32) == 0)
+            keep, other = keeps[0], keeps[-1]
             for d in range(hi - lo):
                 a, b = off[d], off[d + 1]
                 left = keep[a:b]
                 kept = data[a:b][left].tobytes()
                 spans = int(np.count_nonzero(np.diff(left.astype(np.int8), prepend=1) == -1))
-                out.append((u[lo + d], int(b - a) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept if with_bytes else None, kept.decode("utf-8", "ignore") if with_text else None))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string())
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)], names=["u", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text"])
+                repeated = int(b - a) - int(np.count_nonzero(other[a:b]))
+                out.append((u[lo + d], int(b - a) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept if with_bytes else None, kept.decode("utf-8", "ignore") if with_text else None, repeated))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.int64())
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], names=["u", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text", "n_repeated"])
 
     return run
 
@@ -208,39 +224,49 @@ def _phrases_inside(length: int) -> int:
     return (length - (SPREAD + GRAM - 1)) // SPREAD
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, with_bytes: bool = True, with_text: bool = True) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, with_bytes: bool = True, with_text: bool = True, also: int | None = None) -> DataFrame:
     """Removes every byte covered by a `length`-byte string that also starts anywhere else in the texts (UTF-8).
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, kept (the bytes left; null where
     nothing was removed, and always unless with_bytes), kept_text (the same as text, without bytes of characters cut in two; always null unless with_text) and text_sha256 (of the input), one row per input row. Null or empty texts have no bytes. Exact copies of `length` bytes or
     more lose everything, the first as well; one copy stands for all while other texts are judged. Repeated ids and
     rows are texts of their own. A null id stays null. Texts below `length` bytes keep all, even if repeated.
+
+    With `also`, a smaller length, a last column n_repeated counts the bytes covered by an `also`-byte string that also
+    starts anywhere else. They are counted alone: what is removed stays the same.
     """
     if length < 3 * SPREAD:
         raise ValueError(f"length must be at least {3 * SPREAD}")
+    if also is not None and not 3 * SPREAD <= also < length:
+        raise ValueError(f"also must be at least {3 * SPREAD}, and below length")
+    lengths = [length] if also is None else [length, also]
     texts = S.texts_of(docs, id_col, text_col)
     total = S.total_bytes(texts)
     full = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
     rows = S.written(texts.select("k", "u", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), full.alias("sha")), "texts")
     copies = rows.groupBy("sha").agg(F.count("*").alias("copies"), F.min("u").alias("u"))
     firsts = copies.select("u")
-    sent = texts.mapInArrow(_send_phrases(length, S.parts(total // 32, S.BUCKET_KEYS // 2)), _PHRASES)
+    sent = texts.mapInArrow(_send_phrases(lengths[-1], S.parts(total // 32, S.BUCKET_KEYS // 2)), _PHRASES)
     ranks = sent.groupBy("bucket").applyInArrow(_repeated_phrases, "u long, m int, r long").join(firsts, "u", "left_semi")
     ranks, offset = S.written(ranks, "ranks"), 1
-    while 2 * offset <= _phrases_inside(length):
-        ranks = doubled(ranks, offset)
-        offset *= 2
-    hits = S.written(ranks.groupBy("u").agg(F.collect_set("m").alias("hits")), "hits")
+    hits = []
+    for each in reversed(lengths):
+        while 2 * offset <= _phrases_inside(each):
+            ranks = doubled(ranks, offset)
+            offset *= 2
+        hits.append(S.written(ranks.groupBy("u").agg(F.collect_set("m").alias(f"hits_{each}")), "hits"))
     S.discard(ranks)
-    # half of a common chunk: where most windows repeat, a byte of it costs its task up to 80 bytes
-    chunks, buckets = S.parts(total, S.CHUNK_BYTES // 2), S.parts(total // 4, S.BUCKET_KEYS)
-    near = S.likely_in(texts, "u", hits.select("u")).join(hits, "u").select(F.pmod("u", F.lit(chunks)).alias("chunk"), "u", "text", "hits")
+    # half of a common chunk: where most windows repeat, a byte of it and of each length costs its task up to 80 bytes
+    chunks, buckets = S.parts(total, S.CHUNK_BYTES // (2 * len(lengths))), S.parts(total // (5 - len(lengths)), S.BUCKET_KEYS)
+    # what repeats at the larger length does so at the smaller
+    both = hits[0] if also is None else hits[0].join(hits[1], "u", "left").withColumn(f"hits_{length}", F.coalesce(f"hits_{length}", F.array().cast("array<int>")))
+    near = S.likely_in(texts, "u", hits[0].select("u")).join(both, "u").select(F.pmod("u", F.lit(chunks)).alias("chunk"), "u", "text", *(f"hits_{x}" for x in lengths))
     if not rows.groupBy("u").count().filter("count > 1").isEmpty():  # equal rows, of which one stands for all
         near = near.dropDuplicates(["u"])
     near = S.written(near, "repeating")
-    S.discard(hits)
-    answers = S.replies(near.groupBy("chunk").applyInArrow(_ask(length, buckets), S.REQUEST))
-    cut = near.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_remove(length, with_bytes, with_text), _CUT)
+    S.discard(*hits)
+    answers = S.replies(near.groupBy("chunk").applyInArrow(_ask(lengths, buckets), S.REQUEST))
+    cut = near.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_remove(lengths, with_bytes, with_text), _CUT)
     out = rows.join(copies.select("sha", "copies"), "sha").join(cut, "u", "left")
     gone = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     kept = F.when(gone, F.lit(b"")).otherwise(F.when(F.col("n_removed") > 0, F.col("kept")))
@@ -253,4 +279,5 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         kept.alias("kept"),
         F.when(gone, F.lit("")).otherwise(F.when(F.col("n_removed") > 0, F.col("kept_text"))).alias("kept_text"),
         F.col("sha").alias("text_sha256"),
+        *([] if also is None else [F.when((F.col("copies") > 1) & (F.col("n_bytes") >= also), F.col("n_bytes")).otherwise(F.coalesce("n_repeated", F.lit(0))).alias("n_repeated")]),
     )
