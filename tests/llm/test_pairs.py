@@ -11,7 +11,7 @@ from fixtures import ids_and_texts, jaccard_components, key, odd_documents, repe
 from pyspark.sql import functions as F
 
 from trovelight.llm import ngram_join as nj
-from trovelight.llm import shared
+from trovelight.llm import shared, suffix
 from trovelight.llm.components import connected
 from trovelight.llm.ngram_join import ngram_join
 from trovelight.llm.registry import op7_suffix_dedup
@@ -264,6 +264,33 @@ def test_op7_shows_passages_of_over_fifty_words(spark, tmp_path):
     assert all(found[i]["n_repeated"] == 0 for i in range(2, 6))
 
 
+def test_suffix_ranks_one_of_all_equal_texts_and_starts_with_two_phrases(spark, monkeypatch):
+    rng = random.Random(3)
+    long, passage = sentence(rng, 400), sentence(rng, 100)
+    rows = [(1, long)] * 40 + [(2, long), (3, long[:50])] + [(i, sentence(rng, 60) + " " + passage + " " + sentence(rng, 60)) for i in range(4, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rounds, real = [], suffix.doubled
+
+    def doubled(ranks, offset):
+        rounds.append((offset, ranks.count(), ranks.select("u", "m").distinct().count(), ranks.select("u").distinct().count()))
+        return real(ranks, offset)
+
+    monkeypatch.setattr(suffix, "doubled", doubled)
+    found = suffix_dedup(docs, also=240).collect()
+    assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found), key=key) == bytes_brute(docs, 400)
+    ((offset, n, places, texts),) = rounds
+    assert offset == 2 and n == places and texts == 5  # nothing of the equal texts repeats elsewhere
+    suffix_dedup(docs, length=240).collect()
+    assert len(rounds) == 1  # two phrases are all that windows of 240 bytes must hold
+
+
+def test_rising_order_of_hashes_with_equal_high_bits():
+    rng = np.random.default_rng(5)
+    for h in (rng.integers(0, 1 << 63, 5000).astype(np.uint64), rng.integers(0, 300, 5000).astype(np.uint64) * np.uint64(7), np.array([5], np.uint64)):
+        order = shared.rising(h)
+        assert (np.sort(order) == np.arange(len(h))).all() and (h[order] == np.sort(h)).all()
+
+
 def test_empty_tables(docs):
     none = docs.limit(0)
     for table in (ngram_join(none), substring_dedup(none), suffix_dedup(none)):

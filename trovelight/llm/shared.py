@@ -188,10 +188,23 @@ def answered(answers: pa.Table, hashes: np.ndarray) -> np.ndarray:
         return np.zeros(0, bool)
     rows = sorted(zip(answers["bucket"].to_pylist(), answers["n"].to_pylist(), answers["twice"].to_pylist(), strict=True))
     hit = np.concatenate([np.unpackbits(np.frombuffer(t, np.uint8), count=n) for _, n, t in rows]).astype(bool)
-    u, back = np.unique(hashes, return_inverse=True)
-    if len(u) != len(hit):
+    order = rising(hashes)
+    held = hashes[order]
+    new = np.concatenate([[True], held[1:] != held[:-1]])
+    if np.count_nonzero(new) != len(hit):
         raise ValueError("a chunk changed between asking and being answered")
-    return hit[back]
+    out = np.empty(len(hashes), bool)
+    out[order] = hit[np.cumsum(new) - 1]
+    return out
+
+
+def rising(hashes: np.ndarray) -> np.ndarray:
+    """Where hashes go in rising order, as argsort has it but for the order of equal ones. Sorts their high bits with their
+    places below, which takes a third of the time; what high bits leave open is settled after."""
+    low = np.uint64((1 << len(hashes).bit_length()) - 1)
+    order = (np.sort((hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)) & low).astype(np.int64)
+    held = hashes[order]
+    return order if (held[1:] >= held[:-1]).all() else order[np.argsort(held, kind="stable")]
 
 
 def sorted_rows(table: pa.Table, *names: str) -> pa.Table:

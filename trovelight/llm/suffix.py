@@ -3,8 +3,8 @@
 No rank is sorted: ranks are hashes, and positions are compared by grouping equal ones, as only repeats are asked
 for. Suffixes are looked at from content-defined positions only: the smallest 16-byte hash of every 64 positions. Equal texts
 pick equal positions, so the text between two of them is a phrase, and a suffix is a sequence of phrases. Prefix
-doubling ranks one phrase, then pairs of ranks at offsets of one phrase, two phrases and so on, dropping a position
-as soon as its rank is unique, up to the longest prefix that every repeat of the threshold length must hold. The
+doubling ranks two phrases (one, if a window need not hold two), then pairs of ranks at offsets of two phrases, four and
+so on, dropping a position as soon as its rank is unique, up to the longest prefix that every repeat of the threshold length must hold. The
 byte windows that start before a position left over are then counted exactly.
 """
 
@@ -34,6 +34,7 @@ class Positions:
 
     data: np.ndarray
     offsets: np.ndarray
+    sums: np.ndarray  #: of the bytes, as `T.prefix` has them
     owner: np.ndarray  #: by byte: the position that the windows starting there belong to
     at: np.ndarray  #: all positions, rising
     text: np.ndarray  #: text of each
@@ -41,36 +42,33 @@ class Positions:
 
 
 def _window_min(v: np.ndarray, w: int) -> np.ndarray:
-    """Smallest of every w neighbours, by running minima of blocks from both sides."""
-    n = len(v)
-    full = -(-n // w) * w
-    p = np.full(full, np.iinfo(np.uint64).max, np.uint64)
-    p[:n] = v
-    rows = p.reshape(-1, w)
-    left = np.minimum.accumulate(rows, axis=1).ravel()
-    right = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(right[: n - w + 1], left[w - 1 : n])
+    """Smallest of every w neighbours, from those of half as many."""
+    k = 1
+    while 2 * k <= w:
+        v = np.minimum(v[:-k], v[k:])
+        k *= 2
+    return np.minimum(v[: len(v) - (w - k)], v[w - k :]) if k < w else v
 
 
 def positions(texts: pa.Array) -> Positions:
     data, off = T.flat(texts)
-    reach = SPREAD + GRAM - 1
-    starts = T.inside_text(off, reach)
+    starts = T.inside_text(off, SPREAD + GRAM - 1)
     if not len(starts):
         none = np.empty(0, np.int64)
-        return Positions(data, off, none, none, none, none)
-    h = T.rolling(T.BYTE_VALUES[data], GRAM)
+        return Positions(data, off, np.zeros(1, np.uint64), none, none, none, none)
+    sums = T.prefix(T.BYTE_VALUES[data])
+    h = T.windows_of(sums, GRAM)
     low = np.uint64(0xFFFFFFFF)
     owner = (_window_min((h & ~low) | np.arange(len(h), dtype=np.uint64), SPREAD) & low).astype(np.int64)
     picked = np.zeros(len(data), bool)
     picked[owner[starts]] = True
     at = np.flatnonzero(picked)
     text = np.searchsorted(off, at, "right") - 1
-    return Positions(data, off, owner, at, text, np.arange(len(at)) - np.searchsorted(at, off[:-1])[text])
+    return Positions(data, off, sums, owner, at, text, np.arange(len(at)) - np.searchsorted(at, off[:-1])[text])
 
 
-def _send_phrases(length: int, buckets: int):
-    """Sends each distinct phrase of a task once; places of phrases the task holds twice are known to repeat and are
+def _send_phrases(length: int, buckets: int, phrases: int = 1):
+    """Sends each distinct run of so many phrases of a task once, as one phrase; places of phrases the task holds twice are known to repeat and are
     spread over all buckets, so that a common phrase makes no bucket large."""
 
     def flush(keys, ids, nos) -> pa.RecordBatch:
@@ -103,10 +101,10 @@ def _send_phrases(length: int, buckets: int):
             k = batch.column("u").to_numpy()
             for lo, hi in T.slices(batch.column("text"), T.SMALL_SLICE_BYTES):
                 p = positions(batch.column("text").slice(lo, hi - lo))
-                if len(p.at) < 2:
+                if len(p.at) <= phrases:
                     continue
-                pair = np.flatnonzero((p.text[1:] == p.text[:-1]) & (np.diff(p.offsets)[p.text[:-1]] >= length))
-                h = T.span_hash(T.BYTE_VALUES[p.data], p.at[pair], p.at[pair + 1])
+                pair = np.flatnonzero((p.text[phrases:] == p.text[:-phrases]) & (np.diff(p.offsets)[p.text[:-phrases]] >= length))
+                h = T.spans_of(p.sums, p.at[pair], p.at[pair + phrases])
                 for x, y in zip(held, (h, k[lo:hi][p.text[pair]], p.number[pair].astype(np.int32)), strict=True):
                     x.append(y)
                 n += len(h)
@@ -170,7 +168,7 @@ def _candidates(table: pa.Table, lengths: list[int]):
             at = T.inside_text(p.offsets, length)
             at = at[live[p.owner[at]]] if len(at) else at
             # windows of one length never meet those of another
-            h = T.rolling(T.BYTE_VALUES[p.data], length)[at] ^ T.mix(np.array([length], np.uint64)) if len(at) else np.empty(0, np.uint64)
+            h = T.spans_of(p.sums, at, at + length) ^ T.mix(np.array([length], np.uint64))
             found.append((length, at, h))
         yield lo, hi, p, found
 
@@ -244,11 +242,16 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     total = S.total_bytes(texts)
     full = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
     rows = S.written(texts.select("k", "u", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), full.alias("sha")), "texts")
-    copies = rows.groupBy("sha").agg(F.count("*").alias("copies"), F.min("u").alias("u"))
-    firsts = copies.select("u")
-    sent = texts.mapInArrow(_send_phrases(lengths[-1], S.parts(total // 32, S.BUCKET_KEYS // 2)), _PHRASES)
-    ranks = sent.groupBy("bucket").applyInArrow(_repeated_phrases, "u long, m int, r long").join(firsts, "u", "left_semi")
-    ranks, offset = S.written(ranks, "ranks"), 1
+    copies = S.written(rows.groupBy("sha").agg(F.count("*").alias("copies"), F.min("u").alias("first")).filter("copies > 1"), "copies")
+    members = S.written(rows.join(copies, "sha").groupBy("u").agg(F.min("first").alias("first"), F.count("*").alias("rows")), "members")
+    equal_rows = not members.filter("rows > 1").isEmpty()
+    # one of all equal texts; only texts that may have equals are shuffled for it
+    doubtful = S.likely_in(texts, "u", members.select("u")).dropDuplicates(["u"])
+    once = S.likely_in(texts, "u", members.select("u"), others=True).unionByName(doubtful.join(members.filter("u <> first"), "u", "left_anti"))
+    # a first rank of two phrases, where each window holds as many, spares the largest round
+    offset = min(2, _phrases_inside(lengths[-1]))
+    sent = once.select("u", "text").mapInArrow(_send_phrases(lengths[-1], S.parts(total // 32, S.BUCKET_KEYS // 2), offset), _PHRASES)
+    ranks = S.written(sent.groupBy("bucket").applyInArrow(_repeated_phrases, "u long, m int, r long"), "ranks")
     hits = []
     for each in reversed(lengths):
         while 2 * offset <= _phrases_inside(each):
@@ -260,15 +263,16 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     chunks, buckets = S.parts(total, S.CHUNK_BYTES // (2 * len(lengths))), S.parts(total // (5 - len(lengths)), S.BUCKET_KEYS)
     # what repeats at the larger length does so at the smaller
     both = hits[0] if also is None else hits[0].join(hits[1], "u", "left").withColumn(f"hits_{length}", F.coalesce(f"hits_{length}", F.array().cast("array<int>")))
-    near = S.likely_in(texts, "u", hits[0].select("u")).join(both, "u").select(F.pmod("u", F.lit(chunks)).alias("chunk"), "u", "text", *(f"hits_{x}" for x in lengths))
-    if not rows.groupBy("u").count().filter("count > 1").isEmpty():  # equal rows, of which one stands for all
+    near = S.likely_in(texts, "u", hits[0].select("u"))
+    if equal_rows:  # of which one stands for all
         near = near.dropDuplicates(["u"])
+    near = near.join(both, "u").select(F.pmod("u", F.lit(chunks)).alias("chunk"), "u", "text", *(f"hits_{x}" for x in lengths))
     near = S.written(near, "repeating")
     S.discard(*hits)
     answers = S.replies(near.groupBy("chunk").applyInArrow(_ask(lengths, buckets), S.REQUEST))
     cut = near.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_remove(lengths, with_bytes, with_text), _CUT)
-    out = rows.join(copies.select("sha", "copies"), "sha").join(cut, "u", "left")
-    gone = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
+    out = rows.join(copies.select("sha", "copies"), "sha", "left").join(cut, "u", "left")
+    gone = F.col("copies").isNotNull() & (F.col("n_bytes") >= length)
     kept = F.when(gone, F.lit(b"")).otherwise(F.when(F.col("n_removed") > 0, F.col("kept")))
     return out.select(
         S.id_back().alias(id_col),
@@ -279,5 +283,5 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         kept.alias("kept"),
         F.when(gone, F.lit("")).otherwise(F.when(F.col("n_removed") > 0, F.col("kept_text"))).alias("kept_text"),
         F.col("sha").alias("text_sha256"),
-        *([] if also is None else [F.when((F.col("copies") > 1) & (F.col("n_bytes") >= also), F.col("n_bytes")).otherwise(F.coalesce("n_repeated", F.lit(0))).alias("n_repeated")]),
+        *([] if also is None else [F.when(F.col("copies").isNotNull() & (F.col("n_bytes") >= also), F.col("n_bytes")).otherwise(F.coalesce("n_repeated", F.lit(0))).alias("n_repeated")]),
     )

@@ -42,24 +42,33 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def _prefix(values: np.ndarray) -> np.ndarray:
+def prefix(values: np.ndarray) -> np.ndarray:
+    """What `spans_of` and `windows_of` hash from: one pass for hashes of any length."""
     out = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * _power(_BASE, len(values)), out=out[1:])
     return out
 
 
+def spans_of(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """span_hash of the values that `prefix` took."""
+    return mix((sums[end] - sums[start]) * _power(_INVERSE, len(sums))[start])
+
+
+def windows_of(sums: np.ndarray, k: int) -> np.ndarray:
+    """rolling of the values that `prefix` took."""
+    if len(sums) <= k:
+        return np.empty(0, np.uint64)
+    return mix((sums[k:] - sums[:-k]) * _power(_INVERSE, len(sums) - k))
+
+
 def span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of values[start:end] for each pair."""
-    c = _prefix(values)
-    return mix((c[end] - c[start]) * _power(_INVERSE, len(values) + 1)[start])
+    return spans_of(prefix(values), start, end)
 
 
 def rolling(values: np.ndarray, k: int) -> np.ndarray:
     """Hash of every window of k values."""
-    if len(values) < k:
-        return np.empty(0, np.uint64)
-    c = _prefix(values)
-    return mix((c[k:] - c[:-k]) * _power(_INVERSE, len(values) - k + 1))
+    return windows_of(prefix(values), k)
 
 
 BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
