@@ -62,6 +62,22 @@ def test_join_of_near_copies_in_one_tree_and_in_blocks(spark, monkeypatch, rows,
     check_join(docs, 3, 90)
 
 
+@pytest.mark.parametrize("tokens", [4 << 20, 40_000])
+def test_groups_that_overlap_share_the_sets_they_are_sent(spark, monkeypatch, tokens):
+    """Trees of whole groups: a set goes once to a task, however many of the task's groups hold it."""
+    made, old = [], nj.S.written
+    monkeypatch.setattr(nj.S, "written", lambda df, name: made.append((name, old(df, name))) or made[-1][1])
+    monkeypatch.setattr(nj.S, "discard", lambda *tables: None)
+    monkeypatch.setattr(nj, "UNIT_ROUNDS", 0)
+    monkeypatch.setattr(nj, "PART_TOKENS", tokens)
+    check_join(spark.createDataFrame(near_copies(80, 4, seed=8), "doc_id long, text string"), 3, 80)
+    tables = dict(made)
+    rows, sent = tables["trees"], tables["tasks"]
+    assert sent.count() == sent.distinct().count() and 2 * sent.count() < rows.count()
+    assert {r["cls"] for r in sent.collect()} == {r["cls"] for r in rows.collect()}
+    assert (sent.select("part").distinct().count() > 1) == (tokens == 40_000)
+
+
 def test_tasks_give_back_fewer_links_than_they_have_sets(spark, monkeypatch):
     """5,000 near copies: all of them are one component or pairs that just miss, and no task returns pairs."""
     made, old = [], nj.S.written

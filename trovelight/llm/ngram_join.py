@@ -415,8 +415,10 @@ def _links_of(r: Rows, rule: Rule, across: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _through_trees(rule: Rule):
-    def run(table: pa.Table) -> pa.Table:
-        table = S.sorted_rows(table, "key", "x", "y", "block", "n", "cls")
+    def run(table: pa.Table, sets: pa.Table) -> pa.Table:
+        table, sets = S.sorted_rows(table, "key", "x", "y", "block", "n", "cls"), S.sorted_rows(sets, "cls")
+        packed = sets["tokens"]
+        place = np.searchsorted(sets["cls"].to_numpy(), table["cls"].to_numpy())
         key, x, y = (table[c].to_numpy() for c in ("key", "x", "y"))
         n = table["n"].to_numpy()
         first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
@@ -428,7 +430,7 @@ def _through_trees(rule: Rule):
             before = upto[first[i] - 1] if first[i] else 0
             j = max(i + 1, int(np.searchsorted(np.append(upto[first[1:] - 1], upto[-1]), before + BATCH_TOKENS, "right")))
             lo, hi = first[i], first[j] if j < len(first) else len(n)
-            tokens = np.concatenate([S.unpack_sorted(b, m) for b, m in zip(table["tokens"].slice(lo, hi - lo).to_pylist(), n[lo:hi].tolist(), strict=True)])
+            tokens = np.concatenate([S.unpack_sorted(b, m) for b, m in zip(packed.take(pa.array(place[lo:hi])).to_pylist(), n[lo:hi].tolist(), strict=True)])
             unit = np.repeat(np.arange(j - i), np.diff(np.append(first[i:j], hi)))
             part = Rows(table["cls"].to_numpy()[lo:hi], table["comp"].to_numpy()[lo:hi], n[lo:hi], unit, table["block"].to_numpy()[lo:hi], tokens, np.concatenate([[0], np.cumsum(n[lo:hi])]))
             found.append(_links_of(part, rule, (x != y)[first[i:j]]))
@@ -482,23 +484,34 @@ def still_open(left: DataFrame, near: DataFrame, met: DataFrame) -> DataFrame:
 
 def by_group(left: DataFrame, sizes: DataFrame) -> DataFrame:
     """Rows of trees for whole groups. Groups that have come to be of the same classes are one. In a group too large for one tree, blocks of
-    its first component meet those of the others, and these meet each other."""
+    its first component meet those of the others, and these meet each other.
+
+    Groups overlap, so they go to tasks together (`near`) by the one of their classes that most groups have; where that is
+    too much for a task, in pieces of whole groups."""
     same = left.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("who")).groupBy("m", "who").agg(F.min("key").alias("key"))
     low = left.groupBy("key").agg(F.min("comp").alias("low"))
-    rows = left.join(same.select("key"), "key", "left_semi").join(low, "key").join(sizes, "cls").withColumn("main", F.col("comp") == F.col("low"))
+    often = left.groupBy("cls").agg(F.count("*").alias("often"))
+    rows = left.join(same.select("key"), "key", "left_semi").join(low, "key").join(sizes, "cls").join(often, "cls").withColumn("main", F.col("comp") == F.col("low"))
     pieces = lambda main: f"greatest(count_if({main}) div {TREE_ROWS}, coalesce(sum(if({main}, n, 0)), 0) div {TREE_TOKENS})"
-    size = rows.groupBy("key").agg(F.expr(f"{pieces('true')} = 0").alias("one"), F.expr(f"cast({pieces('main')} + 1 as int)").alias("mains"), F.expr(f"cast({pieces('not main')} + 1 as int)").alias("rests"))
-    rows = rows.join(size, "key").withColumn("h", F.xxhash64("cls")).withColumn("block", F.expr("cast(if(one, 0, if(main, -1 - pmod(h, mains), pmod(h, rests))) as int)"))
+    size = rows.groupBy("key").agg(F.expr(f"{pieces('true')} = 0").alias("one"), F.expr(f"cast({pieces('main')} + 1 as int)").alias("mains"), F.expr(f"cast({pieces('not main')} + 1 as int)").alias("rests"), F.expr("max(struct(often, cls)).cls").alias("by"))
+    rows = S.written(rows.join(size, "key").select("key", "cls", "comp", "n", "main", "one", "mains", "rests", "by"), "groups")
+    tasks = rows.groupBy("by").agg(F.expr(f"cast(sum(n + 100) div {PART_TOKENS} + 1 as int)").alias("tasks"))
+    rows = rows.join(tasks, "by").withColumn("h", F.xxhash64("cls")).withColumn("block", F.expr("cast(if(one, 0, if(main, -1 - pmod(h, mains), pmod(h, rests))) as int)"))
     rows = rows.withColumn("other", F.explode(F.expr("if(one, array(0), sequence(if(main, 0, -mains), rests - 1))")))
-    return rows.select("key", "cls", "comp", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "n")
+    rows = rows.select("key", "cls", "comp", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "n", "one", "by", "tasks")
+    near = F.expr("if(one, xxhash64(by, pmod(xxhash64(key), tasks)), xxhash64(key, x, y))")
+    return rows.withColumn("near", near).drop("one", "by", "tasks")
 
 
 def linked_components(rows: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """rows: a written table of (key, cls, comp, block, x, y, n), a tree unit being (key, x, y). Links (a, b) between
-    components."""
+    """rows: a written table of (key, cls, comp, block, x, y, n, near), a tree unit being (key, x, y). Units of equal near
+    go to one task, which gets each of their sets once. Links (a, b) between components."""
     much = rows.agg(F.sum(F.col("n") + 100)).first()[0] or 0
-    part = F.pmod(F.xxhash64("key", "x", "y"), F.lit(S.parts(much, PART_TOKENS))).alias("part")
-    found = rows.select("key", "cls", "comp", "block", "x", "y", "n", part).join(sets.drop("n"), "cls").groupBy("part").applyInArrow(_through_trees(rule), "a long, b long")
+    part = F.pmod(F.xxhash64("near"), F.lit(S.parts(much, PART_TOKENS))).alias("part")
+    tasks = S.written(rows.select("cls", part).distinct(), "tasks")
+    sent = S.likely_in(sets, "cls", tasks.select("cls").distinct()).drop("n").join(tasks, "cls")
+    members = rows.select("key", "cls", "comp", "block", "x", "y", "n", part)
+    found = members.groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(_through_trees(rule), "a long, b long")
     return S.written(found.distinct(), "links")
 
 
@@ -542,7 +555,7 @@ def _components(texts: DataFrame, id_col: str, rule: Rule) -> DataFrame:
         if not rows_left:
             break
         met = S.written(units(left, sizes), "units")
-        links.append(linked_components(met.withColumnRenamed("unit", "key").withColumns({x: F.lit(0) for x in ("block", "x", "y")}), sets, rule))
+        links.append(linked_components(met.withColumnRenamed("unit", "key").withColumns({x: F.lit(0) for x in ("block", "x", "y")} | {"near": F.col("key")}), sets, rule))
         near = connected(reduce(DataFrame.unionByName, links))
         left = still_open(left, near, met.filter("at_home").select("cls", "unit"))
         rows_left = left.count()
