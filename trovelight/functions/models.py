@@ -5,11 +5,10 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from itertools import chain
 from typing import Protocol
 
 import numpy as np
@@ -25,7 +24,8 @@ Embedder = Callable[[list[str]], np.ndarray]
 PairScorer = Callable[[list[str], list[str]], np.ndarray]
 DIMS, EMBED_BATCH, SCORE_BATCH = 384, 32, 8
 PUNCTUATION = ".,;:!?()[]\"'"
-_gaps = re.compile(r"[ \t\n\r\f\v]+")
+#: Words that a worker remembers, of some hundred bytes each.
+MOST_SPOTS = 1 << 19
 
 
 class LanguageModel(Protocol):
@@ -34,21 +34,29 @@ class LanguageModel(Protocol):
     def available(self) -> bool: ...
 
 
-@lru_cache(1 << 17)
-def _spot(token: str) -> tuple[int, float]:
-    digest = hashlib.md5(token.encode("utf-8", "replace")).digest()
-    return int.from_bytes(digest[:4], "big") % DIMS, 1.0 if digest[4] & 0x80 else -1.0
+class _Spots(dict[bytes, int]):
+    """Words as they stand in a text, each with twice its dimension, plus one if it counts up; -1 without a letter or
+    number. Filled as words come, and begun anew at MOST_SPOTS words."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MOST_SPOTS:
+            self.clear()
+        token = word.strip(PUNCTUATION.encode())
+        digest = hashlib.md5(token).digest()
+        self[word] = spot = 2 * (int.from_bytes(digest[:4], "big") % DIMS) + (digest[4] >> 7) if token else -1
+        return spot
+
+
+_spots = _Spots()
 
 
 def hashed_embedder(texts: list[str]) -> np.ndarray:
     """Signed hashed bag of words, each worked out once a worker: a stand-in that only knows shared words."""
-    out = np.zeros((len(texts), DIMS))
-    for row, text in zip(out, texts, strict=True):
-        words = (w.strip(PUNCTUATION) for w in _gaps.split((text or "").lower()))
-        spots = [_spot(w) for w in words if w]
-        if spots:
-            at, sign = zip(*spots, strict=True)
-            np.add.at(row, list(at), sign)
+    words = [(text or "").lower().encode("utf-8", "replace").split() for text in texts]  # bytes split at ASCII whitespace only
+    size = list(map(len, words))
+    spot = np.fromiter(map(_spots.__getitem__, chain.from_iterable(words)), np.int64, sum(size))
+    cell = (np.repeat(np.arange(len(texts)), size) * DIMS + spot // 2)[spot >= 0]
+    out = np.bincount(cell, (spot[spot >= 0] & 1) * 2.0 - 1, len(texts) * DIMS).reshape(-1, DIMS)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(norm == 0, 1, norm)
 
@@ -59,7 +67,7 @@ def embed(rows: DataFrame, text_col: str = "text", embedder: Embedder = hashed_e
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             parts = [embedder(texts.iloc[i : i + EMBED_BATCH].fillna("").tolist()) for i in range(0, len(texts), EMBED_BATCH)]
-            yield pd.Series([v.tolist() for p in parts for v in np.asarray(p)], dtype=object)
+            yield pd.Series([v for p in parts for v in np.asarray(p, np.float32)], dtype=object)
 
     return rows.withColumn("vector", F.pandas_udf(run, "array<float>")(F.col(text_col)))
 
