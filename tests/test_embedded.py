@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 from trovelight.functions import models
-from trovelight.plans import registry
+from trovelight.plans import registry, retriever
 from trovelight.sources.scratch import Scratch
 
 
@@ -33,3 +33,12 @@ def test_postings_are_not_written_again(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(Scratch, "kept", lambda self, rows, name, by=None: names.append(name) or kept(self, rows, name, by))
     assert registry.hybrid_embedded(spark, sf_dir).count() > 0
     assert "chunks" in names and "postings" not in names
+
+
+def test_strategies_share_the_lists_of_the_questions(spark, sf_dir, monkeypatch):
+    searches = {"exact_knn": 0, "bm25": 0}
+    for name in searches:
+        search = getattr(retriever, name)
+        monkeypatch.setattr(retriever, name, lambda *a, name=name, search=search, **b: searches.update({name: searches[name] + 1}) or search(*a, **b))
+    assert registry.eval_strategies(spark, sf_dir).count() == 6
+    assert searches == {"exact_knn": 3, "bm25": 2}  # questions, made-up answers, rephrasings; 5 and 4 before
